@@ -23,7 +23,12 @@ from millrace.llm.common import shared_dir, small_side, written
 
 #: Rows of a group that one task compares with the row that stays.
 ROWS_PER_SALT = 2048
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk. Each partition's store holds little, so it must not reserve megabytes for its logs in advance.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def normalised(text: Column) -> Column:
@@ -48,11 +53,10 @@ def advance(spark: SparkSession, store: str, state: str) -> DataFrame:
     The state stays in `state` (checkpoint and RocksDB files), so that later rows meet all earlier ones.
     """
     schema = spark.read.parquet(store).select("id", "digest", "locator").schema
-    keys = ("spark.sql.streaming.stateStore.providerClass", "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled")
-    before = {k: spark.conf.get(k, None) for k in keys}
+    before = {k: spark.conf.get(k, None) for k in STATE_STORE}
     try:
-        spark.conf.set(keys[0], ROCKSDB)
-        spark.conf.set(keys[1], "true")
+        for k, v in STATE_STORE.items():
+            spark.conf.set(k, v)
         seen = spark.readStream.schema(schema).parquet(store)
         best = seen.groupBy("digest").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "locator")).alias("first"), F.count(F.lit(1)).alias("n"))
         query = best.writeStream.format("noop").outputMode("update").option("checkpointLocation", state).trigger(availableNow=True).start()
