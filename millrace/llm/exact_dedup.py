@@ -23,11 +23,13 @@ from millrace.llm.common import shared_dir, small_side, written
 
 #: Rows of a group that one task compares with the row that stays.
 ROWS_PER_SALT = 2048
-#: State on disk. Each partition's store holds little, so it must not reserve megabytes for its logs in advance.
+#: State on disk. Each partition's store holds little, so it must not reserve megabytes of disk or memory in advance.
 STATE_STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "2",
+    "spark.sql.streaming.stateStore.rocksdb.blockCacheSizeMB": "2",
 }
 
 
