@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -16,12 +17,50 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 300_000
 
 
+#: Bounds of the batches that go to Python (Spark's defaults, ours), so that long texts don't make them large.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "16m")}
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Sets the bounds where the session still has Spark's defaults."""
+    for key, (default, value) in BATCHES.items():
+        if spark.conf.get(key) == default:
+            spark.conf.set(key, value)
+
+
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim
+    pa.set_memory_pool(pa.system_memory_pool())
+except (AttributeError, OSError):
+    _TRIM = None
+
+
+def release() -> None:
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def trimmed(run):
+    """A function over a task's batches that gives freed memory back to the system after each; workers live on between tasks."""
+
+    def each(batches):
+        from millrace.llm import common  # by name: the library's handle can't be sent
+
+        for out in run(batches):
+            yield out
+            common.release()
+
+    return each
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder that driver and executors share, under spark.checkpoint.dir; a local one only where that is unset."""
+    bound_batches(spark)
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         base = "file://" + os.path.join(tempfile.gettempdir(), "millrace-checkpoints")

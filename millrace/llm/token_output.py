@@ -19,53 +19,95 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import pieces_of, put_file, shared_dir, strings, table
+from millrace.llm.common import pieces_of, put_file, shared_dir, strings, table, trimmed
 
 #: Ids after which a writer begins another file.
-IDS_PER_FILE = 4_000_000
+IDS_PER_FILE = 2_000_000
 #: Words that a worker remembers before it starts afresh.
-WORDS_KEPT = 300_000
+WORDS_KEPT = 100_000
 END_ID = 1
 
 _TOKENIZERS: dict = {}
 
 
-def word_encoder(path: str):
-    """(encode, width): encode gives the ids of each of a list of words; a worker loads each file once."""
-    if path not in _TOKENIZERS:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+#: A run of Latin letters and then ASCII marks without an apostrophe: two pieces before the merges, whatever stands around.
+_PLAIN = r"^(?P<run>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[!-&(-/:-@\[-`{-~]*)$"
 
-        t = Tokenizer.from_file(path)
-        known: dict[str, list[int]] = {}
 
-        def encode(words: list[str]) -> list[list[int]]:
-            new = [w for w in words if w not in known]
-            got = dict(zip(new, [e.ids for e in t.encode_batch_fast(new, add_special_tokens=False)]))
-            out = [known[w] if w in known else got[w] for w in words]
-            if len(known) + len(got) > WORDS_KEPT:
-                known.clear()
-            known.update((w, x) for w, x in got.items() if len(w) <= 64)
-            return out
+def _byte_marks() -> dict[int, str]:
+    """The characters that stand for bytes in a byte-level vocabulary: visible ones for themselves, the others from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
-        _TOKENIZERS[path] = encode
+
+class WordEncoder:
+    """Ids of words. Plain words go to the library's merges directly, which is what its normaliser and splitter lead to."""
+
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        self.merge, self.marks = self.library.model.tokenize, _byte_marks()
+        self.known: dict[str, list[int]] = {}
+
+    def runs(self, parts: pa.Array, often: np.ndarray) -> list[list[int]]:
+        """Ids of lower-case runs of letters and of runs of marks; frequent ones are remembered."""
+        if len(self.known) > WORDS_KEPT:
+            self.known.clear()
+        out = []
+        for p, keep in zip(parts.to_pylist(), often.tolist()):
+            ids = self.known.get(p)
+            if ids is None:
+                ids = [x.id for x in self.merge(p if p.isascii() else p.encode().decode("latin-1").translate(self.marks))]
+                if keep:
+                    self.known[p] = ids
+            out.append(ids)
+        return out
+
+    def whole(self, words: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
+
+
+def word_encoder(path: str) -> WordEncoder:
+    """A worker loads each file once."""
+    if path not in _TOKENIZERS:
+        _TOKENIZERS[path] = WordEncoder(path)
     return _TOKENIZERS[path]
 
 
 def encode_texts(texts: pa.Array, path: str, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
-    """(ids of all texts, place of each text's first id and the end); each text ends with end_id."""
+    """(ids of all texts, place of each text's first id and the end); each text ends with end_id.
+
+    The texts' distinct words are told apart by Arrow; each is one unit, or two: its letters and its marks.
+    """
     words = pc.ascii_split_whitespace(texts)
     edges = np.asarray(words.offsets, np.int64)
     coded = words.flatten().dictionary_encode()
-    lists = [*word_encoder(path)(coded.dictionary.to_pylist()), [end_id]]
+    index = np.asarray(coded.indices, np.int64)
+    times = np.bincount(index, minlength=len(coded.dictionary))
+    plain = pc.extract_regex(coded.dictionary, _PLAIN)
+    is_plain = np.asarray(plain.is_valid())
+    run = pc.utf8_lower(plain.filter(plain.is_valid()).field("run")).dictionary_encode()
+    marks = plain.filter(plain.is_valid()).field("marks").dictionary_encode()
+    run_of, marks_of = np.asarray(run.indices, np.int64), np.asarray(marks.indices, np.int64)
+    encoder = word_encoder(path)
+    odd = coded.dictionary.filter(pa.array(~is_plain)).to_pylist()
+    lists = [*encoder.runs(run.dictionary, np.bincount(run_of, times[is_plain], len(run.dictionary)) > 2), *encoder.runs(marks.dictionary, np.ones(len(marks.dictionary), bool)), *encoder.whole(odd), [], [end_id]]
+    n_run, n_marks = len(run.dictionary), len(marks.dictionary)
+    units = np.full((len(times), 2), len(lists) - 2)
+    units[is_plain, 0], units[is_plain, 1] = run_of, n_run + marks_of
+    units[~is_plain, 0] = n_run + n_marks + np.arange(len(odd))
+
     sizes = np.fromiter(map(len, lists), np.int64, len(lists))
     flat = np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum()))
     begins = np.cumsum(sizes) - sizes
-    order = np.insert(np.asarray(coded.indices, np.int64), edges[1:] - edges[0], len(lists) - 1)
+    order = np.insert(units[index].reshape(-1), 2 * (edges[1:] - edges[0]), len(lists) - 1)
     n = sizes[order]
     to = np.cumsum(n)
-    ids = flat[np.arange(int(to[-1]) if len(to) else 0) + np.repeat(begins[order] - (to - n), n)]
-    last = edges[1:] - edges[0] + np.arange(len(texts))
+    ids = flat[np.arange(int(to[-1]) if len(to) else 0) + np.repeat(begins[order] - (to - n), n)]  # each unit's ids in their places
+    last = 2 * (edges[1:] - edges[0]) + np.arange(len(texts))
     return ids, np.concatenate([[0], to[last]]).astype(np.int64)
 
 
@@ -85,7 +127,7 @@ def _writer(folder: str, path: str, bits: int, ids_per_file: int):
 
         for batch in batches:
             texts, keys = strings(batch.column("text")), batch.column("doc_id")
-            for at, piece in pieces_of(texts):
+            for at, piece in pieces_of(texts, 4 << 20):
                 ids, starts = encode_texts(piece, path)
                 k, names = 0, keys.slice(at, len(piece)).to_pylist()
                 while k < len(names):
@@ -109,7 +151,7 @@ def write_ids(docs: DataFrame, folder: str, path: str, bits: int = 8, ids_per_fi
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    manifest = ordered.mapInArrow(_writer(f"{folder}/ids", path, bits, ids_per_file), "file string, n_docs long, n_ids long")
+    manifest = ordered.mapInArrow(trimmed(_writer(f"{folder}/ids", path, bits, ids_per_file)), "file string, n_docs long, n_ids long")
     manifest.write.parquet(f"{folder}/manifest")
     files = spark.read.schema("file string, n_docs long, n_ids long").parquet(f"{folder}/manifest")
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file, not for each document
@@ -134,7 +176,7 @@ def read_ids(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame
     content = spark.read.format("binaryFile").option("pathGlobFilter", "*.dac").load(f"{folder}/ids")
     named = content.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
     return named.join(F.broadcast(manifest.select("file", "first_id")) if manifest.count() <= 100_000 else manifest.select("file", "first_id"), "file").mapInArrow(
-        _reader, "doc_id long, start long, n_tokens long, ids_crc32 long"
+        trimmed(_reader), "doc_id long, start long, n_tokens long, ids_crc32 long"
     )
 
 
