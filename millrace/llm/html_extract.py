@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import small_side, table
+from millrace.llm.common import small_side, table, trimmed
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|iframe|textarea|title|xmp)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)"
@@ -37,7 +37,7 @@ CONTAINER = frozenset("html body main article section div td blockquote center".
 #: Elements that are never main text, and words that say so in a class, an id or a role.
 OUT_TAGS = frozenset("nav aside footer form head button dialog menu template svg math object select canvas audio video".split())
 OUT_WORDS = re.compile(
-    r"(?:^|[^a-z])(?:ad|ads|adv|advert\w*|adbox|adslot|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumb\w*|footer|sidebar|side-bar|aside|complementary|contentinfo|widget\w*|cookie\w*|consent|gdpr|"
+    r"(?:^|[^a-z])(?<!has-)(?<!no-)(?<!with-)(?<!without-)(?:ad|ads|adv|advert\w*|adbox|adslot|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumb\w*|footer|sidebar|side-bar|aside|complementary|contentinfo|widget\w*|cookie\w*|consent|gdpr|"
     r"notice\w*|notification\w*|alert\w*|popup|pop-up|modal|overlay|newsletter|subscri\w*|signup|login|search\w*|share\w*|sharing|social\w*|related|recommend\w*|comment\w*|reply|replies|respond|disqus|"
     r"discussion\w*|pagination|pager|copyright|masthead|topbar|toolbar|skip-link|dialog|site-header|page-header|site-footer|page-footer)(?![a-z])"
 )
@@ -114,6 +114,8 @@ class Page:
         stack.append(len(self.tag) - 1)
         if name in BLOCK:
             self.items.append((top, None))
+        elif name in ("td", "th"):
+            self.items.append((top, " "))
 
     def path(self, i: int) -> str:
         labels = []
@@ -210,7 +212,7 @@ def with_host(pages: DataFrame) -> DataFrame:
 
 def host_paths(pages: DataFrame) -> DataFrame:
     """host and the path that its pages' votes make the winner. Votes are summed in each task before they move."""
-    votes = with_host(pages).select("host", "html").mapInArrow(_vote, "host string, path string, score long")
+    votes = with_host(pages).select("host", "html").mapInArrow(trimmed(_vote), "host string, path string, score long")
     return votes.groupBy("host", "path").agg(F.sum("score").alias("score")).groupBy("host").agg(F.max(F.struct("score", "path")).alias("best")).select("host", F.col("best.path").alias("path"))
 
 
@@ -219,7 +221,7 @@ def extract(pages: DataFrame) -> DataFrame:
     from millrace.llm.common import written
 
     winners = small_side(written(host_paths(pages), "host-paths"))
-    return with_host(pages).join(winners, "host", "left").select("page_id", "url", "html", "path").mapInArrow(_extract, "page_id long, url string, text string, n_chars long, path string")
+    return with_host(pages).join(winners, "host", "left").select("page_id", "url", "html", "path").mapInArrow(trimmed(_extract), "page_id long, url string, text string, n_chars long, path string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

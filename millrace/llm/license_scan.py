@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import pieces_of, raw, span_hashes, strings, table, word_spans
+from millrace.llm.common import pieces_of, raw, span_hashes, strings, table, trimmed, word_spans
 from millrace.llm.license_templates import templates
 
 THRESHOLD = 0.8
@@ -121,7 +121,7 @@ def _scan(known: list[tuple[str, str]], threshold: float):
 def scan(docs: DataFrame, known: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, license, dice (of the best unit), n_lines (lines that match) for each text and licence that match."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_scan(known or templates(), threshold), "doc_id long, license string, dice double, n_lines long")
+    return rows.mapInArrow(trimmed(_scan(known or templates(), threshold)), "doc_id long, license string, dice double, n_lines long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import maxplus
-from millrace.llm.common import strings, table, written
+from millrace.llm.common import strings, table, trimmed, written
 
 GIANT, CHUNK, LOOK, BLOCK = 50_000, 16_384, 2_048, 256
 RESULT = "doc_id long, ids array<int>, n_tokens long, round_trip boolean"
@@ -182,13 +182,13 @@ def _trace(path: str):
 
 def encode_giants(docs: DataFrame, path: str, chunk: int = CHUNK, look: int = LOOK, block: int = BLOCK) -> DataFrame:
     """RESULT for doc_id, text (no nulls), by the scan over chunks."""
-    parts = written(docs.mapInArrow(_split(path, chunk, look), "row long, doc_id long, chunk long, left string, body string, right string, safe_left boolean, safe_right boolean"), "chunks")
+    parts = written(docs.mapInArrow(trimmed(_split(path, chunk, look)), "row long, doc_id long, chunk long, left string, body string, right string, safe_left boolean, safe_right boolean"), "chunks")
     spread = parts.repartition("row", "chunk")
-    matrices = written(spread.mapInArrow(_transfer(path), "row long, chunk long, matrix binary").withColumn("block", F.expr(f"chunk div {block}")), "matrices")
+    matrices = written(spread.mapInArrow(trimmed(_transfer(path)), "row long, chunk long, matrix binary").withColumn("block", F.expr(f"chunk div {block}")), "matrices")
     products = matrices.groupBy("row", "block").applyInArrow(_product, "row long, block long, matrix binary")
     edges = products.groupBy("row").applyInArrow(_blocks, "row long, block long, edges binary")
     states = matrices.join(edges, ["row", "block"]).groupBy("row", "block").applyInArrow(_inside, "row long, chunk long, states binary")
-    traced = parts.join(states, ["row", "chunk"]).mapInArrow(_trace(path), "row long, doc_id long, chunk long, ids array<int>, same boolean")
+    traced = parts.join(states, ["row", "chunk"]).mapInArrow(trimmed(_trace(path)), "row long, doc_id long, chunk long, ids array<int>, same boolean")
     whole = traced.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("chunk", "ids"))).alias("parts"), F.min("same").alias("round_trip"))
     return whole.select("doc_id", F.flatten("parts.ids").alias("ids"), "round_trip").select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), "round_trip")
 
@@ -196,7 +196,7 @@ def encode_giants(docs: DataFrame, path: str, chunk: int = CHUNK, look: int = LO
 def encode(docs: DataFrame, path: str, giant: int = GIANT, chunk: int = CHUNK, look: int = LOOK, block: int = BLOCK) -> DataFrame:
     """doc_id, ids, n_tokens and whether decoding the ids gives the text back, for each row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return rows.where(F.length("text") <= giant).mapInArrow(_whole(path), RESULT).unionByName(encode_giants(rows.where(F.length("text") > giant), path, chunk, look, block))
+    return rows.where(F.length("text") <= giant).mapInArrow(trimmed(_whole(path)), RESULT).unionByName(encode_giants(rows.where(F.length("text") > giant), path, chunk, look, block))
 
 
 def _decode(path: str):
@@ -211,7 +211,7 @@ def _decode(path: str):
 
 def decode(coded: DataFrame, path: str) -> DataFrame:
     """doc_id, text from doc_id, ids; null ids give an empty text."""
-    return coded.select("doc_id", "ids").mapInArrow(_decode(path), "doc_id long, text string")
+    return coded.select("doc_id", "ids").mapInArrow(trimmed(_decode(path)), "doc_id long, text string")
 
 
 def model_path() -> str:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import strings, table, written
+from millrace.llm.common import strings, table, trimmed, written
 from millrace.llm.components import stars
 
 SHINGLE, SEED, BITS = 3, 42, 2
@@ -59,7 +59,7 @@ def _fingerprints(size: int):
 def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """doc_id and code, the fingerprint as a signed long."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_fingerprints(size), "doc_id long, code long")
+    return rows.mapInArrow(trimmed(_fingerprints(size)), "doc_id long, code long")
 
 
 def index_keys(bits: int = BITS) -> list[int]:
@@ -145,7 +145,7 @@ def links(codes: DataFrame, bits: int = BITS) -> DataFrame:
     masks = F.array(*[F.struct(F.lit(k).alias("choice"), F.lit(m - (1 << 64) if m >> 63 else m).cast("long").alias("mask")) for k, m in enumerate(index_keys(bits))])
     index = codes.select("code", F.explode(masks).alias("m")).select("code", F.col("m.choice").cast("int").alias("choice"), F.col("code").bitwiseAND(F.col("m.mask")).alias("key"))
     lists = index.repartition("choice", "key").sortWithinPartitions("choice", "key", "code")
-    return lists.mapInArrow(_links(bits), "a long, b long").distinct()
+    return lists.mapInArrow(trimmed(_links(bits)), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, bits: int = BITS) -> DataFrame:

@@ -24,7 +24,7 @@ from millrace.llm.common import pieces_of, put_file, shared_dir, strings, table,
 #: Ids after which a writer begins another file.
 IDS_PER_FILE = 2_000_000
 #: Words that a worker remembers before it starts afresh.
-WORDS_KEPT = 100_000
+WORDS_KEPT = 200_000
 END_ID = 1
 
 _TOKENIZERS: dict = {}
@@ -94,7 +94,7 @@ def encode_texts(texts: pa.Array, path: str, end_id: int = END_ID) -> tuple[np.n
     run_of, marks_of = np.asarray(run.indices, np.int64), np.asarray(marks.indices, np.int64)
     encoder = word_encoder(path)
     odd = coded.dictionary.filter(pa.array(~is_plain)).to_pylist()
-    lists = [*encoder.runs(run.dictionary, np.bincount(run_of, times[is_plain], len(run.dictionary)) > 2), *encoder.runs(marks.dictionary, np.ones(len(marks.dictionary), bool)), *encoder.whole(odd), [], [end_id]]
+    lists = [*encoder.runs(run.dictionary, np.bincount(run_of, times[is_plain], len(run.dictionary)) > 1), *encoder.runs(marks.dictionary, np.ones(len(marks.dictionary), bool)), *encoder.whole(odd), [], [end_id]]
     n_run, n_marks = len(run.dictionary), len(marks.dictionary)
     units = np.full((len(times), 2), len(lists) - 2)
     units[is_plain, 0], units[is_plain, 1] = run_of, n_run + marks_of
@@ -127,7 +127,7 @@ def _writer(folder: str, path: str, bits: int, ids_per_file: int):
 
         for batch in batches:
             texts, keys = strings(batch.column("text")), batch.column("doc_id")
-            for at, piece in pieces_of(texts, 4 << 20):
+            for at, piece in pieces_of(texts):
                 ids, starts = encode_texts(piece, path)
                 k, names = 0, keys.slice(at, len(piece)).to_pylist()
                 while k < len(names):

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import pieces_of, raw, span_hashes, strings, table, word_spans
+from millrace.llm.common import pieces_of, raw, span_hashes, strings, table, trimmed, word_spans
 
 #: Most labelled rows that a fit uses.
 MAX_ROWS = 8000
@@ -36,8 +36,8 @@ def features(texts: pa.Array, of: np.ndarray | None = None) -> tuple[np.ndarray,
     rows, buckets = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     buf, offsets = raw(pc.utf8_lower(texts))
     starts, ends, doc = word_spans(buf, offsets)
-    for at in range(0, len(starts), 1 << 20):
-        s, e, d = starts[at : at + (1 << 20)], ends[at : at + (1 << 20)], doc[at : at + (1 << 20)]
+    for at in range(0, len(starts), 1 << 18):
+        s, e, d = starts[at : at + (1 << 18)], ends[at : at + (1 << 18)], doc[at : at + (1 << 18)]
         for k, size in enumerate((None, *STEMS)):
             longer = slice(None) if size is None else e - s > size
             x, r = s[longer], d[longer]
@@ -67,15 +67,15 @@ class OrdinalModel:
         if not len(self.thresholds):
             return out
         used = self.weights != 0
-        for at, piece in pieces_of(texts):
+        for at, piece in pieces_of(texts, 2 << 20):
             row, bucket = features(piece, used)
             eta = np.bincount(row, self.weights[bucket], len(piece))
             out[at : at + len(piece)] = _sigmoid(eta[:, None] - self.thresholds[None, :]).sum(axis=1)
         return out
 
 
-def fit(row: np.ndarray, bucket: np.ndarray, grade: np.ndarray, steps: int = 800, rate: float = 0.05, ridge: float = 1e-5) -> OrdinalModel:
-    """Maximum likelihood by Adam over all rows. Only buckets that tell grades apart (three standard errors) take part."""
+def fit(row: np.ndarray, bucket: np.ndarray, grade: np.ndarray, steps: int = 2000, rate: float = 0.05, ridge: float = 1e-6) -> OrdinalModel:
+    """Maximum likelihood by Adam over all rows. Only buckets that tell grades apart (five and a half standard errors) take part."""
     kinds, y = np.unique(grade, return_inverse=True)
     n = len(grade)
     if len(kinds) < 2:
@@ -84,7 +84,7 @@ def fit(row: np.ndarray, bucket: np.ndarray, grade: np.ndarray, steps: int = 800
     high = (grade > 0)[row]
     total, hits, base = np.bincount(bucket, minlength=BUCKETS), np.bincount(bucket, high, BUCKETS), (grade > 0).mean()
     z = (hits - total * base) / np.sqrt(np.maximum(total * base * (1 - base), 1e-9))
-    chosen = np.flatnonzero((total >= 3) & (np.abs(z) >= 3))
+    chosen = np.flatnonzero((total >= 4) & (np.abs(z) >= 5.5))
     place = np.full(BUCKETS, -1)
     place[chosen] = np.arange(len(chosen))
     use = place[bucket] >= 0
@@ -134,11 +134,20 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Ordin
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     chosen = told.join(own, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    sample = texts.mapInArrow(_sampled, "doc_id long, toxic int, buckets binary").toArrow().combine_chunks().sort_by("doc_id")
-    parts = [np.frombuffer(b, "<u4").astype(np.int64) for b in sample.column("buckets").to_pylist()]
-    row = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-    bucket = np.concatenate(parts or [np.zeros(0, np.int64)])
-    return fit(row, bucket, graded(row, bucket, sample.column("toxic").to_numpy() > 0))
+    sample = texts.mapInArrow(trimmed(_sampled), "doc_id long, toxic int, buckets binary").toArrow().combine_chunks().sort_by("doc_id")
+    packed = strings_of_bytes(sample.column("buckets"))
+    bucket, edges = packed[0].view("<u4"), packed[1] // 4
+    row = np.repeat(np.arange(len(edges) - 1, dtype=np.int32), np.diff(edges))
+    toxic = sample.column("toxic").to_numpy() > 0
+    del sample
+    return fit(row, bucket, graded(row, bucket, toxic))
+
+
+def strings_of_bytes(column) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of a binary column, without copies of its rows."""
+    if isinstance(column, pa.ChunkedArray):
+        column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.large_binary())
+    return raw(column.cast(pa.large_binary()))
 
 
 def severities(docs: DataFrame, model: OrdinalModel, reject: float = REJECT) -> DataFrame:
@@ -150,7 +159,7 @@ def severities(docs: DataFrame, model: OrdinalModel, reject: float = REJECT) ->
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "severity": pa.array(s), "grade": pa.array(np.rint(s).astype(np.int32)), "toxic": pa.array(s >= reject)})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(score, "doc_id long, severity double, grade int, toxic boolean")
+    return rows.mapInArrow(trimmed(score), "doc_id long, severity double, grade int, toxic boolean")
 
 
 def drop_toxic(docs: DataFrame, model: OrdinalModel, reject: float = REJECT) -> DataFrame:
@@ -160,7 +169,7 @@ def drop_toxic(docs: DataFrame, model: OrdinalModel, reject: float = REJECT) ->
         for batch in batches:
             yield batch.filter(pa.array(model.severity(strings(batch.column("text"))) < reject))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(trimmed(keep), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import put_file, shared_dir, small_side, table
+from millrace.llm.common import put_file, shared_dir, small_side, table, trimmed, written
 
 LEAST_BYTES = 100
 #: Compressed bytes after which a writer begins another archive.
@@ -105,11 +105,11 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST_BYTES, byte
     """Writes pages (page_id, url, html) as archives and returns the manifest: file, n_records."""
     spark = pages.sparkSession
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    known = small_side(repeated(pages, least))
+    known = small_side(written(repeated(pages, least), "repeated-payloads"))
     told = pages.withColumn("digest", F.sha2(F.encode(F.coalesce("html", F.lit("")), "UTF-8"), 256)).join(known, "digest", "left")
     told = told.select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("response_id")), F.col("response_id")).alias("refers_to"))
     schema = "file string, n_records long"
-    told.mapInArrow(_writer(f"{folder}/archives", bytes_per_file), schema).write.parquet(f"{folder}/manifest")
+    told.mapInArrow(trimmed(_writer(f"{folder}/archives", bytes_per_file)), schema).write.parquet(f"{folder}/manifest")
     return spark.read.schema(schema).parquet(f"{folder}/manifest")
 
 
@@ -131,7 +131,7 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     """The headers of all records; digests and sizes of responses are those of the payloads read."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("content").mapInArrow(_reader, RECORD)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("content").mapInArrow(trimmed(_reader), RECORD)
 
 
 def resolve(heads: DataFrame) -> DataFrame:
@@ -152,9 +152,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     if not manifest.limit(1).count():
         return resolve(spark.createDataFrame([], RECORD))
     heads = read_archives(spark, f"{folder}/archives")
-    names = shared_dir(spark, "warc-heads")
-    heads.write.parquet(names)
-    return resolve(spark.read.schema(RECORD).parquet(names))
+    return resolve(written(heads, "warc-heads"))
 
 
 ORACLE = """
