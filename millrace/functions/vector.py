@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.session import reachable
+
 
 def _matrix(a: pa.Array) -> tuple[np.ndarray, int]:
     """(rows of the vectors that are not null, width)."""
@@ -43,6 +45,7 @@ def cosine(a: Column | str, b: Column | str, digits: int = 6, nan_policy: str =
     different dimensions are an error. The score is computed once a row, by numpy over Arrow batches: as a
     higher-order expression Catalyst evaluates it twice, in the threshold's filter and in the projection.
     """
+    reachable(SparkSession.active())
     s = F.arrow_udf(_cosine, T.DoubleType())(a, b)
     return F.round(F.nanvl(s, F.lit(None).cast("double")) if nan_policy == "drop" else s, digits)
 

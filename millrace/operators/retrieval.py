@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from millrace.functions.vector import cosine
 from millrace.operators.predicates import checked
 from millrace.schema import DEFAULT_SIMILARITY, DEFAULT_TOP_N
+from millrace.session import reachable
 
 
 def scored(rows: DataFrame, query: DataFrame, vector: str = "embedding", nan_policy: str = "drop") -> DataFrame:
@@ -112,6 +113,7 @@ def batch_search(rows: DataFrame, queries: DataFrame, k: int, similarity: float
     The queries are the stated set; they are collected in blocks and each block is scored against all rows by one
     matrix product a batch. A task keeps k rows a query before anything is shuffled.
     """
+    reachable(rows.sparkSession)
     parts = []
     n = queries.count()
     blocks = max(1, -(-n // 4096))
