@@ -83,3 +83,38 @@ def search_connector(spark: SparkSession, d: str) -> DataFrame:
     search.register(spark)
     results = [{"title": "Spark joins", "url": "http://a"}, {"title": "Cooking", "url": "http://b"}, {"title": "Spark sorts", "url": "http://c"}]
     return spark.read.format("millrace_search").options(query="spark", limit="5", results=json.dumps(results)).load().select("title", "url")
+
+
+@register("SELECT item_id, CAST(unnest(range(0, len(string_split(text, chr(10))))) AS INT) AS k, unnest(string_split(text, chr(10))) AS content, item_id * 1000 + unnest(range(0, len(string_split(text, chr(10))))) AS problem_id FROM benchmark")
+def problem_insert(spark: SparkSession, d: str) -> DataFrame:
+    """A request's list of problems as problem rows, joined to the mapping rows written with them."""
+    lines = table(spark, d, "benchmark").select("item_id", F.posexplode(F.split("text", "\n")).alias("k", "content"))
+    problems = lines.withColumn("problem_id", F.col("item_id") * 1000 + F.col("k"))
+    mapping = problems.select("problem_id", F.col("item_id").alias("paragraph_id"))
+    return problems.join(mapping, "problem_id").where("item_id = paragraph_id").select("item_id", "k", "content", "problem_id")
+
+
+@register(f"SELECT p_partkey, CASE WHEN p_size % 3 = 0 OR p_size % 3 = 1 THEN '{sc.DEFAULT_EMBEDDING_MODEL}' ELSE lower(p_brand) END AS model FROM part")
+def model_alias_resolution(spark: SparkSession, d: str) -> DataFrame:
+    """A missing or "default" model name stands for the real one, before any cache is asked."""
+    name = F.expr("CASE WHEN p_size % 3 = 0 THEN NULL WHEN p_size % 3 = 1 THEN 'default' ELSE lower(p_brand) END")
+    return table(spark, d, "part").select("p_partkey", ca.model_alias(name, sc.DEFAULT_EMBEDDING_MODEL).alias("model"))
+
+
+@register("SELECT doc_id, replace(text, 'a', '') AS clean, trim(text) = '' AS blank, starts_with(text, 'The') AS starts FROM documents")
+def text_predicates(spark: SparkSession, d: str) -> DataFrame:
+    """NUL characters removed (here in the place of each a), blank and prefix tests."""
+    from millrace.functions.text import without_nul
+
+    docs = table(spark, d, "documents")
+    return docs.select("doc_id", without_nul(F.translate("text", "a", "\0")).alias("clean"), (F.trim("text") == "").alias("blank"), F.col("text").startswith("The").alias("starts"))
+
+
+@register("SELECT c_custkey, n_name FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderdate >= (SELECT max(o_orderdate) FROM orders) - INTERVAL 90 DAY)")
+def recent_semi_join(spark: SparkSession, d: str) -> DataFrame:
+    """Rows with an event in an interval before the latest one: a semi join against a time range."""
+    o = table(spark, d, "orders").select("o_custkey", "o_orderdate")
+    last = o.agg(F.max("o_orderdate").alias("last"))
+    recent = o.crossJoin(F.broadcast(last)).where("o_orderdate >= last - INTERVAL 90 DAY").select(F.col("o_custkey").alias("c_custkey"))
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    return table(spark, d, "customer").select("c_custkey", "c_nationkey").join(recent, "c_custkey", "left_semi").join(n, "c_nationkey").select("c_custkey", "n_name")
