@@ -42,11 +42,12 @@ def cosine(a: Column | str, b: Column | str, digits: int = 6, nan_policy: str =
     """1 - cosine distance, in double precision, rounded; null where a vector is null.
 
     A zero vector has no direction: its score is null, or NaN (greater than all) under nan_policy "keep". Vectors of
-    different dimensions are an error. The score is computed once a row, by numpy over Arrow batches: as a
-    higher-order expression Catalyst evaluates it twice, in the threshold's filter and in the projection.
+    different dimensions are an error. The score is computed once a row, by numpy over Arrow batches. It is
+    declared nondeterministic (it isn't) because Catalyst would else push a threshold's filter below the projection
+    and compute the score in both.
     """
     reachable(SparkSession.active())
-    s = F.arrow_udf(_cosine, T.DoubleType())(a, b)
+    s = F.arrow_udf(_cosine, T.DoubleType()).asNondeterministic()(a, b)
     return F.round(F.nanvl(s, F.lit(None).cast("double")) if nan_policy == "drop" else s, digits)
 
 

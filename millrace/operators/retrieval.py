@@ -1,8 +1,9 @@
 """Exact cosine retrieval over the star of datasets, documents, paragraphs and sentences.
 
-Every search joins, filters by flags and datasets, scores each remaining row once, keeps scores strictly above the
-threshold and takes the best k; ties go to the smaller id. Datasets are a small table: they are broadcast when
-Spark's statistics say so. Without a match the result is empty.
+Every search filters by flags and datasets, scores each remaining row once, keeps scores strictly above the threshold,
+and only then joins: what the joins shuffle is the matches, without their vectors. The best k are taken last; ties go
+to the smaller id. Datasets are a small table: they are broadcast when Spark's statistics say so. Without a match the
+result is empty.
 """
 
 from __future__ import annotations
@@ -36,44 +37,44 @@ def knn(df: DataFrame, query: DataFrame, columns: list[str], similarity: float |
     return top(scored(own, query, vector, nan_policy), similarity, k, key).select(*columns, "similarity")
 
 
-def star(paragraphs: DataFrame, documents: DataFrame, datasets: DataFrame, dataset_ids: list[int] | None = None, scope: DataFrame | None = None) -> DataFrame:
-    """Visible, active paragraphs with their document's and dataset's names. A deleted document still yields hits."""
-    p = paragraphs.where("is_active AND deleted = 0")
+def matches(rows: DataFrame, query: DataFrame, similarity: float | None, vector: str, dataset_ids: list[int] | None, scope: DataFrame | None) -> DataFrame:
+    """rows of the datasets whose score is above the threshold, without their vectors."""
     if dataset_ids is not None:
-        p = p.where(F.col("dataset_id").isin(dataset_ids))
+        rows = rows.where(F.col("dataset_id").isin(dataset_ids))
     if scope is not None:
-        p = p.join(scope.select("dataset_id").distinct(), "dataset_id", "left_semi")
+        rows = rows.join(scope.select("dataset_id").distinct(), "dataset_id", "left_semi")
+    t = DEFAULT_SIMILARITY if similarity is None else similarity
+    return scored(rows.where(F.col(vector).isNotNull()), query, vector).where(F.col("similarity") > float(t)).drop(vector)
+
+
+def named(hits: DataFrame, documents: DataFrame, datasets: DataFrame) -> DataFrame:
+    """hits with their document's and visible dataset's names. A deleted document still yields hits."""
     d = documents.select(F.col("id").alias("document_id"), F.col("name").alias("document_name"))
     ds = datasets.where("deleted = 0").select(F.col("id").alias("dataset_id"), F.col("name").alias("dataset_name"))
-    return p.join(d, "document_id").join(ds, "dataset_id")
+    return hits.join(d, "document_id").join(ds, "dataset_id")
 
 
 HIT_COLUMNS = ["id", "document_id", "document_name", "dataset_id", "dataset_name", "title", "status", "is_active", "similarity"]
 
 
 def paragraph_search(paragraphs: DataFrame, documents: DataFrame, datasets: DataFrame, query: DataFrame, dataset_ids: list[int] | None = None, similarity: float | None = None, k: int | None = None, scope: DataFrame | None = None, vector: str = "embedding") -> DataFrame:
-    rows = star(paragraphs, documents, datasets, dataset_ids, scope)
-    return top(scored(rows, query, vector), similarity, k).select(*HIT_COLUMNS, F.col("similarity").alias("comprehensive_score"))
+    p = paragraphs.where("is_active AND deleted = 0").select("id", "document_id", "dataset_id", "title", "status", "is_active", vector)
+    return top(named(matches(p, query, similarity, vector, dataset_ids, scope), documents, datasets), similarity, k).select(*HIT_COLUMNS, F.col("similarity").alias("comprehensive_score"))
 
 
 def title_search(paragraphs: DataFrame, documents: DataFrame, datasets: DataFrame, query: DataFrame, dataset_ids: list[int] | None = None, similarity: float | None = None, k: int | None = None) -> DataFrame:
     """Paragraphs by their titles' vectors; documents are joined outer, datasets outer and then filtered."""
-    p = paragraphs.where("is_active AND deleted = 0")
-    if dataset_ids is not None:
-        p = p.where(F.col("dataset_id").isin(dataset_ids))
+    p = paragraphs.where("is_active AND deleted = 0").select("id", "document_id", "dataset_id", "title", "status", "is_active", "title_embedding")
+    hits = matches(p, query, similarity, "title_embedding", dataset_ids, None)
     d = documents.select(F.col("id").alias("document_id"), F.col("name").alias("document_name"))
     ds = datasets.select(F.col("id").alias("dataset_id"), F.col("name").alias("dataset_name"), F.col("deleted").alias("dataset_deleted"))
-    rows = p.join(d, "document_id", "left").join(ds, "dataset_id", "left").where("dataset_deleted = 0")
-    return top(scored(rows, query, "title_embedding"), similarity, k).select(*HIT_COLUMNS, F.col("similarity").alias("comprehensive_score"))
+    rows = hits.join(d, "document_id", "left").join(ds, "dataset_id", "left").where("dataset_deleted = 0")
+    return top(rows, similarity, k).select(*HIT_COLUMNS, F.col("similarity").alias("comprehensive_score"))
 
 
 def sentence_search(sentences: DataFrame, paragraphs: DataFrame, documents: DataFrame, datasets: DataFrame, query: DataFrame, dataset_ids: list[int] | None = None, similarity: float | None = None, k: int | None = None, scope: DataFrame | None = None) -> DataFrame:
     """Split sentences (type 1) and summaries (type 2): only the former need an active paragraph, the latter an active document."""
-    s = sentences.where("deleted = 0")
-    if dataset_ids is not None:
-        s = s.where(F.col("dataset_id").isin(dataset_ids))
-    if scope is not None:
-        s = s.join(scope.select("dataset_id").distinct(), "dataset_id", "left_semi")
+    s = matches(sentences.where("deleted = 0").drop("deleted"), query, similarity, "embedding", dataset_ids, scope)
     d = documents.select(F.col("id").alias("document_id"), F.col("name").alias("document_name"), F.col("is_active").alias("d_active"))
     ds = datasets.where("deleted = 0").select(F.col("id").alias("dataset_id"), F.col("name").alias("dataset_name"))
     p = paragraphs.select(F.col("id").alias("p_id"), F.col("title").alias("p_title"), F.col("status").alias("p_status"), F.col("is_active").alias("p_active"))
@@ -88,11 +89,9 @@ def sentence_search(sentences: DataFrame, paragraphs: DataFrame, documents: Data
         F.when(F.col("type") == 1, F.col("p_title")).otherwise("").alias("title"),
         F.when(F.col("type") == 1, F.col("p_status")).otherwise("1").alias("status"),
         F.when(F.col("type") == 1, F.col("p_active")).otherwise(F.col("d_active")).alias("is_active"),
-        "embedding",
+        "similarity",
     )
-    # Ids are unique and so are the joined keys, but nothing tells Spark so: duplicates go after the threshold, on few rows.
-    hits = scored(rows, query).drop("embedding").where(F.col("similarity") > float(DEFAULT_SIMILARITY if similarity is None else similarity)).distinct()
-    return top(hits, similarity, k)
+    return top(rows.distinct(), similarity, k)  # ids and joined keys are unique, but nothing tells Spark so
 
 
 def search(mode: str, scope: str, paragraph, sentence) -> DataFrame | None:
