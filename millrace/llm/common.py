@@ -13,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.session import reachable
+
 #: Most rows of a side that is broadcast by hint; beyond it the join shuffles.
 BROADCAST_ROWS = 300_000
 
@@ -21,8 +23,9 @@ BROADCAST_ROWS = 300_000
 BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "16m")}
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Sets the bounds where the session still has Spark's defaults."""
+def prepare(spark: SparkSession) -> None:
+    """Sets the bounds where the session still has Spark's defaults, and lets its workers import this package."""
+    reachable(spark)
     for key, (default, value) in BATCHES.items():
         if spark.conf.get(key) == default:
             spark.conf.set(key, value)
@@ -43,6 +46,9 @@ def release() -> None:
 def trimmed(run):
     """A function over a task's batches that gives freed memory back to the system after each; workers live on between tasks."""
 
+    if (active := SparkSession.getActiveSession()) is not None:
+        prepare(active)
+
     def each(batches):
         from millrace.llm import common  # by name: the library's handle can't be sent
 
@@ -54,13 +60,13 @@ def trimmed(run):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    bound_batches(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder that driver and executors share, under spark.checkpoint.dir; a local one only where that is unset."""
-    bound_batches(spark)
+    prepare(spark)
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         base = "file://" + os.path.join(tempfile.gettempdir(), "millrace-checkpoints")
