@@ -74,7 +74,7 @@ class OrdinalModel:
         return out
 
 
-def fit(row: np.ndarray, bucket: np.ndarray, grade: np.ndarray, steps: int = 2000, rate: float = 0.05, ridge: float = 1e-6) -> OrdinalModel:
+def fit(row: np.ndarray, bucket: np.ndarray, grade: np.ndarray, steps: int = 2000, rate: float = 0.05, ridge: float = 0.1) -> OrdinalModel:
     """Maximum likelihood by Adam over all rows. Only buckets that tell grades apart (five and a half standard errors) take part."""
     kinds, y = np.unique(grade, return_inverse=True)
     n = len(grade)
@@ -102,7 +102,7 @@ def fit(row: np.ndarray, bucket: np.ndarray, grade: np.ndarray, steps: int = 200
         d_theta = np.bincount(grade, up, top + 1)[:top] - np.bincount(grade, down, top + 1)[1:]
         later = np.cumsum(d_theta[::-1])[::-1]
         g = -np.concatenate([np.bincount(c, d_eta[r], len(chosen)), later * np.concatenate([[1.0], np.exp(w[len(chosen) + 1 :])])]) / n
-        g[: len(chosen)] += ridge * w[: len(chosen)]
+        g[: len(chosen)] += ridge / n * w[: len(chosen)]  # one prior for all sample sizes
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     weights = np.zeros(BUCKETS)
