@@ -165,3 +165,39 @@ def test_licenses_of_odd_rows(odd_docs, no_docs):
 @pytest.mark.parametrize("name,text", license_templates.templates())
 def test_every_template_matches_itself(name, text):
     assert name in {k for _, k in license_scan.Matcher(license_templates.templates()).scan(strings(pa.array([text])))}
+
+
+@pytest.mark.parametrize("name", ["MIT", "ISC", "BSD-3-Clause", "Apache-2.0", "GPL-3.0"])
+@pytest.mark.parametrize("mark", ["", "# ", " * "])
+def test_licenses_of_several_paragraphs_inside_long_texts(name, mark):
+    """A blank or empty comment line after each of the licence's lines, or most of them, then code."""
+    text = dict(reversed(license_templates.templates()))[name]
+    notice = "\n".join(mark + line + ("\n" + mark.rstrip() if k % 3 else "") for k, line in enumerate(text.split("\n")))
+    code = "\n".join(f"value{k} = call_{k % 7}(value{k - 1}, {k})" for k in range(200))
+    got = license_scan.Matcher(license_templates.templates()).scan(strings(pa.array([f"{notice}\n\n{code}", f"{code}\n\n{notice}\n\n{code}", code])))
+    assert {k: v[0] >= 0.95 for k, v in got.items()} == {(0, name): True, (1, name): True}
+
+
+def test_windows_against_all_runs_of_pieces():
+    """The best coefficient of a licence is that of the best run of lines, and repeated licences cost no more than their length."""
+    rng, own = random.Random(3), license_templates.templates()[:2]
+    lines = [x for _, t in own for x in t.split("\n")]
+    matcher = license_scan.Matcher(own)
+    hits = 0
+    for _ in range(30):
+        text = []
+        for line in own[0][1].replace(".", "").split("\n"):
+            text += [line] + ["", "other words here"] * rng.randint(0, 1) + [rng.choice(lines).replace(".", "")] * (rng.random() < 0.1)
+        text = ["begin of file"] * rng.randint(0, 40) + text + [f"end{k} of{k} file{k}" for k in range(60)]
+        want = 0.0
+        for a in range(len(text)):
+            for b in range(a + 1, len(text) + 1):
+                w = re.findall(WORD, " ".join(text[a:b]).lower())
+                g, x = set(zip(w, w[1:])), re.findall(WORD, own[0][1].lower())
+                x = set(zip(x, x[1:]))
+                want = max(want, 2 * len(g & x) / (len(g) + len(x)))
+        got = matcher.scan(strings(pa.array(["\n".join(text)]))).get((0, "MIT"), (0.0, 0))[0]
+        hits += want >= 0.8
+        assert round(got, 9) == (round(want, 9) if want >= 0.8 else 0)
+    assert hits
+    assert set(matcher.scan(strings(pa.array(["\n\n".join([own[0][1]] * 400)])))) == {(0, "MIT")}
