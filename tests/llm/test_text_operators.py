@@ -131,6 +131,37 @@ def test_benchmark_in_blocks(spark, sf, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, items).collect()} == whole
 
 
+def test_verbatim_leaks_of_a_benchmark_of_thousands(spark):
+    """Far more passages than a latent space has directions, some items over several spaces; each is found where it was put."""
+    texts = [r.text.split() for r in table(spark, "/root/testdata/sf0.1", "documents").where("lang = 'en'").orderBy("doc_id").limit(4000).collect()]
+    texts = [t for t in texts if len(t) >= 160]
+    n = 2000
+    assert len(texts) > 1
+    rng = random.Random(4)
+    items = []
+    for k in range(n):
+        t = texts[rng.randrange(len(texts))]
+        at = rng.randrange(len(t) - 40)
+        items.append((k, " ".join(t[at : at + 38])))
+    items.append((n, " ".join(f"own{j}" for j in range(64 * 300))))
+    docs = []
+    for k, text in items[:n]:
+        t = texts[rng.randrange(len(texts))][:80]
+        docs.append((k, " ".join([*t[:40], *text.split(), *t[40:]])))
+    docs.append((n, " ".join(f"own{j}" for j in range(64 * 280, 64 * 281))))
+    found = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = {(r.doc_id, r.item_id) for r in found}
+    assert len(got) == len(found) and {(k, k) for k in range(n + 1)} <= got
+
+
+def test_groups_hold_whole_items():
+    p = decontaminate.Passages.__new__(decontaminate.Passages)
+    p.item = [None, None, 1, 2, 2, 2, 2, 2, 3, 4]
+    p.words = p.answer = list(range(10))
+    assert [g.item for g in p.groups(3)] == [[None, None, 1], [2] * 5, [3, 4]]
+    assert [w for g in p.groups(3) for w in g.words] == p.words
+
+
 WORD = r"[a-z0-9\u0080-\U0010ffff]+"
 
 
