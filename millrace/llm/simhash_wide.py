@@ -4,9 +4,10 @@ Texts of a Jaccard similarity of 0.8 over five-word shingles differ in about 15
 bits no positional byte is then sure to be shared, so the fingerprint here has 256 bits in 32 positional bytes, each
 text is listed under the pairs of its fourteen steadiest positions (those whose bits' sums lie furthest from a tie;
 near copies agree on most of these), and a pair's tally must reach two shared positional bytes. Candidates of a list
-whose bits differ more than those of texts of the wanted similarity do (on average and two standard deviations) are
+whose bits differ more than those of texts of the wanted similarity do (on average and MARGIN standard deviations) are
 left out; the others are verified by the Jaccard similarity of their shingles' SKETCH smallest hashes, which is exact
-for texts of up to SKETCH distinct shingles and has a standard error of 0.025 for longer ones.
+for texts of up to SKETCH distinct shingles. For longer ones it only decides pairs that are MARGIN standard errors from
+the wanted similarity; the others are decided by all their distinct shingles' hashes.
 
 Lists of up to SHORT members report all their near pairs; of a longer list each member reports its NEAREST nearest
 and MIDDLE most central ones, if they are near. Lists of more than LONG, which only large groups of near copies or
@@ -36,22 +37,27 @@ POSITIONS, STEADIEST, SHARED = 32, 14, 2
 LONG, SHORT, NEAREST, MIDDLE, CENTRAL = 512, 5, 1, 1, 16
 #: 64-bit words of the fingerprint that the lists carry for the first comparison.
 CARRIED = 2
-SKETCH = 256
+SKETCH, MARGIN = 256, 4
 _SEEDS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], np.uint64)
 _PAIRS = np.array(list(combinations(range(STEADIEST), SHARED)))
 
 
 def most_bits(similarity: float) -> int:
-    """Differing bits, of those that lists carry, of texts of this Jaccard similarity, as sets of equal size: the mean and two standard deviations."""
+    """Differing bits, of those that lists carry, of texts of this Jaccard similarity, as sets of equal size: the mean and MARGIN standard deviations."""
     share, n = math.acos(2 * similarity / (1 + similarity)) / math.pi, 64 * CARRIED
-    return round(n * share + 2 * math.sqrt(n * share * (1 - share)))
+    return round(n * share + MARGIN * math.sqrt(n * share * (1 - share)))
 
 
-def wide_fingerprint(text: str, size: int = WORDS) -> tuple[bytes, np.ndarray, bytes]:
-    """(32 bytes, the steadiest positions in order, the smallest hashes). Distinct shingles count once, as in the Jaccard similarity."""
+def shingle_hashes(text: str, size: int = WORDS) -> np.ndarray:
+    """The distinct shingles' hashes, in order."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
     digest, join = xxhash.xxh64_intdigest, b" ".join
-    hashes = np.unique(np.fromiter((digest(join(words[i : i + size])) for i in range(max(1, len(words) - size + 1) if words else 0)), np.uint64))
+    return np.unique(np.fromiter((digest(join(words[i : i + size])) for i in range(max(1, len(words) - size + 1) if words else 0)), np.uint64))
+
+
+def wide_fingerprint(text: str, size: int = WORDS) -> tuple[bytes, np.ndarray, bytes]:
+    """(32 bytes, the steadiest positions in order, the smallest hashes). Distinct shingles count once, as in the Jaccard similarity."""
+    hashes = shingle_hashes(text, size)
     n, ones = len(hashes), np.zeros(8 * POSITIONS, np.int64)
     for at in range(0, n, 1 << 14):
         h = hashes[at : at + (1 << 14)]
@@ -198,15 +204,47 @@ def _links(bits: int):
     return run
 
 
-def _verify(similarity: float):
+def sketch_decides(a: bytes, b: bytes, similarity: float) -> bool | None:
+    """Whether two texts are similar, or None if their sketches leave it open."""
+    found = sketch_similarity(a, b)
+    whole = max(len(a), len(b)) < 4 * SKETCH
+    margin = 0 if whole else MARGIN * math.sqrt(similarity * (1 - similarity) / SKETCH)
+    return None if not whole and abs(found - similarity) <= margin else found >= similarity
+
+
+def similar(a: bytes, b: bytes, similarity: float) -> bool:
+    """Whether two texts are similar, by all their distinct shingles' hashes."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= similarity * (len(x) + len(y) - both)
+
+
+def _sketched(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = [sketch_similarity(a, b) >= similarity for a, b in zip(batch.column("sketch_a").to_pylist(), batch.column("sketch_b").to_pylist())]
+            near = [sketch_decides(a, b, similarity) for a, b in zip(batch.column("value_a").to_pylist(), batch.column("value_b").to_pylist())]
+            yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b"), "near": pa.array(near, pa.bool_())})
+
+    return run
+
+
+def _exact(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = [similar(a, b, similarity) for a, b in zip(batch.column("value_a").to_pylist(), batch.column("value_b").to_pylist())]
             yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     return run
 
 
+def _hashes(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "value": pa.array([shingle_hashes(t.as_py(), size).tobytes() for t in strings(batch.column("text"))], pa.binary())})
+
+    return run
+
+
 def near_groups(docs: DataFrame, size: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id and component_id (the smallest doc_id of its group) for each row with a doc_id."""
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -218,9 +256,17 @@ def near_groups(docs: DataFrame, size: int = WORDS, similarity: float = SIMILARI
     ids = small_side(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     sketches = written(coded.select("doc_id", "sketch").join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.first("sketch").alias("sketch")), "sketches")
 
+    def joined(some: DataFrame, values: DataFrame) -> DataFrame:
+        return some.select("a", "b").join(values.select(F.col("doc_id").alias("a"), F.col("value").alias("value_a")), "a").join(values.select(F.col("doc_id").alias("b"), F.col("value").alias("value_b")), "b")
+
     def verified(some: DataFrame) -> DataFrame:
-        both = some.select("a", "b").join(sketches.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sketch_a")), "a").join(sketches.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sketch_b")), "b")
-        return written(both.mapInArrow(trimmed(_verify(similarity)), "a long, b long"), "verified")
+        told = written(joined(some, sketches.withColumnRenamed("sketch", "value")).mapInArrow(trimmed(_sketched(similarity)), "a long, b long, near boolean"), "sketched")
+        unsure = told.where("near IS NULL")
+        wanted = small_side(unsure.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+        texts = rows.join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.first("text").alias("text"))
+        whole = written(texts.mapInArrow(trimmed(_hashes(size)), "doc_id long, value binary"), "shingles")
+        exact = joined(unsure, whole).mapInArrow(trimmed(_exact(similarity)), "a long, b long")
+        return written(told.where("near").select("a", "b").unionByName(exact), "verified")
 
     ends = pairs.select("a", "b", "d").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
     first = ends.groupBy("a").agg(F.min(F.struct("d", "b")).alias("n")).select(F.greatest("a", "n.b").alias("a"), F.least("a", "n.b").alias("b")).distinct()

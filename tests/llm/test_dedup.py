@@ -160,3 +160,25 @@ def test_a_long_list_links_every_member(spark, monkeypatch):
     rows = [(k, " ".join(base[:k] + [f"edit{k}"] + base[k + 1 :])) for k in range(100)]
     got = simhash_wide.near_groups(spark.createDataFrame(rows, "doc_id long, text string"))
     assert got.select("component_id").distinct().count() == 1
+
+
+def test_long_texts_near_the_bound_are_decided_by_all_shingles(spark):
+    """Pairs of texts of 1,500 words just above and just below a similarity of 0.8, each by the exact sets."""
+    rng = np.random.default_rng(11)
+    rows, pairs = [], []
+    for k in range(80):
+        w = [f"t{k}w{i}" for i in range(1500)]
+        v = list(w)
+        for i in rng.choice(300, 31 + k % 5, replace=False):
+            v[5 * i] = f"edit{k}x{i}"
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(v))]
+        a, b = shingles(rows[-2][1]), shingles(rows[-1][1])
+        pairs.append(len(a & b) / len(a | b) >= 0.8)
+    sketches = [simhash_wide.wide_fingerprint(t)[2] for _, t in rows]
+    by_sketch = [simhash_wide.sketch_similarity(a, b) >= 0.8 for a, b in zip(sketches[::2], sketches[1::2])]
+    assert by_sketch != pairs and 10 < sum(pairs) < 70
+    whole = [simhash_wide.shingle_hashes(t).tobytes() for _, t in rows]
+    assert [simhash_wide.similar(a, b, 0.8) for a, b in zip(whole[::2], whole[1::2])] == pairs
+    got = {r.doc_id: r.component_id for r in simhash_wide.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    joined = [got[2 * k] == got[2 * k + 1] for k in range(80)]
+    assert any(joined) and not any(j and not p for j, p in zip(joined, pairs))
