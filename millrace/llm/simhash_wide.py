@@ -33,7 +33,7 @@ from millrace.llm.common import small_side, strings, trimmed, written
 from millrace.llm.components import stars
 
 WORDS, SIMILARITY = 5, 0.8
-POSITIONS, STEADIEST, SHARED = 32, 14, 2
+POSITIONS, STEADIEST, SHARED = 32, 32, 2
 LONG, SHORT, NEAREST, MIDDLE, CENTRAL = 512, 5, 1, 1, 16
 #: 64-bit words of the fingerprint that the lists carry for the first comparison.
 CARRIED = 2

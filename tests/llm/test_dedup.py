@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -182,3 +183,25 @@ def test_long_texts_near_the_bound_are_decided_by_all_shingles(spark):
     got = {r.doc_id: r.component_id for r in simhash_wide.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     joined = [got[2 * k] == got[2 * k + 1] for k in range(80)]
     assert any(joined) and not any(j and not p for j, p in zip(joined, pairs))
+
+
+def test_pairs_from_080_to_085_share_a_list():
+    """Candidates hold nearly all pairs just above the wanted similarity, by the index's keys and the bit bound."""
+    rng = np.random.default_rng(12)
+    found = n = 0
+    for k in range(400):
+        w = [f"p{k}w{i}" for i in range(300)]
+        v = list(w)
+        for i in rng.choice(300, 6, replace=False):
+            v[i] = f"edit{k}x{i}"
+        a, b = shingles(" ".join(w)), shingles(" ".join(v))
+        if not 0.8 <= len(a & b) / len(a | b) < 0.85:
+            continue
+        codes = [simhash_wide.wide_fingerprint(" ".join(x)) for x in (w, v)]
+        batch = pa.RecordBatch.from_pydict({"id": pa.array([0, 1]), "code": pa.array([c for c, *_ in codes], pa.binary()), "places": pa.array([p.astype(np.uint8).tobytes() for _, p, _ in codes], pa.binary())})
+        (index,) = simhash_wide._index(iter([batch]))
+        keys, ids = index.column("key").to_numpy(), index.column("id").to_numpy()
+        x, y = (np.frombuffer(c, np.uint64)[: simhash_wide.CARRIED] for c, *_ in codes)
+        n += 1
+        found += bool(np.intersect1d(keys[ids == 0], keys[ids == 1]).size) and int(np.bitwise_count(x ^ y).sum()) <= simhash_wide.most_bits(0.8)
+    assert n > 200 and found >= 0.995 * n, (found, n)
