@@ -13,7 +13,7 @@ from millrace.operators import cache as ca
 from millrace.operators import dml
 from millrace.plans.ctes import with_tables
 from millrace.plans.registry import register
-from millrace.plans.tables import _scratch
+from millrace.session import scratch
 from millrace.sources import knowledge as kb
 from millrace.sources import readers, search
 from millrace.sources.readers import table
@@ -49,14 +49,14 @@ def null_rejecting_join(spark: SparkSession, d: str) -> DataFrame:
 @register("SELECT c_custkey AS id, c_name AS name FROM customer")
 def csv_export(spark: SparkSession, d: str) -> DataFrame:
     """All rows written as CSV with a header and read again."""
-    out = _scratch(spark, "export")
+    out = scratch(spark, "export")
     dml.export_csv(table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")), out)
     return spark.read.schema("id long, name string").option("header", True).csv(out)
 
 
 @register("SELECT replace(text, chr(10), ' ') AS value FROM benchmark")
 def text_file_sink(spark: SparkSession, d: str) -> DataFrame:
-    out = _scratch(spark, "markdown")
+    out = scratch(spark, "markdown")
     table(spark, d, "benchmark").select(F.translate("text", "\n", " ").alias("value")).write.text(out)
     return spark.read.text(out)
 
@@ -71,7 +71,7 @@ def reembed_paragraphs(spark: SparkSession, d: str) -> DataFrame:
 @register("SELECT unnest(['gpt-small', 'gpt-large']) AS name, 'EMBEDDING' AS model_type")
 def provider_catalogue(spark: SparkSession, d: str) -> DataFrame:
     """A multi-line JSON catalogue {code, data: [...]} as rows."""
-    out = _scratch(spark, "catalogue")
+    out = scratch(spark, "catalogue")
     text = json.dumps({"code": 200, "data": [{"name": n, "model_type": "EMBEDDING"} for n in ("gpt-small", "gpt-large")]}, indent=1)
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(out)
     return readers.json_catalogue(spark, out, "name: string, model_type: string")

@@ -2,25 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators import dml
 from millrace.plans.ctes import with_tables
 from millrace.plans.registry import register
+from millrace.session import scratch
 from millrace.sources import knowledge as kb
 from millrace.sources.readers import columns_of, table
 from millrace.streaming import chat, retention
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @register("SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END AS status, CASE WHEN o_orderkey % 5 = 0 THEN 2 ELSE 1 END AS version FROM orders UNION ALL SELECT -1 - o_orderkey, 'N', 1 FROM orders WHERE o_orderkey % 100 = 0")
 def upsert_latest(spark: SparkSession, d: str) -> DataFrame:
     base = table(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"), F.lit(1).alias("version"))
@@ -97,9 +90,9 @@ def chat_record_finalise(spark: SparkSession, d: str) -> DataFrame:
 
 @register(_FOLD)
 def chat_fold_stream(spark: SparkSession, d: str) -> DataFrame:
-    source = _scratch(spark, "chat-chunks")
+    source = scratch(spark, "chat-chunks")
     _chunks(spark, d).write.parquet(source)
-    return chat.run_fold(spark, source, _scratch(spark, "chat-folded"), _scratch(spark, "chat-state"))
+    return chat.run_fold(spark, source, scratch(spark, "chat-folded"), scratch(spark, "chat-state"))
 
 
 @register("SELECT conv_id, turn, text AS delta, false AS is_end, false AS is_error FROM conversations UNION ALL SELECT conv_id, max(turn) + 1, '', true, false FROM conversations GROUP BY conv_id")
