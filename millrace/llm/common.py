@@ -4,19 +4,18 @@ from __future__ import annotations
 
 import ctypes
 import os
-import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.session import reachable
+from millrace.session import reachable, scratch
 
-#: Most rows of a side that is broadcast by hint; beyond it the join shuffles.
-BROADCAST_ROWS = 300_000
+#: Most rows of a side that is broadcast by hint; beyond it the join shuffles. A side of bare numbers takes some 25 bytes a row.
+BROADCAST_ROWS, BROADCAST_NUMBERS = 300_000, 2_000_000
 
 
 #: Bounds of the batches that go to Python (Spark's defaults, ours), so that long texts don't make them large.
@@ -65,21 +64,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder that driver and executors share, under spark.checkpoint.dir; a local one only where that is unset."""
+    """A fresh folder under spark.checkpoint.dir, which driver and executors share. See millrace.session.scratch."""
     prepare(spark)
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = "file://" + os.path.join(tempfile.gettempdir(), "millrace-checkpoints")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return scratch(spark, name)
 
 
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Cuts lineage: writes df to the shared folder and reads it back."""
+    return written_with_sums(df, name, codec)[0]
+
+
+def written_with_sums(df: DataFrame, name: str, codec: str = "zstd", **sums: Column) -> tuple[DataFrame, dict, str]:
+    """(df written and read back, aggregates that the same job observed, the folder)."""
     spark = df.sparkSession
-    out = shared_dir(spark, name)
-    df.write.option("compression", codec).parquet(out)
-    return spark.read.schema(df.schema).parquet(out)
+    out, seen = shared_dir(spark, name), Observation()
+    told = df.observe(seen, *[c.alias(k) for k, c in sums.items()]) if sums else df
+    told.write.option("compression", codec).parquet(out)
+    return spark.read.schema(df.schema).parquet(out), seen.get if sums else {}, out
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder that this package wrote and nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_side(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -87,6 +94,11 @@ def small_side(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """docs written once as (row, at): the whole row as a struct, so that names can't clash, and a number of its own."""
+    return written(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("at")), name)
+
+
 def file_system(uri: str):
     """(pyarrow file system, path) of a shared folder's URI."""
     from pyarrow import fs
@@ -114,6 +126,9 @@ _ALNUM = np.zeros(256, bool)
 _ALNUM[128:] = True
 for _c in b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ":
     _ALNUM[_c] = True
+#: Bytes that are not ASCII white space; ASCII letters in lower case.
+VISIBLE = ~np.isin(np.arange(256), [32, *range(9, 14)])
+LOWER = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256)).astype(np.uint8)
 _MASK = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [2**64 - 1], np.uint64)
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -133,11 +148,11 @@ def raw(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def word_spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, text number) of the runs of letters, digits and non-ASCII bytes; no run crosses a text's edge."""
+def word_spans(buf: np.ndarray, offsets: np.ndarray, inside: np.ndarray = _ALNUM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, text number) of the runs of letters, digits and non-ASCII bytes, or of the bytes that `inside` marks; no run crosses a text's edge."""
     if not len(buf):
         return (np.zeros(0, np.int64),) * 3
-    word = _ALNUM[buf]
+    word = inside[buf]
     first = np.zeros(len(buf) + 1, bool)
     first[offsets] = True
     begins, stops = word.copy(), word.copy()

@@ -5,22 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import written
-
-
-def _state(edges: DataFrame) -> tuple[int, int]:
-    n, total = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    return n, int(total or 0)
+from millrace.llm.common import remove, written_with_sums
 
 
 def stars(edges: DataFrame) -> DataFrame:
     """edges (a, b) of comparable ids -> (a, b): each node with the smallest node of its component, itself left out.
 
-    Minima are aggregated before each shuffle, and each round's edges are written to the shared folder. Joins run on
-    the side with one row a node, so AQE splits the rows of a hub.
+    Minima are aggregated before each shuffle, and each round's edges are written to the shared folder, where the job that
+    writes them also observes whether they changed; the round before is deleted. Joins run on the side with one row a
+    node, so AQE splits the rows of a hub.
     """
-    edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    now = _state(edges)
+    spark = edges.sparkSession
+
+    def kept(some: DataFrame) -> tuple[DataFrame, tuple[int, int], str]:
+        df, seen, folder = written_with_sums(some.where("a <> b").distinct(), "edges", n=F.count(F.lit(1)), total=F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")))
+        return df, (seen["n"], int(seen["total"] or 0)), folder
+
+    edges, now, folder = kept(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
     while now[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -28,8 +29,9 @@ def stars(edges: DataFrame) -> DataFrame:
         # In `large` every edge goes from a node to a smaller one; each node links its smaller neighbours to their least.
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*")
-        edges = written(small.where("a <> b").distinct(), "edges")
-        before, now = now, _state(edges)
+        before, old = now, folder
+        edges, now, folder = kept(small)
+        remove(spark, old)
         if before == now:
             break
     return edges

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from millrace.llm import exact_dedup, simhash_dedup, simhash_wide
-from millrace.llm.common import shared_dir, table
+from millrace.llm.common import shared_dir, strings, table
 from millrace.llm.components import stars
 
 
@@ -124,84 +124,141 @@ def test_components_of_a_long_path(spark):
 
 
 def shingles(t):
-    w = t.lower().split()
+    w = [x for x in re.split("[\x20\x09-\x0d]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")) if x]
     return frozenset(" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
 
 
-def test_near_groups_recall(spark):
-    """Copies with edited words: pairs of a similarity of 0.85 or more are found; unrelated texts stay alone."""
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def sets_of(texts):
+    return simhash_wide.shingle_sets(strings(pa.array(texts)))
+
+
+def test_shingle_sets_and_fingerprints():
+    texts = ["A b c d e f", "a  B\tc d\ne F", "", None, "a b", "a\x0bb", "a b c d e a b c d e a b c d e", "é É x y z w", " ".join(f"w{k}" for k in range(2000))]
+    sets = sets_of(texts)
+    assert [len(s) for s in sets] == [len(shingles(t)) for t in texts]
+    assert [[bool(np.array_equal(x, y)) for y in sets] for x in sets] == [[shingles(x) == shingles(y) for y in texts] for x in texts]
+    codes = simhash_wide.fingerprints(sets)
+    assert not codes[2].any() and (codes[0] == codes[1]).all()
+    h, seed, turn = sets[8], simhash_wide._SEEDS[5], simhash_wide._SEEDS[4]
+    x = (h ^ seed) * turn
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xC2B2AE3D27D4EB4F)
+    x ^= x >> np.uint64(29)
+    assert codes[8, 40:].view("<u8")[0] == sum(1 << b for b in range(64) if 2 * int(((x >> np.uint64(b)) & np.uint64(1)).sum()) > len(h))
+
+
+def edited(rng, words, n, tag):
+    out = list(words)
+    for i in rng.choice(len(words), n, replace=False):
+        out[i] = f"edit{tag}x{i}"
+    return out
+
+
+def test_recall_of_every_band_from_080_up(spark, sf):
+    """Pairs of each band by exact sets, among documents and edited copies of theirs: nine in ten or more end up in one group, and nothing else does."""
     rng = np.random.default_rng(5)
-    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
-    rows, pairs = [], []
-    for k in range(120):
-        w = [word() for _ in range(200)]
-        v = list(w)
-        for i in rng.choice(200, int(rng.integers(1, 4)), replace=False):
-            v[i] = word()
-        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(v))]
-        a, b = shingles(rows[-2][1]), shingles(rows[-1][1])
-        if len(a & b) / len(a | b) >= 0.85:
-            pairs.append((2 * k, 2 * k + 1))
-    got = {r.doc_id: r.component_id for r in simhash_wide.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert all(got[d] in (d, d - d % 2) for d in got)
-    assert len(pairs) > 60 and sum(got[a] == got[b] for a, b in pairs) >= 0.95 * len(pairs)
+    base = [r for r in table(spark, "/root/testdata/sf0.01", "documents").collect()]
+    rows = [(r.doc_id, r.text) for r in base]
+    for r in base:
+        w = r.text.split()
+        if 60 <= len(w) <= 1200:
+            for k in range(3):
+                rows.append((10_000 * (k + 1) + r.doc_id, " ".join(edited(rng, w, max(1, int(len(w) * rng.uniform(0.002, 0.026))), k))))
+    sets = [shingles(t) for _, t in rows]
+    holders = defaultdict(list)
+    for k, s in enumerate(sets):
+        for x in s:
+            holders[x].append(k)
+    seen, bands = set(), defaultdict(list)
+    for own in holders.values():
+        if len(own) <= 300:
+            seen.update((a, b) for i, a in enumerate(own) for b in own[i + 1 :])
+    parent = list(range(len(rows)))
 
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
 
-def test_near_groups_of_odd_rows(odd_docs, no_docs):
-    kept = simhash_wide.drop_near_groups(odd_docs)
-    assert kept.columns == odd_docs.columns
-    ids = [r.doc_id for r in kept.collect()]
-    assert 1 in ids and 2 not in ids and 7 in ids and 8 not in ids and ids.count(None) == 2 and ids.count(9) == 2
-    assert simhash_wide.drop_near_groups(no_docs).count() == 0
-
-
-def test_a_long_list_links_every_member(spark, monkeypatch):
-    monkeypatch.setattr(simhash_wide, "LONG", 20)
-    base = [f"w{k}" for k in range(300)]
-    rows = [(k, " ".join(base[:k] + [f"edit{k}"] + base[k + 1 :])) for k in range(100)]
-    got = simhash_wide.near_groups(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert got.select("component_id").distinct().count() == 1
-
-
-def test_long_texts_near_the_bound_are_decided_by_all_shingles(spark):
-    """Pairs of texts of 1,500 words just above and just below a similarity of 0.8, each by the exact sets."""
-    rng = np.random.default_rng(11)
-    rows, pairs = [], []
-    for k in range(80):
-        w = [f"t{k}w{i}" for i in range(1500)]
-        v = list(w)
-        for i in rng.choice(300, 31 + k % 5, replace=False):
-            v[5 * i] = f"edit{k}x{i}"
-        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(v))]
-        a, b = shingles(rows[-2][1]), shingles(rows[-1][1])
-        pairs.append(len(a & b) / len(a | b) >= 0.8)
-    sketches = [simhash_wide.wide_fingerprint(t)[2] for _, t in rows]
-    by_sketch = [simhash_wide.sketch_similarity(a, b) >= 0.8 for a, b in zip(sketches[::2], sketches[1::2])]
-    assert by_sketch != pairs and 10 < sum(pairs) < 70
-    whole = [simhash_wide.shingle_hashes(t).tobytes() for _, t in rows]
-    assert [simhash_wide.similar(a, b, 0.8) for a, b in zip(whole[::2], whole[1::2])] == pairs
+    for a, b in seen:
+        j = jaccard(sets[a], sets[b])
+        if j >= 0.8:
+            bands[min(int(round(j, 9) * 20), 19)].append((a, b))
+            x, y = find(a), find(b)
+            parent[max(x, y)] = min(x, y)
     got = {r.doc_id: r.component_id for r in simhash_wide.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    joined = [got[2 * k] == got[2 * k + 1] for k in range(80)]
-    assert any(joined) and not any(j and not p for j, p in zip(joined, pairs))
+    label = [got[d] for d, _ in rows]
+    assert set(bands) == {16, 17, 18, 19}
+    for pairs in bands.values():
+        assert len(pairs) >= 200 and sum(label[a] == label[b] for a, b in pairs) >= 0.97 * len(pairs)
+    first = {}
+    for k, own in enumerate(label):
+        if sets[k]:
+            assert find(first.setdefault(own, k)) == find(k)
 
 
-def test_pairs_from_080_to_085_share_a_list():
-    """Candidates hold nearly all pairs just above the wanted similarity, by the index's keys and the bit bound."""
+def test_pairs_at_the_bound_share_a_list():
     rng = np.random.default_rng(12)
-    found = n = 0
-    for k in range(400):
+    texts = []
+    for k in range(600):
         w = [f"p{k}w{i}" for i in range(300)]
-        v = list(w)
-        for i in rng.choice(300, 6, replace=False):
-            v[i] = f"edit{k}x{i}"
-        a, b = shingles(" ".join(w)), shingles(" ".join(v))
-        if not 0.8 <= len(a & b) / len(a | b) < 0.85:
-            continue
-        codes = [simhash_wide.wide_fingerprint(" ".join(x)) for x in (w, v)]
-        batch = pa.RecordBatch.from_pydict({"id": pa.array([0, 1]), "code": pa.array([c for c, *_ in codes], pa.binary()), "places": pa.array([p.astype(np.uint8).tobytes() for _, p, _ in codes], pa.binary())})
-        (index,) = simhash_wide._index(iter([batch]))
-        keys, ids = index.column("key").to_numpy(), index.column("id").to_numpy()
-        x, y = (np.frombuffer(c, np.uint64)[: simhash_wide.CARRIED] for c, *_ in codes)
-        n += 1
-        found += bool(np.intersect1d(keys[ids == 0], keys[ids == 1]).size) and int(np.bitwise_count(x ^ y).sum()) <= simhash_wide.most_bits(0.8)
-    assert n > 200 and found >= 0.995 * n, (found, n)
+        texts += [" ".join(w), " ".join(edited(rng, w, 6, k))]
+    sets = [shingles(t) for t in texts]
+    keys = simhash_wide.index_keys(simhash_wide.fingerprints(sets_of(texts)))
+    told = [(keys[k] == keys[k + 1]).any() for k in range(0, len(texts), 2) if 0.8 <= jaccard(sets[k], sets[k + 1]) < 0.83]
+    assert len(told) > 300 and sum(told) >= 0.97 * len(told)
+
+
+def test_near_groups_of_odd_rows(odd_docs, no_docs):
+    kept = simhash_wide.drop_near_groups(odd_docs)
+    assert kept.columns == odd_docs.columns
+    got = kept.collect()
+    ids = [r.doc_id for r in got]
+    assert sorted(d for d in ids if d is not None) == [1, 3, 7, 9, 10, 11] and ids.count(None) == 1
+    assert next(r.text for r in got if r.doc_id is None) == "alone without an id"
+    assert simhash_wide.near_groups(odd_docs).count() == odd_docs.count()
+    assert simhash_wide.drop_near_groups(no_docs).count() == 0 and simhash_wide.near_groups(no_docs).count() == 0
+
+
+def test_rows_of_one_doc_id_are_told_apart(spark):
+    """A copy goes; a text of its own under the same doc_id, or under none, stays."""
+    a, b, c = ("one two three four five six seven eight nine ten", "quite another text that nobody has copied from anywhere", "a third text which has no id but words of its own here")
+    rows = [(1, a), (5, a.upper()), (5, b), (None, c), (None, c + " "), (None, a)]
+    kept = simhash_wide.drop_near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.text.strip()) for r in kept), key=str) == sorted([(1, a), (5, b), (None, c)], key=str)
+
+
+@pytest.mark.parametrize("spread", [False, True], ids=["nested", "around one"])
+def test_large_lists_and_blocks_are_dealt_into_parts(spark, monkeypatch, spread):
+    """The same components with small parts as in one task: chains of copies, or copies near to their original alone."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for g in range(3):
+        w = [f"g{g}w{k}" for k in range(260)]
+        rows.append((100 * g, " ".join(w)))
+        for k in range(1, 60):
+            if spread:
+                rows.append((100 * g + k, " ".join(edited(rng, w, 5, k))))
+            else:
+                w = edited(rng, w, 2, k)
+                rows.append((100 * g + k, " ".join(w)))
+    rows += [(1000 + k, " ".join(f"own{k}x{i}" for i in range(100))) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = sorted(map(tuple, simhash_wide.near_groups(docs).collect()))
+    monkeypatch.setattr(simhash_wide, "LIST", 7)
+    monkeypatch.setattr(simhash_wide, "TILE", 9)
+    assert sorted(map(tuple, simhash_wide.near_groups(docs).collect())) == whole
+    sets = {d: shingles(t) for d, t in rows}
+    for g in range(3):
+        ids = [100 * g + k for k in range(60)]
+        parent = {d: d for d in ids}
+        for i, a in enumerate(ids):
+            for b in ids[i + 1 :]:
+                if jaccard(sets[a], sets[b]) >= 0.8:
+                    x, y = parent[a], parent[b]
+                    parent = {d: min(x, y) if p in (x, y) else p for d, p in parent.items()}
+        told = dict(whole)
+        assert sum(told[d] == parent[d] for d in ids) >= 57
