@@ -39,11 +39,25 @@ def token_estimate(c: Column) -> Column:
     return F.size(F.regexp_extract_all(c, F.lit(r"[A-Za-z0-9]+|[^A-Za-z0-9 \t\r\n]"), F.lit(0)))
 
 
+#: Character references and what they stand for, in the order in which they are decoded.
+REFERENCES = (
+    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#34;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&nbsp;", " "), ("&#160;", " "), ("&copy;", "©"), ("&reg;", "®"), ("&trade;", "™"), ("&middot;", "·"),
+    ("&bull;", "•"), ("&hellip;", "…"), ("&ndash;", "–"), ("&mdash;", "—"), ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"), ("&laquo;", "«"), ("&raquo;", "»"), ("&euro;", "€"), ("&amp;", "&"),
+)
+
+
+def decoded(c: Column) -> Column:
+    """Common character references decoded, once each."""
+    for name, value in REFERENCES:
+        c = F.replace(c, F.lit(name), F.lit(value))
+    return c
+
+
 def html_text(c: Column) -> Column:
-    """Visible text of a page's body: no scripts, styles, comments or tags, white space as one space."""
+    """Visible text of a page's body: no scripts, styles, comments or tags, references decoded, white space as one space."""
     for pattern in (r"(?s)<script[^>]*>.*?</script>", r"(?s)<style[^>]*>.*?</style>", r"(?s)<head[^>]*>.*?</head>", r"(?s)<!--.*?-->", r"<[^>]*>"):
         c = F.regexp_replace(c, pattern, " ")
-    return F.trim(F.regexp_replace(c, "[ \t\r\n]+", " "))
+    return F.trim(F.regexp_replace(decoded(c), "[ \t\r\n]+", " "))
 
 
 def html_title(c: Column) -> Column:
@@ -54,6 +68,12 @@ def lead_words(c: Column, n: int) -> Column:
     return F.array_join(F.slice(words(c), 1, n), " ")
 
 
+def summary(c: Column, n: int = 10) -> Column:
+    """A deterministic stand-in for a summariser: a text's first and last n words, each once."""
+    w = words(c)
+    return F.array_join(F.concat(F.slice(w, 1, n), F.slice(w, F.greatest(F.lit(n + 1), F.size(w) - (n - 1)), n)), " ")
+
+
 def strip_fence(c: Column) -> Column:
     """The inside of a fenced block: without the opening ```markdown and the closing ```."""
     inner = F.regexp_replace(c, r"(?s)^```(?:markdown)?\n(.*)```$", "$1")
@@ -61,7 +81,8 @@ def strip_fence(c: Column) -> Column:
 
 
 def tagged(c: Column, tag: str) -> Column:
-    return F.regexp_extract(c, f"(?s)<{tag}>(.*?)</{tag}>", 1)
+    """The contents of all <tag>...</tag> in a text, in order."""
+    return F.regexp_extract_all(c, F.lit(f"(?s)<{tag}>(.*?)</{tag}>"), F.lit(1))
 
 
 def without_nul(c: Column) -> Column:

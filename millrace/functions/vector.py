@@ -1,54 +1,38 @@
-"""Vectors: cosine similarity, literals, dimension checks."""
+"""Vectors: cosine similarity, text forms, dimension checks. All in the JVM."""
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from millrace.session import reachable
 
+def _column(c: Column | str) -> Column:
+    return F.col(c) if isinstance(c, str) else c
 
-def _matrix(a: pa.Array) -> tuple[np.ndarray, int]:
-    """(rows of the vectors that are not null, width)."""
-    sizes = np.unique(np.asarray(a.drop_null().value_lengths())) if len(a) > a.null_count else np.array([0])
-    if len(sizes) > 1:
-        raise ValueError("vectors differ in dimension")
-    width = int(sizes[0])
-    return a.drop_null().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width) if width else np.zeros((0, 0)), width
 
+def dot(a: Column | str, b: Column | str) -> Column:
+    """The inner product in double precision; null where a vector is null, an error where their dimensions differ."""
+    a, b = _column(a), _column(b)
+    products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
+    total = F.aggregate(products, F.lit(0.0), lambda s, x: s + x)
+    apart = F.concat(F.lit("vectors differ in dimension: "), F.size(a).cast("string"), F.lit(" and "), F.size(b).cast("string"))
+    return F.when(F.size(a) != F.size(b), F.raise_error(apart).cast("double")).otherwise(total)
 
-def _filled(a: pa.Array, width: int) -> np.ndarray:
-    out = np.full((len(a), width), np.nan)
-    if width and len(a) > a.null_count:
-        out[~np.asarray(a.is_null())] = _matrix(a)[0]
-    return out
 
+def squared(a: Column | str) -> Column:
+    return F.aggregate(_column(a), F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
 
-def _cosine(a: pa.Array, b: pa.Array) -> pa.Array:
-    wide = _matrix(a)[1], _matrix(b)[1]
-    if all(wide) and wide[0] != wide[1]:
-        raise ValueError(f"vectors differ in dimension: {wide[0]} and {wide[1]}")
-    x, y = _filled(a, max(wide)), _filled(b, max(wide))
-    norm = np.sqrt((x * x).sum(axis=1) * (y * y).sum(axis=1))
-    with np.errstate(invalid="ignore", divide="ignore"):
-        s = (x * y).sum(axis=1) / norm
-    return pa.array(s, mask=np.asarray(a.is_null()) | np.asarray(b.is_null()))
 
-
-def cosine(a: Column | str, b: Column | str, digits: int = 6, nan_policy: str = "drop") -> Column:
+def cosine(a: Column | str, b: Column | str, digits: int = 6, nan_policy: str = "drop", b_squared: Column | str | None = None) -> Column:
     """1 - cosine distance, in double precision, rounded; null where a vector is null.
 
     A zero vector has no direction: its score is null, or NaN (greater than all) under nan_policy "keep". Vectors of
-    different dimensions are an error. The score is computed once a row, by numpy over Arrow batches. It is
-    declared nondeterministic (it isn't) because Catalyst would else push a threshold's filter below the projection
-    and compute the score in both.
+    different dimensions are an error. b_squared: b's squared length, where it is known (a query's, once).
     """
-    reachable(SparkSession.active())
-    s = F.arrow_udf(_cosine, T.DoubleType()).asNondeterministic()(a, b)
-    return F.round(F.nanvl(s, F.lit(None).cast("double")) if nan_policy == "drop" else s, digits)
+    length = F.sqrt(squared(a) * (squared(b) if b_squared is None else _column(b_squared)))
+    none = F.lit(float("nan")) if nan_policy == "keep" else F.lit(None).cast("double")
+    null = _column(a).isNull() | _column(b).isNull()
+    return F.when(null, F.lit(None).cast("double")).when(length == 0, none).otherwise(F.round(dot(a, b) / length, digits))
 
 
 def parse(text: Column | str) -> Column:
@@ -57,8 +41,5 @@ def parse(text: Column | str) -> Column:
 
 
 def unparse(vector: Column | str) -> Column:
+    """A vector's text; parse gives the same vector back."""
     return F.to_json(vector)
-
-
-def literal(values: list[float]) -> Column:
-    return F.array(*[F.lit(float(v)).cast("float") for v in values])

@@ -1,11 +1,16 @@
-"""Content-addressed caches: look up, compute what is missing once for each key, and return all."""
+"""Content-addressed caches, the models behind them, and time-boxed lookups."""
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from millrace.session import reachable
 
 
 def misses(wanted: DataFrame, cache: DataFrame, keys: list[str]) -> DataFrame:
@@ -23,11 +28,83 @@ def get_or_compute(wanted: DataFrame, cache: DataFrame, keys: list[str], value:
     return wanted.join(grown, keys, "left"), grown
 
 
-def hashing_vector(text: Column, width: int = 64) -> Column:
-    """A deterministic stand-in for an embedder: a vector from the text's hash."""
-    return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: ((F.pmod(F.xxhash64(text, k), F.lit(2001)) - 1000) / 1000).cast("float"))
+def hashing_vector(text: Column, width: int = 32) -> Column:
+    """A deterministic stand-in for an embedder: the first hexadecimal digits of the text's md5, from -0.5 on in steps of a sixteenth."""
+    digest = F.md5(text)
+    return F.transform(F.sequence(F.lit(1), F.lit(width)), lambda k: (F.conv(F.substr(digest, k, F.lit(1)), 16, 10).cast("double") / 16 - 0.5).cast("float"))
+
+
+TRIES = 3
+
+
+def tried(call: Callable[[list[str]], list], texts: list[str], tries: int = TRIES, wait: float = 0.0) -> list:
+    """call's answers for a batch of texts; after `tries` failures none has one."""
+    for k in range(tries):
+        try:
+            answers = list(call(texts))
+            if len(answers) != len(texts):
+                raise ValueError(f"{len(answers)} answers for {len(texts)} texts")
+            return answers
+        except Exception:
+            if wait and k + 1 < tries:
+                time.sleep(wait * 2**k)
+    return [None] * len(texts)
+
+
+def model_call(text: Column | str, call: Callable[[list[str]], list], kind: T.DataType, tries: int = TRIES, at_once: int = 256, wait: float = 0.0) -> Column:
+    """A column of a model's answers (vectors, summaries, rankings): the injected service is called in the executors with lists of at most at_once texts.
+
+    A batch that fails is tried `tries` times; then its rows are null. Null texts are not sent.
+    """
+    reachable(SparkSession.active())
+
+    def run(a: pa.Array) -> pa.Array:
+        own, out = a.to_pylist(), [None] * len(a)
+        sent = [k for k, x in enumerate(own) if x is not None]
+        for at in range(0, len(sent), at_once):
+            part = sent[at : at + at_once]
+            for k, answer in zip(part, tried(call, [own[k] for k in part], tries, wait)):
+                out[k] = answer
+        return pa.array(out, _arrow(kind))
+
+    return F.arrow_udf(run, kind)(text)
+
+
+def _arrow(kind: T.DataType) -> pa.DataType:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return to_arrow_type(kind)
 
 
 def model_alias(name: Column, default: str) -> Column:
     """The real model name of an alias; looked up and stored under it."""
     return F.when(name.isNull() | (name == "default"), F.lit(default)).otherwise(name)
+
+
+def provider(area: Column, name: Column, default: str, regional: dict[int, tuple[str, str]]) -> Column:
+    """(provider, model) of a request: an area with a provider of its own gets that one's model, all others the named one."""
+    out = F.struct(F.lit("default").alias("provider"), model_alias(name, default).alias("model"))
+    for code, (own, model) in regional.items():
+        out = F.when(area == code, F.struct(F.lit(own).alias("provider"), F.lit(model).alias("model"))).otherwise(out)
+    return out
+
+
+class LookupCache:
+    """Small lookups kept on the driver for a time: at most `live` seconds, and `idle` seconds after the last use."""
+
+    def __init__(self, live: float = 259_200, idle: float = 1_800, clock: Callable[[], float] = time.monotonic, most: int = 10_000):
+        self.live, self.idle, self.clock, self.most = live, idle, clock, most
+        self._held: dict = {}
+
+    def get(self, key, load: Callable):
+        now, found = self.clock(), self._held.get(key)
+        if found is not None and now - found[1] < self.live and now - found[2] < self.idle:
+            self._held[key] = found[0], found[1], now
+            return found[0]
+        value = load(key)
+        if len(self._held) >= self.most:
+            self._held = {k: v for k, v in self._held.items() if now - v[1] < self.live and now - v[2] < self.idle}
+            while len(self._held) >= self.most:
+                del self._held[min(self._held, key=lambda k: self._held[k][2])]
+        self._held[key] = value, now, now
+        return value

@@ -5,14 +5,18 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
 
-from millrace.functions.text import lead_words, words
+from millrace.functions.text import summary, words
+from millrace.functions.tokens import default_path, tokenizer
+from millrace.session import reachable
 
 COARSE, COARSE_OVERLAP, FINE, FINE_OVERLAP = 2000, 400, 150, 50
-_LEVELS = ("\n\n", "\n", r"(?<=[.!?])\s+", r"\s+", "")
+#: Where a text may be cut, from the coarsest places to the finest: before a blank line, a line, a sentence, a word.
+_LEVELS = tuple(map(re.compile, (r"\n[ \t\r]*\n\s*", r"\n\s*", r"(?<=[.!?])\s+", r"\s+")))
 
 
 def windows(df: DataFrame, text: str, size: int, overlap: int, seq: str = "seq", out: str = "chunk") -> DataFrame:
@@ -23,62 +27,77 @@ def windows(df: DataFrame, text: str, size: int, overlap: int, seq: str = "seq",
     return ws.select("*", F.posexplode(starts).alias(seq, "_at")).withColumn(out, F.array_join(F.slice("_words", F.col("_at") + 1, size), " ")).drop("_words", "_at")
 
 
-def size_of(piece: str) -> int:
-    return len(re.findall(r"\w+|[^\w\s]", piece))
+def spans(text: str, tokens: np.ndarray, size: int, overlap: int) -> list[tuple[int, int]]:
+    """(begin, end) of a text's chunks of at most `size` tokens; tokens: where each token begins, in order.
 
-
-def recursive(text: str, size: int, overlap: int) -> list[str]:
-    """Chunks of at most `size` tokens: cut at blank lines, else lines, sentences, words, characters; packed greedily.
-
-    Each chunk but the first begins with whole pieces of the one before, `overlap` tokens of them at most.
+    A part that is too long is cut at the coarsest places that it has: blank lines, else lines, sentences, words, tokens.
+    Parts are packed greedily, and a chunk but the first begins with the last whole parts of the one before, of at most
+    `overlap` tokens. The chunks cover the text.
     """
 
-    def pieces(part: str, level: int) -> Iterator[str]:
-        if size_of(part) <= size or level >= len(_LEVELS):
-            yield part
-        elif _LEVELS[level] == "":
-            yield from (part[k : k + size] for k in range(0, len(part), size))
+    def count(a: int, b: int) -> int:
+        return int(np.searchsorted(tokens, b) - np.searchsorted(tokens, a))
+
+    def parts(a: int, b: int, level: int) -> Iterator[tuple[int, int]]:
+        if count(a, b) <= size:
+            yield a, b
+        elif level < len(_LEVELS):
+            at = [a, *(m.start() for m in _LEVELS[level].finditer(text, a + 1, b)), b]
+            for x, y in zip(at, at[1:]):
+                yield from parts(x, y, level + 1)
         else:
-            for p in re.split(_LEVELS[level], part):
-                if p.strip():
-                    yield from pieces(p, level + 1)
-
-    out: list[str] = []
-    held: list[tuple[str, int]] = []
-    fresh = False
-    for p in pieces(text, 0):
-        n = size_of(p)
-        if held and sum(k for _, k in held) + n > size:
-            out.append("\n".join(x for x, _ in held))
-            while held and (sum(k for _, k in held) > overlap or sum(k for _, k in held) + n > size):
-                held.pop(0)
-        held.append((p, n))
-        fresh = True
-    if held and fresh:
-        out.append("\n".join(x for x, _ in held))
+            own = tokens[np.searchsorted(tokens, a) : np.searchsorted(tokens, b)]
+            at = [a, *np.unique(own[size::size]).tolist(), b]
+            yield from ((x, y) for x, y in zip(at, at[1:]) if y > x)
+
+    out: list[tuple[int, int]] = []
+    held: list[tuple[int, int, int]] = []
+    total = 0
+    for a, b in parts(0, len(text), 0):
+        n = count(a, b)
+        if held and total + n > size:
+            out.append((held[0][0], held[-1][1]))
+            while held and (total > overlap or total + n > size):
+                total -= held.pop(0)[2]
+        held.append((a, b, n))
+        total += n
+    if held:
+        out.append((held[0][0], held[-1][1]))
     return out
 
 
-@udtf(returnType="seq int, chunk string")
-class ChunkRecursive:
-    """chunk_recursive(text, size, overlap) for lateral joins."""
-
-    def eval(self, text: str, size: int, overlap: int):
-        for k, c in enumerate(recursive(text or "", size, overlap)):
-            yield k, c
-
-
-def register(spark) -> None:
-    spark.udtf.register("chunk_recursive", ChunkRecursive)
+def token_chunks(df: DataFrame, key: str, text: str, size: int, overlap: int, path: str | None = None) -> DataFrame:
+    """key, seq, chunk, tokens: recursive chunks of each text, by the tokens of an offline vocabulary. White space at a chunk's edges is left out.
 
-
-def summary(content: Column, n: int = 20) -> Column:
-    """A deterministic stand-in for a summariser: the text's first words."""
-    return lead_words(content, n)
-
-
-def sentences_of(paragraphs: DataFrame, size: int = FINE, overlap: int = FINE_OVERLAP, lead: int = 20) -> DataFrame:
-    """Split sentences (type 1) and one summary (type 2) for each paragraph, together."""
-    split = windows(paragraphs, "content", size, overlap, "seq", "sentence").select("document_id", F.col("id").alias("paragraph_id"), F.lit(1).alias("type"), "seq", F.col("sentence").alias("content"))
-    short = paragraphs.select("document_id", F.col("id").alias("paragraph_id"), F.lit(2).alias("type"), F.lit(0).alias("seq"), summary(F.col("content"), lead).alias("content"))
-    return split.unionByName(short).withColumn("md5", F.md5("content"))
+    Null and empty texts, and those of white space alone, have no chunk. Repeated keys are chunked apart.
+    """
+    reachable(df.sparkSession)
+    place = path or default_path()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = tokenizer(place)
+        for batch in batches:
+            own = batch.column(1).to_pylist()
+            for at in range(0, len(own), 64):
+                texts = [t or "" for t in own[at : at + 64]]
+                rows: list[tuple[int, int, str, int]] = []
+                for k, (t, e) in enumerate(zip(texts, known.encode_batch(texts, add_special_tokens=False))):
+                    starts = np.array([a for a, _ in e.offsets], np.int64)
+                    found = [(t[a:b].strip(), int(np.searchsorted(starts, b) - np.searchsorted(starts, a))) for a, b in spans(t, starts, size, overlap)]
+                    rows += [(at + k, n, c, m) for n, (c, m) in enumerate(x for x in found if x[0])]
+                keys = batch.column(0).take(pa.array([r[0] for r in rows], pa.int64()))
+                yield pa.RecordBatch.from_arrays([keys, pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.string()), pa.array([r[3] for r in rows], pa.int32())], names=["key", "seq", "chunk", "tokens"])
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"key {kind}, seq int, chunk string, tokens int").withColumnRenamed("key", key)
+
+
+def sentences_of(paragraphs: DataFrame, size: int = FINE, overlap: int = FINE_OVERLAP) -> DataFrame:
+    """Split sentences (type 1) and one summary (type 2) for each paragraph, together, in one pass."""
+    step = size - overlap
+    ws = paragraphs.select("document_id", F.col("id").alias("paragraph_id"), "content", words(F.col("content")).alias("ws"))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("ws") - (overlap + 1), F.lit(0)), F.lit(step))
+    split = F.transform(starts, lambda at, k: F.struct(F.lit(1).alias("type"), k.alias("seq"), F.array_join(F.slice("ws", at + 1, F.lit(size)), " ").alias("content")))
+    short = F.array(F.struct(F.lit(2).alias("type"), F.lit(0).alias("seq"), summary(F.col("content")).alias("content")))
+    each = ws.select("document_id", "paragraph_id", F.explode(F.concat(split, short)).alias("s"))
+    return each.select("document_id", "paragraph_id", "s.type", "s.seq", "s.content").withColumn("md5", F.md5("content"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -27,7 +27,7 @@ def delete(base: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def cascade(datasets: DataFrame, children: dict[str, tuple[DataFrame, str]], gone: DataFrame) -> dict[str, DataFrame]:
-    """Datasets without `gone` (id), and every child table without the rows of a dataset that goes: documents, paragraphs, sentences, mappings."""
+    """Datasets without `gone` (id), and every child table given without the rows of a dataset that goes. Tables that are not given, such as sentences, stay."""
     out = {"dataset": delete(datasets, gone, ["id"])}
     for name, (df, key) in children.items():
         out[name] = df.join(gone.select(F.col("id").alias(key)), key, "left_anti")
@@ -58,20 +58,52 @@ def purge(df: DataFrame, moment: str, as_of: Column, interval: str = "INTERVAL 1
     return df.where(~F.coalesce(F.col(moment) < as_of - F.expr(interval), F.lit(False)))
 
 
-def first_per(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
-
-
 def export_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
-def insert(df: DataFrame, path: str, partition: str | None = None) -> None:
+#: Rows of a batch insert that go into one file, or into one statement of a database.
+BATCH = 2000
+
+
+def insert(df: DataFrame, path: str, partition: str | None = None, batch: int | None = None) -> None:
+    """Appends rows in one commit; batch: rows a file at most."""
     w = df.write.mode("append")
+    w = w.option("maxRecordsPerFile", batch) if batch else w
     (w.partitionBy(partition) if partition else w).parquet(path)
 
 
+def natural_id(*parts: Column) -> Column:
+    """An id from a row's natural key, the same on every run: sixty bits of its md5."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *[p.cast("string") for p in parts])), 1, 15), 16, 10).cast("long")
+
+
 def overwrite_partitions(df: DataFrame, path: str, partition: str) -> None:
     """Replaces only the partitions that df has, in one commit."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+
+
+def apply_spec(df: DataFrame, spec: dict) -> DataFrame:
+    """A request's query: {columns, where: [(column, operator, value)], order: [(column, descending)], page, size}, all of them optional.
+
+    Columns are checked against the table and operators against a list, so nothing from a request reaches SQL text.
+    Without an order pages are cut by the first column.
+    """
+    from millrace.operators.predicates import checked
+
+    tests = {
+        "=": lambda c, v: c.eqNullSafe(F.lit(v)), "!=": lambda c, v: ~c.eqNullSafe(F.lit(v)), ">": lambda c, v: c > v, ">=": lambda c, v: c >= v, "<": lambda c, v: c < v, "<=": lambda c, v: c <= v,
+        "in": lambda c, v: c.isin(list(v)), "between": lambda c, v: c.between(*v), "contains": lambda c, v: c.contains(v), "starts": lambda c, v: c.startswith(v), "null": lambda c, v: c.isNull() if v else c.isNotNull(),
+    }
+    for column, operator, value in spec.get("where", []):
+        checked(df, [column])
+        if operator not in tests:
+            raise ValueError(f"no such operator: {operator}")
+        df = df.where(tests[operator](F.col(column), value))
+    order = spec.get("order", [])
+    checked(df, [c for c, _ in order])
+    if order or "page" in spec:
+        df = df.orderBy(*[F.desc(c) if down else F.asc(c) for c, down in order] or [df.columns[0]])
+    if "page" in spec:
+        df = df.offset((spec["page"] - 1) * spec.get("size", 20)).limit(spec.get("size", 20))
+    return df.select(*checked(df, spec["columns"])) if spec.get("columns") else df

@@ -1,9 +1,10 @@
 """Exact cosine retrieval over the star of datasets, documents, paragraphs and sentences.
 
-Every search filters by flags and datasets, scores each remaining row once, keeps scores strictly above the threshold,
-and only then joins: what the joins shuffle is the matches, without their vectors. The best k are taken last; ties go
-to the smaller id. Datasets are a small table: they are broadcast when Spark's statistics say so. Without a match the
-result is empty.
+Every search filters by flags and datasets, scores each remaining row in the JVM against a one-row broadcast query, and
+keeps scores strictly above the threshold; only then it joins: what the joins shuffle is the matches, without vectors
+or contents. The best k are taken last (ties go to the smaller id), and the contents of these k rows are fetched by a
+broadcast of the k ids. Datasets are a small table: they are broadcast when Spark's statistics say so. Without a match
+the result is empty.
 """
 
 from __future__ import annotations
@@ -15,15 +16,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.vector import cosine
+from millrace.functions.vector import cosine, squared
 from millrace.operators.predicates import checked
 from millrace.schema import DEFAULT_SIMILARITY, DEFAULT_TOP_N
 from millrace.session import reachable
 
 
 def scored(rows: DataFrame, query: DataFrame, vector: str = "embedding", nan_policy: str = "drop") -> DataFrame:
-    """rows with their similarity to the one row of query (v)."""
-    return rows.crossJoin(F.broadcast(query.select(F.col("v").alias("_query")).limit(1))).withColumn("similarity", cosine(vector, "_query", nan_policy=nan_policy)).drop("_query")
+    """rows with their similarity to the one row of query (v). The query's length is computed once."""
+    q = query.select(F.col("v").alias("_query"), squared("v").alias("_length")).limit(1)
+    return rows.crossJoin(F.broadcast(q)).withColumn("similarity", cosine(vector, "_query", nan_policy=nan_policy, b_squared="_length")).drop("_query", "_length")
 
 
 def top(df: DataFrame, similarity: float | None = None, k: int | None = None, key: str = "id") -> DataFrame:
@@ -55,11 +57,19 @@ def named(hits: DataFrame, documents: DataFrame, datasets: DataFrame) -> DataFra
 
 
 HIT_COLUMNS = ["id", "document_id", "document_name", "dataset_id", "dataset_name", "title", "status", "is_active", "similarity"]
+#: What is fetched for the hits alone.
+PARAGRAPH_DETAIL, SENTENCE_DETAIL = ["content", "hit_num", "create_time", "update_time"], ["content", "hit_num"]
+
+
+def detailed(hits: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
+    """A search's hits, in order, with columns of their rows. The hits are at most k rows: they go to the rows, not the rows to them."""
+    return rows.select("id", *columns).join(F.broadcast(hits), "id").select(*HIT_COLUMNS, *columns, F.col("similarity").alias("comprehensive_score")).orderBy(F.desc("similarity"), "id")
 
 
 def paragraph_search(paragraphs: DataFrame, documents: DataFrame, datasets: DataFrame, query: DataFrame, dataset_ids: list[int] | None = None, similarity: float | None = None, k: int | None = None, scope: DataFrame | None = None, vector: str = "embedding") -> DataFrame:
     p = paragraphs.where("is_active AND deleted = 0").select("id", "document_id", "dataset_id", "title", "status", "is_active", vector)
-    return top(named(matches(p, query, similarity, vector, dataset_ids, scope), documents, datasets), similarity, k).select(*HIT_COLUMNS, F.col("similarity").alias("comprehensive_score"))
+    hits = top(named(matches(p, query, similarity, vector, dataset_ids, scope), documents, datasets), similarity, k).select(*HIT_COLUMNS)
+    return detailed(hits, paragraphs, PARAGRAPH_DETAIL)
 
 
 def title_search(paragraphs: DataFrame, documents: DataFrame, datasets: DataFrame, query: DataFrame, dataset_ids: list[int] | None = None, similarity: float | None = None, k: int | None = None) -> DataFrame:
@@ -69,11 +79,14 @@ def title_search(paragraphs: DataFrame, documents: DataFrame, datasets: DataFram
     d = documents.select(F.col("id").alias("document_id"), F.col("name").alias("document_name"))
     ds = datasets.select(F.col("id").alias("dataset_id"), F.col("name").alias("dataset_name"), F.col("deleted").alias("dataset_deleted"))
     rows = hits.join(d, "document_id", "left").join(ds, "dataset_id", "left").where("dataset_deleted = 0")
-    return top(rows, similarity, k).select(*HIT_COLUMNS, F.col("similarity").alias("comprehensive_score"))
+    return detailed(top(rows, similarity, k).select(*HIT_COLUMNS), paragraphs, PARAGRAPH_DETAIL)
 
 
 def sentence_search(sentences: DataFrame, paragraphs: DataFrame, documents: DataFrame, datasets: DataFrame, query: DataFrame, dataset_ids: list[int] | None = None, similarity: float | None = None, k: int | None = None, scope: DataFrame | None = None) -> DataFrame:
-    """Split sentences (type 1) and summaries (type 2): only the former need an active paragraph, the latter an active document."""
+    """Split sentences (type 1) and summaries (type 2): only the former need an active paragraph, the latter an active document.
+
+    Ids are unique in each table, so rows are distinct as they are.
+    """
     s = matches(sentences.where("deleted = 0").drop("deleted"), query, similarity, "embedding", dataset_ids, scope)
     d = documents.select(F.col("id").alias("document_id"), F.col("name").alias("document_name"), F.col("is_active").alias("d_active"))
     ds = datasets.where("deleted = 0").select(F.col("id").alias("dataset_id"), F.col("name").alias("dataset_name"))
@@ -81,7 +94,6 @@ def sentence_search(sentences: DataFrame, paragraphs: DataFrame, documents: Data
     rows = s.join(ds, "dataset_id").join(d, "document_id").join(p, (F.col("type") == 1) & (F.col("paragraph_id") == F.col("p_id")), "left")
     rows = rows.where("(type = 1 AND p_active) OR (type = 2 AND d_active)").select(
         "id",
-        "type",
         "document_id",
         "document_name",
         "dataset_id",
@@ -91,7 +103,7 @@ def sentence_search(sentences: DataFrame, paragraphs: DataFrame, documents: Data
         F.when(F.col("type") == 1, F.col("p_active")).otherwise(F.col("d_active")).alias("is_active"),
         "similarity",
     )
-    return top(rows.distinct(), similarity, k)  # ids and joined keys are unique, but nothing tells Spark so
+    return detailed(top(rows, similarity, k), sentences, SENTENCE_DETAIL)
 
 
 def search(mode: str, scope: str, paragraph, sentence) -> DataFrame | None:
@@ -106,48 +118,68 @@ def top_per_group(df: DataFrame, query: DataFrame, group: str, k: int, similarit
     return scored(df, query, vector).where(F.col("similarity") > similarity).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
+#: Queries that go to the tasks at a time, and that a task scores at a time.
+QUERIES, AT_ONCE = 200_000, 512
+
+
 def batch_search(rows: DataFrame, queries: DataFrame, k: int, similarity: float = 0.0) -> DataFrame:
     """query_id, id, similarity, rank of the best k rows (id, embedding) for each query (id, embedding).
 
-    The queries are the stated set; they are collected in blocks and each block is scored against all rows by one
-    matrix product a batch. A task keeps k rows a query before anything is shuffled.
+    The queries are the stated set; up to QUERIES of them are broadcast and all rows are scored against them in one pass,
+    by matrix products. A task keeps a running best k a query and tells them once, when its rows are through.
     """
-    reachable(rows.sparkSession)
-    parts = []
-    n = queries.count()
-    blocks = max(1, -(-n // 4096))
-    for b in range(blocks):
-        block = queries.where("embedding IS NOT NULL").where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).select("id", "embedding").toArrow()
-        ids = block.column("id").to_numpy()
-        if not len(ids):
+    spark = rows.sparkSession
+    reachable(spark)
+    known = queries.where("embedding IS NOT NULL").select("id", "embedding")
+    passes = max(1, -(-known.count() // QUERIES))
+    found = spark.createDataFrame([], "query_id long, id long, similarity double")
+    for p in range(passes):
+        block = known.where(F.pmod(F.xxhash64("id"), F.lit(passes)) == p).toArrow()
+        if not block.num_rows:
             continue
-        q = np.stack(block.column("embedding").to_pylist()).astype(np.float64)
+        vectors = block.column("embedding").combine_chunks()
+        q = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(block.num_rows, -1)
         length = np.linalg.norm(q, axis=1, keepdims=True)
         unit = np.divide(q, length, out=np.full_like(q, np.nan), where=length > 0)
-        parts.append(rows.where("embedding IS NOT NULL").select("id", "embedding").mapInArrow(_best(ids, unit, k, similarity), "query_id long, id long, similarity double"))
-    if not parts:
-        return rows.sparkSession.createDataFrame([], "query_id long, id long, similarity double, rank int")
-    found = parts[0]
-    for more in parts[1:]:
-        found = found.unionByName(more)
+        shared = spark.sparkContext.broadcast((block.column("id").to_numpy(), unit))
+        found = found.unionByName(rows.where("embedding IS NOT NULL").select("id", "embedding").mapInArrow(_best(shared, k, similarity), "query_id long, id long, similarity double"))
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _best(ids: np.ndarray, unit: np.ndarray, k: int, similarity: float):
+def _merged(held: tuple[np.ndarray, np.ndarray, np.ndarray], own: np.ndarray, s: np.ndarray, at: int, k: int, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, id, score) of the best k of what is held and of a batch's scores s (queries from `at` on x rows). Rows below a query's k-th best are not sorted."""
+    least = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -np.inf)
+    mine = (held[0] >= at) & (held[0] < at + len(s))
+    q, i, v = (x[mine] for x in held)
+    full = np.bincount(q - at, minlength=len(s)) >= k
+    bound = np.full(len(s), np.inf)
+    np.minimum.at(bound, q - at, v)
+    least = np.maximum(least, np.where(full, bound, -np.inf))
+    row, col = np.nonzero((s >= least[:, None]) & (s > similarity))
+    q, i, v = np.concatenate([q, row + at]), np.concatenate([i, own[col]]), np.concatenate([v, s[row, col]])
+    order = np.lexsort((i, -v, q))
+    q, i, v = q[order], i[order], v[order]
+    rank = np.arange(len(q)) - np.searchsorted(q, q)
+    return q[rank < k], i[rank < k], v[rank < k]
+
+
+def _best(shared, k: int, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, unit = shared.value
+        parts = list(range(0, len(ids), AT_ONCE))
+        held = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)) for _ in parts]
         for batch in batches:
             if not batch.num_rows:
                 continue
             own = batch.column("id").to_numpy()
             x = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(own), -1)
             length = np.linalg.norm(x, axis=1)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                s = np.round(unit @ x.T / length, 6)
-            s = np.where(np.isnan(s), -np.inf, s)
-            order = np.lexsort((np.broadcast_to(own, s.shape), -s), axis=1)[:, :k]
-            value = np.take_along_axis(s, order, axis=1)
-            row, col = np.nonzero(value > similarity)
-            yield pa.RecordBatch.from_pydict({"query_id": ids[row], "id": own[order[row, col]], "similarity": value[row, col]})
+            for n, at in enumerate(parts):
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    s = np.round(unit[at : at + AT_ONCE] @ x.T / length, 6)
+                held[n] = _merged(held[n], own, np.where(np.isnan(s), -np.inf, s), at, k, similarity)
+        for q, i, v in held:
+            yield pa.RecordBatch.from_pydict({"query_id": ids[q], "id": i, "similarity": v})
 
     return run

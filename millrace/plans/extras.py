@@ -13,6 +13,7 @@ from millrace.operators import cache as ca
 from millrace.operators import dml
 from millrace.plans.ctes import with_tables
 from millrace.plans.registry import register
+from millrace.plans.text import _VECTOR
 from millrace.session import scratch
 from millrace.sources import knowledge as kb
 from millrace.sources import readers, search
@@ -26,9 +27,11 @@ def rows_to_hits(spark: SparkSession, d: str) -> DataFrame:
     return shape.conform(docs, sc.HIT)
 
 
-@register("SELECT item_id, text AS body FROM benchmark")
+@register("SELECT item_id, true AS packed, lower(text) AS body FROM benchmark")
 def gunzip_body(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "benchmark").select("item_id", shape.gunzip(shape.gzipped("text")).alias("body"))
+    """Bodies that came gzipped, unpacked and then worked on."""
+    b = table(spark, d, "benchmark").select("item_id", shape.gzipped("text").alias("z"))
+    return b.select("item_id", (F.hex(F.substring("z", 1, 2)) == "1F8B").alias("packed"), F.lower(shape.gunzip("z")).alias("body"))
 
 
 @register("SELECT event_id, event_type AS method, CASE WHEN event_id % 3 = 0 THEN NULL ELSE 200 END AS response_status FROM events")
@@ -61,11 +64,13 @@ def text_file_sink(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.text(out)
 
 
-@register(with_tables("SELECT document_id, md5(content) AS md5, embedding IS NULL AS was_missing, 64 AS width FROM p", "p"))
+@register(with_tables(f"SELECT document_id, md5(content) AS md5, embedding IS NULL AS was_missing, {_VECTOR.format(m='md5(content)')} AS vector FROM p", "p"))
 def reembed_paragraphs(spark: SparkSession, d: str) -> DataFrame:
-    """Every paragraph's vector computed anew by the injected embedder."""
+    """Every paragraph's vector computed anew, written, and read back beside whether it had one."""
     p = kb.paragraphs(spark, d).select("document_id", F.md5("content").alias("md5"), F.col("embedding").isNull().alias("was_missing"), ca.hashing_vector(F.col("content")).alias("embedding"))
-    return p.select("document_id", "md5", "was_missing", F.size("embedding").alias("width"))
+    out = scratch(spark, "embeddings")
+    dml.insert(p, out)
+    return spark.read.schema(p.schema).parquet(out).select("document_id", "md5", "was_missing", F.col("embedding").cast("array<double>").alias("vector"))
 
 
 @register("SELECT unnest(['gpt-small', 'gpt-large']) AS name, 'EMBEDDING' AS model_type")
@@ -85,20 +90,40 @@ def search_connector(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.format("millrace_search").options(query="spark", limit="5", results=json.dumps(results)).load().select("title", "url")
 
 
-@register("SELECT item_id, CAST(unnest(range(0, len(string_split(text, chr(10))))) AS INT) AS k, unnest(string_split(text, chr(10))) AS content, item_id * 1000 + unnest(range(0, len(string_split(text, chr(10))))) AS problem_id FROM benchmark")
-def problem_insert(spark: SparkSession, d: str) -> DataFrame:
-    """A request's list of problems as problem rows, joined to the mapping rows written with them."""
-    lines = table(spark, d, "benchmark").select("item_id", F.posexplode(F.split("text", "\n")).alias("k", "content"))
-    problems = lines.withColumn("problem_id", F.col("item_id") * 1000 + F.col("k"))
-    mapping = problems.select("problem_id", F.col("item_id").alias("paragraph_id"))
-    return problems.join(mapping, "problem_id").where("item_id = paragraph_id").select("item_id", "k", "content", "problem_id")
+_PROBLEMS = "SELECT item_id, unnest(range(0, len(string_split(text, chr(10))))) AS k, unnest(string_split(text, chr(10))) AS content FROM benchmark"
+_NATURAL = "CAST('0x' || substr(md5({}), 1, 15) AS BIGINT)"
 
 
-@register(f"SELECT p_partkey, CASE WHEN p_size % 3 = 0 OR p_size % 3 = 1 THEN '{sc.DEFAULT_EMBEDDING_MODEL}' ELSE lower(p_brand) END AS model FROM part")
+@register(f"SELECT {_NATURAL.format("item_id || ':' || k")} AS problem_id, {_NATURAL.format("item_id || ':' || k || ':mapping'")} AS mapping_id, content, 0 AS hit_num, item_id AS paragraph_id FROM ({_PROBLEMS})")
+def problem_insert(spark: SparkSession, d: str) -> DataFrame:
+    """A request's list of problems written as problem rows and mapping rows, two tables, and read back joined. Ids come from natural keys."""
+    lines = table(spark, d, "benchmark").select("item_id", F.posexplode(F.split("text", "\n")).alias("k", "content")).withColumn("id", dml.natural_id(F.col("item_id"), F.col("k")))
+    problems, mappings = scratch(spark, "problems"), scratch(spark, "problem-mappings")
+    dml.insert(lines.select("id", "content", F.lit(0).alias("hit_num")), problems, batch=dml.BATCH)
+    dml.insert(lines.select(dml.natural_id(F.col("item_id"), F.col("k"), F.lit("mapping")).alias("id"), F.col("id").alias("problem_id"), F.col("item_id").alias("paragraph_id")), mappings, batch=dml.BATCH)
+    p = spark.read.schema("id long, content string, hit_num int").parquet(problems).withColumnRenamed("id", "problem_id")
+    m = spark.read.schema("id long, problem_id long, paragraph_id long").parquet(mappings).withColumnRenamed("id", "mapping_id")
+    return p.join(m, "problem_id").select("problem_id", "mapping_id", "content", "hit_num", "paragraph_id")
+
+
+@register(
+    f"""SELECT p_partkey, CASE WHEN p_size % 10 = 9 THEN 'regional' ELSE 'default' END AS provider, CASE WHEN p_size % 10 = 9 THEN 'text-embedding-v4' WHEN p_size % 3 = 0 OR p_size % 3 = 1 THEN '{sc.DEFAULT_EMBEDDING_MODEL}' ELSE lower(p_brand) END AS model FROM part"""
+)
 def model_alias_resolution(spark: SparkSession, d: str) -> DataFrame:
-    """A missing or "default" model name stands for the real one, before any cache is asked."""
+    """A missing or "default" model name stands for the real one, and an area may have a provider of its own, before any cache is asked."""
     name = F.expr("CASE WHEN p_size % 3 = 0 THEN NULL WHEN p_size % 3 = 1 THEN 'default' ELSE lower(p_brand) END")
-    return table(spark, d, "part").select("p_partkey", ca.model_alias(name, sc.DEFAULT_EMBEDDING_MODEL).alias("model"))
+    asked = ca.provider(F.expr("CASE WHEN p_size % 10 = 9 THEN 86 ELSE 1 END"), name, sc.DEFAULT_EMBEDDING_MODEL, {86: ("regional", "text-embedding-v4")})
+    return table(spark, d, "part").select("p_partkey", asked.alias("m")).select("p_partkey", "m.provider", "m.model")
+
+
+_NAMES = ca.LookupCache(live=60, idle=60)
+
+
+@register("SELECT c_custkey, n_name AS username FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey")
+def cached_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Names looked up through a cache that keeps the small table for a minute."""
+    names = _NAMES.get((spark.sparkContext.applicationId, d), lambda _: table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("username")).cache())
+    return table(spark, d, "customer").select("c_custkey", "c_nationkey").join(names, "c_nationkey", "left").select("c_custkey", "username")
 
 
 @register("SELECT doc_id, replace(text, 'a', '') AS clean, trim(text) = '' AS blank, starts_with(text, 'The') AS starts FROM documents")

@@ -35,9 +35,10 @@ def point_lookup(spark: SparkSession, d: str) -> DataFrame:
     return pr.by_example(table(spark, d, "documents"), {"doc_id": 42}, ["doc_id", "text"])
 
 
-@register("SELECT min(page_id) AS page_id FROM pages WHERE url LIKE '%example.net%'")
+@register("SELECT c_custkey AS id FROM customer WHERE c_name = 'Customer#000000042' LIMIT 1")
 def secondary_lookup(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages").where(F.col("url").contains("example.net")).agg(F.min("page_id").alias("page_id"))
+    """An id by the equality of a secondary key."""
+    return table(spark, d, "customer").where("c_name = 'Customer#000000042'").select(F.col("c_custkey").alias("id")).limit(1)
 
 
 @register("SELECT c_custkey AS id, c_name AS name, c_mktsegment AS applicaiton_type FROM customer WHERE c_custkey = 5")
@@ -101,9 +102,11 @@ def rls_owner(spark: SparkSession, d: str) -> DataFrame:
     return pr.owned_by(table(spark, d, "customer").select("c_custkey", "c_nationkey"), 7, "c_nationkey")
 
 
-@register("SELECT c_custkey, c_nationkey FROM customer")
+@register("SELECT c_nationkey = 1 AS own, count(*) AS n FROM customer GROUP BY ALL")
 def rls_superuser(spark: SparkSession, d: str) -> DataFrame:
-    return pr.owned_by(table(spark, d, "customer").select("c_custkey", "c_nationkey"), 1, "c_nationkey")
+    """The superuser sees their own rows and all others."""
+    seen = pr.owned_by(table(spark, d, "customer").select("c_custkey", "c_nationkey"), 1, "c_nationkey")
+    return seen.groupBy((F.col("c_nationkey") == 1).alias("own")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("SELECT c_custkey, c_name, n_name AS username FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey")

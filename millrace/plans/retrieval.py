@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions.vector import cosine as score
-from millrace.functions.vector import parse
+from millrace.functions.vector import parse, unparse
 from millrace.operators import retrieval as r
 from millrace.plans.ctes import cosine, with_tables
 from millrace.plans.registry import register
@@ -28,7 +27,7 @@ def _star(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]
 
 def _paragraph_sql(where: str, t: float, k: int, vector: str = "p.embedding", tables: str = "p", query: str = f"(SELECT v FROM c WHERE id = {QUERY})") -> str:
     return with_tables(
-        f"""SELECT *, similarity AS comprehensive_score FROM (SELECT p.id, p.document_id, d.name AS document_name, p.dataset_id, ds.name AS dataset_name, p.title, p.status, p.is_active, {cosine(vector, query)} AS similarity
+        f"""SELECT *, similarity AS comprehensive_score FROM (SELECT p.id, p.document_id, d.name AS document_name, p.dataset_id, ds.name AS dataset_name, p.title, p.status, p.is_active, p.content, p.hit_num, p.create_time, p.update_time, {cosine(vector, query)} AS similarity
         FROM {tables} JOIN dd d ON d.id = p.document_id JOIN ds ON ds.id = p.dataset_id WHERE p.is_active AND p.deleted = 0 AND ds.deleted = 0 AND {where}) WHERE similarity > {t} ORDER BY similarity DESC, id LIMIT {k}""",
         "p", "dd", "ds", "c", "app",
     )
@@ -58,9 +57,9 @@ def knn_application_scope(spark: SparkSession, d: str) -> DataFrame:
 
 @register(
     with_tables(
-        f"""SELECT *, similarity AS comprehensive_score FROM (SELECT p.id, p.document_id, d.name AS document_name, p.dataset_id, ds.name AS dataset_name, p.title, p.status, p.is_active,
+        f"""SELECT *, similarity AS comprehensive_score FROM (SELECT p.id, p.document_id, d.name AS document_name, p.dataset_id, ds.name AS dataset_name, p.title, p.status, p.is_active, p.content, p.hit_num, p.create_time, p.update_time,
         {cosine("t.embedding", f"(SELECT v FROM c WHERE id = {QUERY})")} AS similarity
-        FROM p LEFT JOIN embeddings t ON t.vec_id = (p.id + 1) % 500 LEFT JOIN dd d ON d.id = p.document_id LEFT JOIN ds ON ds.id = p.dataset_id
+        FROM p LEFT JOIN embeddings t ON t.vec_id = (p.id + 1) % (SELECT count(*) FROM embeddings) LEFT JOIN dd d ON d.id = p.document_id LEFT JOIN ds ON ds.id = p.dataset_id
         WHERE p.is_active AND p.deleted = 0 AND ds.deleted = 0 AND p.dataset_id IN (2, 4, 6)) WHERE similarity > 0.05 ORDER BY similarity DESC, id LIMIT 10""",
         "p", "dd", "ds", "c",
     )
@@ -71,7 +70,7 @@ def knn_title(spark: SparkSession, d: str) -> DataFrame:
 
 def _sentence_sql(where: str, t: float, k: int) -> str:
     return with_tables(
-        f"""SELECT * FROM (SELECT DISTINCT s.id, s.type, s.document_id, d.name AS document_name, s.dataset_id, ds.name AS dataset_name, CASE WHEN s.type = 1 THEN p.title ELSE '' END AS title,
+        f"""SELECT *, similarity AS comprehensive_score FROM (SELECT DISTINCT s.id, s.content, s.hit_num, s.document_id, d.name AS document_name, s.dataset_id, ds.name AS dataset_name, CASE WHEN s.type = 1 THEN p.title ELSE '' END AS title,
         CASE WHEN s.type = 1 THEN p.status ELSE '1' END AS status, CASE WHEN s.type = 1 THEN p.is_active ELSE d.is_active END AS is_active, {cosine("s.embedding", f"(SELECT v FROM c WHERE id = {QUERY})")} AS similarity
         FROM ss s JOIN ds ON ds.id = s.dataset_id JOIN dd d ON d.id = s.document_id LEFT JOIN p ON s.type = 1 AND s.paragraph_id = p.id
         WHERE s.deleted = 0 AND ds.deleted = 0 AND ((s.type = 1 AND p.is_active) OR (s.type = 2 AND d.is_active)) AND {where}) WHERE similarity > {t} ORDER BY similarity DESC, id LIMIT {k}""",
@@ -138,8 +137,14 @@ def batch_retrieve_many_queries(spark: SparkSession, d: str) -> DataFrame:
     f"""WITH c AS (SELECT vec_id AS id, embedding AS v FROM embeddings) SELECT vec_id AS id, {cosine("embedding", f"(SELECT v FROM c WHERE id = {QUERY})")} AS similarity FROM embeddings"""
 )
 def cosine_scores(spark: SparkSession, d: str) -> DataFrame:
-    v = table(spark, d, "embeddings")
-    return v.crossJoin(F.broadcast(_query(spark, d).select("v").limit(1))).select(F.col("vec_id").alias("id"), score("embedding", "v").alias("similarity"))
+    return r.scored(table(spark, d, "embeddings"), _query(spark, d)).select(F.col("vec_id").alias("id"), "similarity")
+
+
+@register("SELECT vec_id, embedding, true AS same FROM embeddings")
+def vector_text_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors written as text and parsed again."""
+    v = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("given"), parse(unparse("embedding")).alias("embedding"))
+    return v.select("vec_id", "embedding", (F.col("given") == F.col("embedding")).alias("same"))
 
 
 @register(
@@ -157,5 +162,5 @@ def search_rank_select(spark: SparkSession, d: str) -> DataFrame:
     best = pages.orderBy(F.desc("n"), "page_id").limit(10).withColumn("line", F.concat_ws("~~", "title", "url"))
     lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(-F.col("n"), "page_id", "line"))), lambda x: x["line"]), "\n")
     answer = best.agg(F.concat(F.lit("<output>"), lines, F.lit("</output>")).alias("answer"))
-    parsed = answer.select(F.posexplode(F.split(tagged(F.col("answer"), "output"), "\n")).alias("k", "line"))
+    parsed = answer.select(F.posexplode(F.split(tagged(F.col("answer"), "output")[0], "\n")).alias("k", "line"))
     return parsed.select((F.col("k") + 1).alias("rank"), F.split("line", "~~")[0].alias("title"), F.split("line", "~~")[1].alias("url"))

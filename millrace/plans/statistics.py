@@ -15,13 +15,15 @@ from millrace.sources.readers import table
 @register(
     with_tables(
         """SELECT ds.id, ds.name, (SELECT count(*) FROM app WHERE app.dataset_id = ds.id) AS application_mapping_count, (SELECT count(*) FROM dd WHERE dd.dataset_id = ds.id) AS document_count,
-        (SELECT CAST(sum(n_chars) AS BIGINT) FROM dd WHERE dd.dataset_id = ds.id) AS char_length FROM ds""",
+        (SELECT CAST(sum(n_chars) AS BIGINT) FROM dd WHERE dd.dataset_id = ds.id) AS char_length FROM (SELECT id, name FROM ds UNION ALL SELECT 1000000, 'empty') ds""",
         "ds", "dd", "app",
     )
 )
 def dataset_page_stats(spark: SparkSession, d: str) -> DataFrame:
+    """A dataset without documents has no length, which is not a length of zero."""
     docs = table(spark, d, "documents").select(F.expr(kb.DATASET).alias("dataset_id"), "n_chars")
-    return stats.dataset_stats(kb.datasets(spark, d), docs, kb.applications(spark, d))
+    datasets = kb.datasets(spark, d).select("id", "name").unionByName(spark.range(1).select(F.lit(1_000_000).alias("id"), F.lit("empty").alias("name")))
+    return stats.dataset_stats(datasets, docs, kb.applications(spark, d))
 
 
 @register(

@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.functions import text as tx
+from millrace.functions.tokens import count_tokens
 from millrace.operators import cache as ca
 from millrace.operators import chunk as ch
 from millrace.operators import context as cx
+from millrace.operators import convert as cv
 from millrace.operators import dml
 from millrace.operators import retrieval as r
-from millrace.plans.ctes import cosine, with_tables
+from millrace.plans.ctes import cosine, summary, with_tables
 from millrace.plans.registry import register
 from millrace.plans.retrieval import QUERY
+from millrace.session import reachable, scratch
 from millrace.sources import knowledge as kb
+from millrace.sources import pdf, web
 from millrace.sources.readers import table
 
 
@@ -36,9 +42,20 @@ def chunk_words_fine(spark: SparkSession, d: str) -> DataFrame:
 
 @register()
 def chunk_recursive(spark: SparkSession, d: str) -> DataFrame:
-    """Recursive chunks by a table function; tests hold its invariants."""
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    return docs.lateralJoin(ch.ChunkRecursive(F.col("text").outer(), F.lit(ch.FINE), F.lit(ch.FINE_OVERLAP))).select("doc_id", "seq", "chunk")
+    """Sentences by tokens: recursive chunks of at most 150, overlapping by 50. Tests hold them against the tokenizer and for cover."""
+    return ch.token_chunks(table(spark, d, "documents"), "doc_id", "text", ch.FINE, ch.FINE_OVERLAP)
+
+
+@register()
+def chunk_recursive_coarse(spark: SparkSession, d: str) -> DataFrame:
+    """Paragraphs by tokens: recursive chunks of at most 2000, overlapping by 400."""
+    return ch.token_chunks(table(spark, d, "documents"), "doc_id", "text", ch.COARSE, ch.COARSE_OVERLAP)
+
+
+@register()
+def token_count(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens of each text by an offline byte-level vocabulary; a test holds them against the library."""
+    return table(spark, d, "documents").select("doc_id", count_tokens("text").alias("tokens"))
 
 
 @register("SELECT source, CAST(sum(length(text)) AS BIGINT) AS char_length, count(*) AS paragraph_count FROM documents GROUP BY source")
@@ -51,6 +68,10 @@ for _p in ("(?s)<script[^>]*>.*?</script>", "(?s)<style[^>]*>.*?</style>", "(?s)
     _HTML = f"regexp_replace({_HTML}, '{_p}', ' ', 'g')"
 
 
+for _name, _value in tx.REFERENCES:
+    _HTML = f"replace({_HTML}, '{_name}', '{_value.replace(chr(39), chr(39) * 2)}')"
+
+
 @register(f"SELECT page_id, trim(regexp_replace({_HTML}, '[ \\t\\r\\n]+', ' ', 'g')) AS text FROM pages")
 def html_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", tx.html_text(F.col("html")).alias("text"))
@@ -61,10 +82,11 @@ def html_title(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", tx.html_title(F.col("html")).alias("title"))
 
 
-@register("SELECT item_id, text AS output FROM benchmark")
+@register("SELECT item_id, 2 AS n, text || ' / ' || lower(text) AS output FROM benchmark")
 def tagged_output_parse(spark: SparkSession, d: str) -> DataFrame:
-    b = table(spark, d, "benchmark").withColumn("answer", F.concat(F.lit("thought <output>"), "text", F.lit("</output> end")))
-    return b.select("item_id", tx.tagged(F.col("answer"), "output").alias("output"))
+    """All tagged parts of an answer, in order."""
+    b = table(spark, d, "benchmark").withColumn("answer", F.concat(F.lit("thought <output>"), "text", F.lit("</output> and <output>"), F.lower("text"), F.lit("</output> end")))
+    return b.select("item_id", tx.tagged(F.col("answer"), "output").alias("t")).select("item_id", F.size("t").alias("n"), F.array_join("t", " / ").alias("output"))
 
 
 @register("SELECT doc_id, CAST(len(regexp_extract_all(text, '[A-Za-z0-9]+|[^A-Za-z0-9 \\t\\r\\n]')) AS INT) AS tokens FROM documents")
@@ -86,10 +108,11 @@ def template_fill(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select("c_custkey", t.alias("letter"))
 
 
-@register("SELECT item_id, text AS inner_text FROM benchmark")
+@register("SELECT item_id, CASE WHEN item_id % 2 = 0 THEN trim(text, chr(10)) ELSE '``' || text END AS inner_text FROM benchmark")
 def strip_code_fence(spark: SparkSession, d: str) -> DataFrame:
-    b = table(spark, d, "benchmark").withColumn("m", F.concat(F.lit("```markdown\n"), "text", F.lit("```")))
-    return b.select("item_id", tx.strip_fence(F.col("m")).alias("inner_text"))
+    """Fenced texts lose their fence, others (here with two marks in front) stay."""
+    m = F.when(F.col("item_id") % 2 == 0, F.concat(F.lit("```markdown\n"), F.trim("text", F.lit("\n")), F.lit("```"))).otherwise(F.concat(F.lit("``"), "text"))
+    return table(spark, d, "benchmark").select("item_id", tx.strip_fence(m).alias("inner_text"))
 
 
 def _hits(spark: SparkSession, d: str) -> DataFrame:
@@ -128,32 +151,98 @@ def ordered_markdown_merge(spark: SparkSession, d: str) -> DataFrame:
     return pages.groupBy("doc_id").agg(F.array_join(F.transform(parts, lambda x: x["line"]), "\n\n").alias("markdown"))
 
 
-@register("SELECT doc_id, md5(text) AS md5, doc_id IN (SELECT vec_id FROM embeddings) AS cached FROM documents WHERE doc_id = (SELECT min(doc_id) FROM documents x WHERE x.text = documents.text)")
+_VECTOR = "list_transform(range(1, 33), lambda k: CAST((instr('0123456789abcdef', {m}[k]) - 1) / 16.0 - 0.5 AS DOUBLE))"
+
+
+@register(
+    f"""SELECT doc_id, md5(text) AS md5, vec_id IS NOT NULL AS cached, CASE WHEN vec_id IS NULL THEN {_VECTOR.format(m="md5(md5(text))")} ELSE CAST(embedding AS DOUBLE[]) END AS vector
+    FROM documents LEFT JOIN embeddings ON vec_id = doc_id WHERE doc_id = (SELECT min(doc_id) FROM documents x WHERE x.text = documents.text)"""
+)
 def embedding_cache_get_or_compute(spark: SparkSession, d: str) -> DataFrame:
-    """Which distinct texts the cache had; the others get a vector, once each."""
-    docs = table(spark, d, "documents").select("doc_id", F.md5("text").alias("md5"))
-    wanted = docs.groupBy("md5").agg(F.min("doc_id").alias("doc_id"))
+    """The vectors of distinct texts: the cache's where it had them; the others get one, once each."""
+    wanted = table(spark, d, "documents").select("doc_id", F.md5("text").alias("md5")).groupBy("md5").agg(F.min("doc_id").alias("doc_id"))
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     stored = wanted.join(v, "doc_id").select("md5", "embedding", F.lit(True).alias("cached"))
     filled, _ = ca.get_or_compute(wanted, stored.select("md5", "embedding"), ["md5"], "embedding", lambda m: m.withColumn("embedding", ca.hashing_vector(F.col("md5"))))
-    return filled.where("size(embedding) = 64").join(stored.select("md5", "cached"), "md5", "left").select("doc_id", "md5", F.coalesce("cached", F.lit(False)).alias("cached"))
+    return filled.join(stored.select("md5", "cached"), "md5", "left").select("doc_id", "md5", F.coalesce("cached", F.lit(False)).alias("cached"), F.col("embedding").cast("array<double>").alias("vector"))
+
+
+def _failing_embedder(texts: list[str]) -> list:
+    """A stand-in for a service that fails at first: every other call of a worker raises."""
+    import hashlib
+
+    _failing_embedder.calls = getattr(_failing_embedder, "calls", 0) + 1
+    if _failing_embedder.calls % 2:
+        raise ConnectionError("busy")
+    return [[int(x, 16) / 16 - 0.5 for x in hashlib.md5(t.encode()).hexdigest()] for t in texts]
+
 
+@register(f"SELECT item_id, {_VECTOR.format(m='md5(text)')} AS vector FROM benchmark")
+def embedding_source(spark: SparkSession, d: str) -> DataFrame:
+    """A model called from the executors in batches, tried again when it fails."""
+    return table(spark, d, "benchmark").select("item_id", ca.model_call("text", _failing_embedder, T.ArrayType(T.DoubleType())).alias("vector"))
 
-@register("SELECT md5, array_to_string(ws[1:20], ' ') AS summary FROM (SELECT md5(text) AS md5, any_value(regexp_split_to_array(text, '[ \\n]+')) AS ws FROM documents GROUP BY md5(text))")
+
+@register(f"SELECT md5(text) AS md5, any_value({summary('text')}) AS summary FROM documents GROUP BY md5(text)")
 def summary_sentences(spark: SparkSession, d: str) -> DataFrame:
     """One summary for each distinct paragraph, cached under its md5."""
     docs = table(spark, d, "documents").select(F.md5("text").alias("md5"), "text")
     none = spark.createDataFrame([], "md5 string, summary string")
-    _, grown = ca.get_or_compute(docs, none, ["md5"], "summary", lambda m: m.withColumn("summary", ch.summary(F.col("text"))))
+    _, grown = ca.get_or_compute(docs, none, ["md5"], "summary", lambda m: m.withColumn("summary", tx.summary(F.col("text"))))
     return grown
 
 
 @register(
     f"""WITH w AS ({_windows_sql(ch.FINE, ch.FINE_OVERLAP)}) SELECT doc_id AS document_id, 1 AS type, seq, md5(chunk) AS md5 FROM w
-    UNION ALL SELECT doc_id, 2, 0, md5(array_to_string(regexp_split_to_array(text, '[ \\n]+')[1:20], ' ')) FROM documents"""
+    UNION ALL SELECT doc_id, 2, 0, md5({summary("text")}) FROM documents"""
 )
 def ingest_sentences(spark: SparkSession, d: str) -> DataFrame:
-    """Split sentences and summaries of all paragraphs, replaced together per document: twice gives the same as once."""
+    """Split sentences and summaries of all paragraphs, made once and written; they replace what their documents had, so twice gives the same as once."""
     p = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("document_id"), F.col("text").alias("content"))
-    fresh = ch.sentences_of(p).select("document_id", "type", "seq", "md5")
+    out = scratch(spark, "sentences")
+    made = ch.sentences_of(p).select("document_id", "type", "seq", "md5")
+    made.write.parquet(out)
+    fresh = spark.read.schema(made.schema).parquet(out)
     return dml.replace_children(fresh.where("type = 2"), fresh, "document_id")
+
+
+@register("SELECT item_id, CAST(unnest(range(0, len(string_split(text, chr(10))))) AS INT) AS page, unnest(string_split(text, chr(10))) AS text FROM benchmark")
+def pdf_pages(spark: SparkSession, d: str) -> DataFrame:
+    """PDFs, a page a line of each item, read page by page."""
+    return pdf.pages_of(_pdfs(spark, d), "item_id")
+
+
+def _pdfs(spark: SparkSession, d: str) -> DataFrame:
+    reachable(spark)
+
+    def made(a: pa.Array) -> pa.Array:
+        from millrace.sources.pdf import simple_pdf
+
+        return pa.array([simple_pdf(x.split("\n")) for x in a.to_pylist()], pa.binary())
+
+    return table(spark, d, "benchmark").select("item_id", F.arrow_udf(made, T.BinaryType())("text").alias("content"))
+
+
+@register("SELECT item_id, string_agg('# ' || line, chr(10) || chr(10) ORDER BY k) AS markdown FROM (SELECT item_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM benchmark) GROUP BY item_id")
+def pdf_markdown(spark: SparkSession, d: str) -> DataFrame:
+    """PDFs to markdown behind the caches of documents and pages; items with even ids are in the first cache already."""
+    files = _pdfs(spark, d).withColumnRenamed("item_id", "id")
+    convert = lambda m: m.withColumn("markdown", F.concat(F.lit("# "), "text"))
+    none = spark.createDataFrame([], "md5 string, markdown string")
+    _, known, pages = cv.to_markdown(files.where("id % 2 = 0"), none, none, convert)
+    return cv.to_markdown(files, known, pages, convert)[0].select(F.col("id").alias("item_id"), "markdown")
+
+
+@register(f"SELECT page_id, CASE WHEN page_id % 5 = 0 THEN regexp_replace(url, '[?#].*$', '') || '.pdf' ELSE url END AS url, CASE WHEN page_id % 5 = 0 THEN 'page ' || page_id ELSE trim(regexp_replace({_HTML}, '[ \\t\\r\\n]+', ' ', 'g')) END AS text, CASE WHEN page_id % 5 <> 0 THEN html END AS html FROM pages")
+def web_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Fetched pages: those whose url ends in .pdf go to the PDF extractor, the others keep their html beside the text."""
+    reachable(spark)
+
+    def made(a: pa.Array) -> pa.Array:
+        from millrace.sources.pdf import simple_pdf
+
+        return pa.array([simple_pdf([f"page {x}"]) for x in a.to_pylist()], pa.binary())
+
+    is_pdf = F.col("page_id") % 5 == 0
+    fetched = table(spark, d, "pages").select("page_id", F.when(is_pdf, F.concat(F.regexp_replace("url", r"[?#].*$", ""), F.lit(".pdf"))).otherwise(F.col("url")).alias("url"), F.when(is_pdf, F.arrow_udf(made, T.BinaryType())("page_id")).otherwise(F.encode("html", "UTF-8")).alias("content"))
+    return web.web_pages(fetched, "page_id")

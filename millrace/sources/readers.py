@@ -45,7 +45,11 @@ def columns_of(df: DataFrame, name: str) -> list[tuple[str, str, str]]:
     return [(name, f.name, f.dataType.simpleString()) for f in df.schema.fields]
 
 
-def jdbc(spark: SparkSession, url: str, name: str, key: str, low: int, high: int, parts: int) -> DataFrame:
+#: The driver of an embedded database that comes with Spark.
+DERBY = "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+
+
+def jdbc(spark: SparkSession, url: str, name: str, key: str, low: int, high: int, parts: int, driver: str | None = None) -> DataFrame:
     """A table of a database, read in parallel ranges of its key."""
     o = {"url": url, "dbtable": name, "partitionColumn": key, "lowerBound": str(low), "upperBound": str(high), "numPartitions": str(parts)}
-    return spark.read.format("jdbc").options(**o).load()
+    return spark.read.format("jdbc").options(**o, **({"driver": driver} if driver else {})).load()

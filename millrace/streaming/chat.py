@@ -1,15 +1,16 @@
-"""Answer streams: event lines, deltas, the fold into one text a message, finished records."""
+"""Answer streams: event lines, deltas, the fold into one text a message, finished records, frames for clients."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from millrace.functions.text import token_estimate
+from millrace.operators import dml
 
 DONE = "[DONE]"
 
@@ -25,39 +26,67 @@ def parse_events(lines: DataFrame, line: str = "line") -> DataFrame:
     )
 
 
+def frames(kind: Column, data: Column) -> Column:
+    """An event as clients read it: its name, its data line by line, a blank line."""
+    return F.concat(F.lit("event: "), kind, F.lit("\ndata: "), F.replace(data, F.lit("\n"), F.lit("\ndata: ")), F.lit("\n\n"))
+
+
+def error_events(events: DataFrame, keys: list[str], line: str = "line") -> DataFrame:
+    """An error frame for each line of raw answers that reports an error, or that has no body."""
+    message = F.coalesce(F.get_json_object(F.substring(line, 7, 1 << 30), "$.error.message"), F.when(F.col(line).isNull(), F.lit("response body is null")))
+    return events.withColumn("message", message).where("message IS NOT NULL").select(*keys, "message", frames(F.lit("error"), F.col("message")).alias("frame"))
+
+
 def fold(chunks: DataFrame, keys: list[str], order: str = "seq", delta: str = "delta") -> DataFrame:
-    """The deltas of each message, joined in order."""
+    """The deltas of each message, joined in order. A message is one answer, which a model's output bounds."""
     parts = F.array_sort(F.collect_list(F.struct(order, delta)))
     return chunks.groupBy(*keys).agg(F.array_join(F.transform(parts, lambda p: p[delta]), "").alias("answer_text"), F.count(F.lit(1)).alias("n_chunks"))
 
 
-def _append(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    held = list(zip(*state.get)) if state.exists else []
-    for f in frames:
-        held += list(zip(f["seq"].tolist(), f["delta"].tolist()))
-    held.sort()
-    state.update(([s for s, _ in held], [d for _, d in held]))
-    yield pd.DataFrame({"message_id": [key[0]], "answer_text": ["".join(d for _, d in held)], "n_chunks": [len(held)]})
-
-
-def fold_stream(chunks: DataFrame) -> DataFrame:
-    """The same fold over a stream (message_id, seq, delta): each batch emits the messages that it changes."""
-    return chunks.groupBy("message_id").applyInPandasWithState(
-        _append, "message_id long, answer_text string, n_chunks long", "seqs array<long>, deltas array<string>", "update", GroupStateTimeout.NoTimeout
-    )
+def _append(idle_ms: int | None):
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        """Holds a message's deltas until its end mark and all before it are there; then tells it and forgets it."""
+        held: dict[int, str] = {}
+        last = -1
+        if state.exists:
+            seqs, deltas, last = state.get
+            held = dict(zip(seqs, deltas))
+        if not state.hasTimedOut:
+            for f in frames:
+                held.update(zip(f["seq"][~f["is_end"]].tolist(), f["delta"][~f["is_end"]].tolist()))  # a chunk that comes twice counts once
+                ends = f["seq"][f["is_end"]]
+                last = int(ends.iloc[0]) if len(ends) else last
+        whole = 0 <= last <= len(held)
+        if whole or state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame({"message_id": [key[0]], "answer_text": ["".join(held[s] for s in sorted(held))], "n_chunks": [len(held)], "whole": [whole]})
+        else:
+            state.update((list(held), list(held.values()), last))
+            if idle_ms:
+                state.setTimeoutDuration(idle_ms)
+
+    return step
+
+
+def fold_stream(chunks: DataFrame, idle_ms: int | None = None) -> DataFrame:
+    """The fold over a stream (message_id, seq from 0, delta, is_end): a message once, when it has ended. State holds messages that are under way alone.
+
+    idle_ms: milliseconds after its last chunk when a message that has not ended is told as it is and forgotten; for streams that run on.
+    """
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
+    return chunks.groupBy("message_id").applyInPandasWithState(_append(idle_ms), "message_id long, answer_text string, n_chunks long, whole boolean", "seqs array<long>, deltas array<string>, last long", "append", timeout)
 
 
 def run_fold(spark: SparkSession, chunks_path: str, out: str, checkpoint: str) -> DataFrame:
-    """Folds all chunk files there are and returns the latest row of each message."""
+    """Folds all chunk files there are and returns the messages that have ended. A batch that runs again replaces what it wrote."""
     schema = spark.read.parquet(chunks_path).schema
 
     def save(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number).cast("long")).write.mode("append").parquet(out)
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     stream = fold_stream(spark.readStream.schema(schema).parquet(chunks_path))
-    stream.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    done = spark.read.parquet(out)
-    return done.groupBy("message_id").agg(F.max(F.struct("batch", "answer_text", "n_chunks")).alias("r")).select("message_id", "r.answer_text", "r.n_chunks")
+    stream.writeStream.outputMode("append").foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("message_id long, answer_text string, n_chunks long, whole boolean").parquet(f"{out}/batch=*").where("whole").select("message_id", "answer_text", "n_chunks")
 
 
 def finalise(folded: DataFrame) -> DataFrame:
@@ -65,6 +94,16 @@ def finalise(folded: DataFrame) -> DataFrame:
     return folded.withColumn("answer_tokens", token_estimate(F.col("answer_text")))
 
 
+def complete(records: DataFrame, finished: DataFrame) -> DataFrame:
+    """records (id, answer_text, answer_tokens, message_tokens, run_time, details, version) with the finished messages' fields (id, answer_text, message_tokens, began, ended).
+
+    run_time is in seconds, details the answer step as JSON; a message without a record gets one.
+    """
+    f = finished.withColumn("run_time", F.round((F.unix_millis("ended") - F.unix_millis("began")) / 1000.0, 3)).withColumn("answer_tokens", token_estimate(F.col("answer_text")))
+    step = F.to_json(F.struct(F.struct("run_time", "answer_tokens", "message_tokens", F.lit("chat_step").alias("step_type")).alias("chat_step")))
+    return dml.upsert(records, f.select("id", "answer_text", "answer_tokens", "message_tokens", "run_time", step.alias("details"), F.lit(1).alias("version")), ["id"], "version")
+
+
 class Registry:
     """Running streams by chat id: put, stop, remove."""
 
