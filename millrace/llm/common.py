@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import os
+import re
 import uuid
 
 import numpy as np
@@ -89,6 +90,13 @@ def remove(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def subfolders(spark: SparkSession, folder: str) -> list[str]:
+    """The names of what a folder holds, without hidden ones; none if it isn't there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/*")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return sorted(n for f in found or [] if not (n := f.getPath().getName()).startswith(("_", ".")))
+
+
 def small_side(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if a count shows that it is small. Without it, AQE's skew handling applies to the join."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
@@ -107,12 +115,16 @@ def file_system(uri: str):
         return fs.LocalFileSystem(), uri
     if uri.startswith("file:"):
         return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
-    return fs.FileSystem.from_uri(uri)
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", uri))
 
 
 def put_file(uri: str, data: bytes) -> None:
-    """Writes a whole file under a name of its own and renames it, so that a second attempt of a task does no harm."""
+    """Writes a whole file, so that a second attempt of a task does no harm: under another name that is then changed, or, in an object store, at once, as files appear there when they are whole."""
     fs, path = file_system(uri)
+    if fs.type_name in ("s3", "gcs", "abfs"):
+        with fs.open_output_stream(path) as out:
+            out.write(data)
+        return
     fs.create_dir(os.path.dirname(path), recursive=True)
     part = os.path.join(os.path.dirname(path), f".{os.path.basename(path)}.{uuid.uuid4().hex}")
     with fs.open_output_stream(part) as out:

@@ -6,20 +6,25 @@ row that stays, its locator in the content store and the number of rows. Rows th
 have their full normalised bytes compared with those that the locator names; should two texts share a digest,
 those that differ are grouped by their bytes instead.
 
+Store and state may stand: a later batch meets all earlier ones. A locator is the number of its batch and a place in it;
+it never changes, and two batches never share one. Bytes are compared in the groups that the new batch has touched, and
+in those whose digest was found to stand for several texts.
+
 Null texts count as empty. Of equal texts the smallest doc_id stays; null doc_ids come last; among repeated
 doc_ids the smallest locator stays, so one row of each group stays. keep_id is null where all doc_ids of a group
 are null. An empty table gives an empty result. Columns of any other name are carried inside one struct, so they
-clash with nothing.
+clash with nothing. Texts of any length are digested and compared whole.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import shared_dir, small_side, written
+from millrace.llm.common import BROADCAST_NUMBERS, shared_dir, small_side, subfolders, written
 
 #: Rows of a group that one task compares with the row that stays.
 ROWS_PER_SALT = 2048
@@ -41,26 +46,41 @@ def sha256(text: Column) -> Column:
     return F.sha2(F.encode(text, "UTF-8"), 256)
 
 
-def add_to_store(docs: DataFrame, store: str, digest: Callable[[Column], Column] = sha256, text: str = "text", key: str = "doc_id") -> None:
-    """Appends docs to the content store: whole rows, their digest, and a locator (part and row) that never changes once written."""
+def _read(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The table there, or None before the first write."""
+    try:
+        return spark.read.parquet(folder)
+    except AnalysisException:
+        return None
+
+
+def add_to_store(docs: DataFrame, store: str, digest: Callable[[Column], Column] = sha256, text: str = "text", key: str = "doc_id") -> int:
+    """Writes docs into the content store as its next batch, and returns the batch's number: whole rows, their digest, and their place in the batch."""
+    batch = len(subfolders(docs.sparkSession, store))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     rows.select(
-        "row", F.col(f"row.`{key}`").cast("long").alias("id"), digest(normalised(F.col(f"row.`{text}`"))).alias("digest"), F.monotonically_increasing_id().alias("locator")
-    ).write.mode("append").option("compression", "zstd").parquet(store)
+        "row", F.col(f"row.`{key}`").cast("long").alias("id"), digest(normalised(F.col(f"row.`{text}`"))).alias("digest"), F.monotonically_increasing_id().alias("place"), F.lit(batch).cast("long").alias("batch")
+    ).write.option("compression", "zstd").parquet(f"{store}/n={batch}")
+    return batch
+
+
+def contents(spark: SparkSession, store: str) -> DataFrame:
+    """row, id, digest, locator of all batches."""
+    return spark.read.parquet(store).select("row", "id", "digest", F.struct("batch", "place").alias("locator"))
 
 
 def advance(spark: SparkSession, store: str, state: str) -> DataFrame:
-    """Lets the stream take in what the store has gained and returns the state: digest, id, locator, n.
+    """Lets the stream take in what the store has gained and returns the state: digest, keep_id, keep_locator, n.
 
     The state stays in `state` (checkpoint and RocksDB files), so that later rows meet all earlier ones.
     """
-    schema = spark.read.parquet(store).select("id", "digest", "locator").schema
+    schema = "id long, digest string, place long, batch long"
     before = {k: spark.conf.get(k, None) for k in STATE_STORE}
     try:
         for k, v in STATE_STORE.items():
             spark.conf.set(k, v)
-        seen = spark.readStream.schema(schema).parquet(store)
-        best = seen.groupBy("digest").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "locator")).alias("first"), F.count(F.lit(1)).alias("n"))
+        seen = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(store)
+        best = seen.groupBy("digest").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "batch", "place")).alias("first"), F.count(F.lit(1)).alias("n"))
         query = best.writeStream.format("noop").outputMode("update").option("checkpointLocation", state).trigger(availableNow=True).start()
     finally:
         for k, v in before.items():
@@ -69,16 +89,20 @@ def advance(spark: SparkSession, store: str, state: str) -> DataFrame:
     kept = spark.read.format("statestore").load(state)
     first = kept.schema["value"].dataType.names
     return kept.select(F.col("key.digest").alias("digest"), F.col(f"value.`{first[0]}`").alias("first"), F.col(f"value.`{first[1]}`").alias("n")).select(
-        "digest", F.col("first.id").alias("keep_id"), F.col("first.locator").alias("keep_locator"), "n"
+        "digest", F.col("first.id").alias("keep_id"), F.struct(F.col("first.batch").alias("batch"), F.col("first.place").alias("place")).alias("keep_locator"), "n"
     )
 
 
-def resolve(docs: DataFrame, digest: Callable[[Column], Column] = sha256, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """(content, labels): content has row, id, digest, locator; labels has locator, id, digest, keep_id, keep_locator, n for each row."""
+def resolve(docs: DataFrame, digest: Callable[[Column], Column] = sha256, text: str = "text", key: str = "doc_id", store: str | None = None, state: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(content, labels): content has row, id, digest, locator; labels has locator, id, digest, keep_id, keep_locator, n for each row.
+
+    docs become the next batch of the store, and both results have the rows of all batches. Without a store, one of its own
+    is made for docs alone.
+    """
     spark = docs.sparkSession
-    store, state = shared_dir(spark, "dedup-content"), shared_dir(spark, "dedup-state")
-    add_to_store(docs, store, digest, text, key)
-    content = spark.read.parquet(store)
+    store, state = store or shared_dir(spark, "dedup-content"), state or shared_dir(spark, "dedup-state")
+    batch = add_to_store(docs, store, digest, text, key)
+    content = contents(spark, store)
     if not content.limit(1).count():
         empty = content.select("locator", "id", "digest", F.col("id").alias("keep_id"), F.col("locator").alias("keep_locator"), F.lit(1).cast("long").alias("n"))
         return content, empty
@@ -86,14 +110,21 @@ def resolve(docs: DataFrame, digest: Callable[[Column], Column] = sha256, text:
     labels = written(content.select("locator", "id", "digest").join(known, "digest"), "dedup-labels")
 
     # Full bytes are compared on hits: only rows of groups move with their texts, large groups in salted parts.
-    groups = small_side(known.where("n > 1").select("digest", "keep_locator", F.ceil(F.col("n") / ROWS_PER_SALT).cast("int").alias("salts")))
+    groups = known.where("n > 1").select("digest", "keep_locator", F.ceil(F.col("n") / ROWS_PER_SALT).cast("int").alias("salts"))
+    told = _read(spark, f"{state}-collisions")
+    if batch:
+        touched = content.where(F.col("locator.batch") == batch).select("digest")
+        groups = groups.join((touched if told is None else touched.union(told)).distinct(), "digest", "left_semi")
+    groups = small_side(groups)
     texts = content.select("locator", "digest", normalised(F.col(f"row.`{text}`")).alias("bytes")).join(groups, "digest")
     own = texts.where("locator = keep_locator").select("digest", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("bytes").alias("kept_bytes"))
     hits = texts.where("locator <> keep_locator").select("locator", "digest", "bytes", F.pmod(F.xxhash64("locator"), F.col("salts")).cast("int").alias("salt"))
-    differ = written(hits.join(own, ["digest", "salt"]).where("bytes <> kept_bytes").select("locator", "bytes"), "dedup-collisions")
+    differ = written(hits.join(own, ["digest", "salt"]).where("bytes <> kept_bytes").select("locator", "digest", "bytes"), "dedup-collisions")
     collisions = differ.count()
     if collisions:  # the digest failed: these rows, and the groups they leave, are told apart by their bytes
-        of = labels.join(F.broadcast(differ) if collisions <= 10_000 else differ, "locator", "left").withColumn("other", F.coalesce("bytes", F.lit("")))
+        differ.select("digest").distinct().write.mode("append").parquet(f"{state}-collisions")
+        apart = differ.select("locator", "bytes")
+        of = labels.join(F.broadcast(apart) if collisions <= 10_000 else apart, "locator", "left").withColumn("other", F.coalesce("bytes", F.lit("")))
         again = of.groupBy("digest", F.col("bytes").isNotNull().alias("apart"), "other").agg(
             F.min(F.struct(F.col("id").isNull().alias("none"), "id", "locator")).alias("first"), F.count(F.lit(1)).alias("m")
         )
@@ -106,9 +137,9 @@ def resolve(docs: DataFrame, digest: Callable[[Column], Column] = sha256, text:
     return content, labels
 
 
-def exact_duplicates(docs: DataFrame, digest: Callable[[Column], Column] = sha256, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row for each input row: doc_id, keep_id, group_size, kept, text_sha256."""
-    _, labels = resolve(docs, digest, text, key)
+def exact_duplicates(docs: DataFrame, digest: Callable[[Column], Column] = sha256, text: str = "text", key: str = "doc_id", store: str | None = None, state: str | None = None) -> DataFrame:
+    """One row for each row of docs, and of the store's earlier batches: doc_id, keep_id, group_size, kept, text_sha256."""
+    _, labels = resolve(docs, digest, text, key, store, state)
     return labels.select(
         F.col("id").alias("doc_id"), "keep_id", F.col("n").alias("group_size"), (F.col("locator") == F.col("keep_locator")).alias("kept"), F.col("digest").alias("text_sha256")
     )
@@ -117,7 +148,7 @@ def exact_duplicates(docs: DataFrame, digest: Callable[[Column], Column] = sha25
 def drop_exact_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows that stay, with docs' own columns."""
     content, labels = resolve(docs, sha256, text, key)
-    gone = small_side(labels.where("locator <> keep_locator").select("locator"))
+    gone = small_side(labels.where("locator <> keep_locator").select("locator"), BROADCAST_NUMBERS // 2)
     return content.join(gone, "locator", "left_anti").select("row.*")
 
 

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from millrace.llm import exact_dedup, simhash_dedup, simhash_wide
+from millrace.llm import components, exact_dedup, simhash_dedup, simhash_wide
 from millrace.llm.common import shared_dir, strings, table
 from millrace.llm.components import stars
 
@@ -41,13 +41,25 @@ def test_exact_keeps_columns_and_takes_empty_tables(odd_docs, no_docs):
     assert exact_dedup.exact_duplicates(no_docs).count() == 0 and exact_dedup.drop_exact_duplicates(no_docs).count() == 0
 
 
-def test_state_meets_later_rows(spark):
+@pytest.mark.parametrize("digest", [exact_dedup.sha256, lambda t: F.substring(exact_dedup.sha256(t), 1, 1)], ids=["sha256", "colliding"])
+def test_later_batches_meet_a_standing_store(spark, digest):
+    """After each batch the labels are those of all rows so far, by brute force, also where digests collide over batches."""
     store, state = shared_dir(spark, "t-store"), shared_dir(spark, "t-state")
-    exact_dedup.add_to_store(spark.createDataFrame([(5, "a"), (6, "b")], "doc_id long, text string"), store)
-    assert exact_dedup.advance(spark, store, state).count() == 2
-    exact_dedup.add_to_store(spark.createDataFrame([(7, "a"), (2, "b")], "doc_id long, text string"), store)
-    got = {r.keep_id: r.n for r in exact_dedup.advance(spark, store, state).collect()}
-    assert got == {5: 2, 2: 2}
+    batches = [[(5, "a"), (6, "b"), (9, "text 1")], [(7, "a"), (2, "b"), (8, "text 2"), (None, "text 2")], [(1, "text  1"), (10, "c")], [(11, "text 2"), (12, "c")]]
+    seen = []
+    for rows in batches:
+        seen += rows
+        got = exact_dedup.exact_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), digest, store=store, state=state).collect()
+        groups = defaultdict(list)
+        for d, t in seen:
+            groups[normal(t)].append(d)
+        want = [(d, min(x for x in groups[normal(t)] if x is not None), len(groups[normal(t)])) for d, t in seen]
+        key = lambda r: tuple((x is None, x or 0) for x in r)
+        assert sorted([(r.doc_id, r.keep_id, r.group_size) for r in got], key=key) == sorted(want, key=key)
+        assert sum(r.kept for r in got) == len(groups)
+    content = exact_dedup.contents(spark, store)
+    assert content.select("locator").distinct().count() == content.count() == len(seen)
+    assert {(r.locator.batch, r.id) for r in content.collect()} == {(n, d) for n, rows in enumerate(batches) for d, _ in rows}
 
 
 def test_large_group_is_salted(spark, monkeypatch):
@@ -116,7 +128,9 @@ def test_any_near_pair_shares_an_index_key():
         assert any(x & m == y & m for m in simhash_dedup.index_keys())
 
 
-def test_components_of_a_long_path(spark):
+@pytest.mark.parametrize("part", [1_000_000, 9], ids=["one part", "parts and rounds"])
+def test_components_of_a_long_path(spark, monkeypatch, part):
+    monkeypatch.setattr(components, "PART", part)
     rng = np.random.default_rng(1)
     order = rng.permutation(60).tolist()
     edges = spark.createDataFrame([(a, b) for a, b in zip(order, order[1:])] + [(100, 101), (7, 7)], "a long, b long")

@@ -22,8 +22,14 @@ WORDS = public_tokenizers.path("word_bpe_49k.json")
 def test_dac_round_trip_and_random_access(ids, bits):
     f = dac.DacFile(dac.encode(np.array(ids, np.uint32), [None, 5], np.array([0, len(ids) // 2, len(ids)]), bits))
     assert f.ids().tolist() == ids and f.doc_ids == [None, 5]
+    data, reads = dac.encode(np.array(ids, np.uint32), [None, 5], np.array([0, len(ids) // 2, len(ids)]), bits), []
+    far = dac.DacFile(lambda offset, n: reads.append(n) or data[offset : offset + n])
     for i in random.Random(0).sample(range(len(ids)), min(len(ids), 40)):
-        assert f.token(i) == ids[i]
+        reads.clear()
+        assert f.token(i) == far.token(i) == ids[i] and sum(reads) <= 4 * (2 + 64 + 8)
+    assert far.ids().tolist() == ids and far.starts.tolist() == [0, len(ids) // 2, len(ids)]
+    with pytest.raises(IndexError):
+        f.token(len(ids))
 
 
 def test_words_are_encoded_as_the_library_does():
@@ -42,6 +48,11 @@ def test_token_files(spark, sf, odd_docs, no_docs):
         ids = t.encode(r.text, add_special_tokens=False).ids + [1]
         assert tuple(got[r.doc_id])[1:] == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
+    folder = shared_dir(spark, "t-ids")
+    manifest = token_output.write_ids(docs, folder, WORDS, ids_per_file=3000)
+    whole = np.concatenate([t.encode(r.text, add_special_tokens=False).ids + [1] for r in sorted(docs.collect())])
+    for position in [0, 2999, 3000, len(whole) - 1, *random.Random(1).sample(range(len(whole)), 8)]:
+        assert token_output.token_at(manifest, folder, position) == whole[position]
     odd = sorted(token_output.token_files(odd_docs, WORDS, 16, 100).collect(), key=lambda r: r.start)
     assert [r.doc_id for r in odd] == [None, None, 1, 2, 3, 4, 5, 7, 8, 9, 9, 10, 11]
     assert [r.start for r in odd][1:] == np.cumsum([r.n_tokens for r in odd])[:-1].tolist()
@@ -54,8 +65,8 @@ def model():
     return path, *sentencepiece_codec.load(path)
 
 
-def by_chunks(path, v, text, size, look):
-    parts = maxplus.split(v, sentencepiece_codec.marked(text), size, look)
+def by_chunks(path, v, text, size):
+    parts = maxplus.split(v, sentencepiece_codec.marked(text), size)
     states = maxplus.scan([maxplus.Chunk(v, *p).transfer() for p in parts])
     return [i for p, s in zip(parts, states) for i in sentencepiece_codec.encode_chunk(path, *p, *s)]
 
@@ -63,10 +74,39 @@ def by_chunks(path, v, text, size, look):
 def test_chunked_encoding_is_the_librarys(model):
     path, sp, v = model
     rng = random.Random(4)
-    makers = [lambda: "".join(rng.choice("aàbcé漢字語🙂 \n") for _ in range(200)), lambda: " " * rng.randint(1, 150) + "The cat  sat" + " " * 90, lambda: "".join(rng.choice("abcdefgh") for _ in range(400)), lambda: "some words and<s> ▁▁ more " * 9]
+    makers = [lambda: "".join(rng.choice("aàbcé漢字語🙂 \n") for _ in range(200)), lambda: " " * rng.randint(1, 150) + "The cat  sat" + " " * 90, lambda: "".join(rng.choice("abcdefgh") for _ in range(400)), lambda: "some words and<s> ▁▁ more international considerations " * 9]
     for k in range(60):
         text = makers[k % 4]()
-        assert by_chunks(path, v, text, rng.choice([17, 40, 100]), rng.choice([0, 30])) == sp.encode(text)
+        assert by_chunks(path, v, text, rng.choice([3, 17, 40, 100])) == sp.encode(text)
+
+
+def test_transfer_matrices_have_the_states_of_cut_words(model):
+    """A chunk that begins inside a word has several entries, and its matrix is that of a scan without safe edges."""
+    path, sp, v = model
+    text = sentencepiece_codec.marked("the international considerations of unbelievable misunderstandings " * 3)
+    several = 0
+    for p in maxplus.split(v, text, 50)[1:-1]:
+        c = maxplus.Chunk(v, *p)
+        whole = c._dense(c.body + c.right, len(c.body), c.entries(), c._exit)
+        got = c.transfer()
+        assert got == whole
+        several += len(got) > 1
+    assert several
+
+
+def _field(number, value):
+    return bytes([number << 3, value]) if isinstance(value, int) else bytes([number << 3 | 2, len(value)]) + value
+
+
+def test_models_that_normalise_are_refused(model):
+    with open(model[0], "rb") as f:
+        assert sentencepiece_codec.kind_of(f.read()) == 2
+    plain = _field(4, 0)
+    bpe = _field(3, 2)
+    assert sentencepiece_codec.kind_of(_field(2, bpe) + _field(3, plain)) == 2
+    for trainer, rules, more in ((bpe, b"", b""), (bpe, plain + _field(2, b"x"), b""), (bpe, plain + _field(3, 0), b""), (bpe, plain + _field(5, 0), b""), (_field(3, 3), plain, b""), (bpe, plain, _field(1, _field(1, b"abc") + _field(3, 4)))):
+        with pytest.raises(ValueError):
+            sentencepiece_codec.kind_of(more + _field(2, trainer) + _field(3, rules))
 
 
 def test_unigram_scan_against_brute_force():
@@ -81,7 +121,7 @@ def test_unigram_scan_against_brute_force():
                 score = best[p] + v.weight("", piece)
                 if score > best.get(p + len(piece), float("-inf")):
                     best[p + len(piece)], back[p + len(piece)] = score, piece
-        parts = maxplus.split(v, text, 9, 0)
+        parts = maxplus.split(v, text, 9)
         matrices = [maxplus.Chunk(v, *p).transfer() for p in parts]
         left, right = matrices[0], matrices[-1]
         for m in matrices[1:]:
@@ -96,7 +136,7 @@ def test_unigram_scan_against_brute_force():
 def test_giants_over_spark(spark, model, odd_docs, no_docs):
     path, sp, _ = model
     docs = spark.createDataFrame([(1, "a" * 900 + "漢字" * 300), (2, " ".join(f"w{k}" for k in range(900))), (3, " " * 700 + "x"), (3, "short")], "doc_id long, text string")
-    coded = sentencepiece_codec.encode(docs, path, giant=300, chunk=150, look=40, block=3)
+    coded = sentencepiece_codec.encode(docs, path, giant=300, chunk=150, block=3)
     got = coded.collect()
     assert sorted(r.ids for r in got) == sorted(sp.encode(r.text) for r in docs.collect()) and all(r.round_trip for r in got)
     assert sorted(r.text for r in sentencepiece_codec.decode(coded, path).collect()) == sorted(r.text for r in docs.collect())
@@ -146,7 +186,70 @@ def test_html_extraction(spark):
 
 def test_host_path_serves_pages_that_score_otherwise():
     page = html_extract.Page('<body><div class="a1"><p>short</p></div><div class="b"><p>' + "long " * 50 + "</p></div></body>")
-    assert page.text(page.at_path("body>div.a#")) == "short"
+    other = html_extract.Page('<body><div class="a22">x</div></body>')
+    assert page.text(page.at_path(other.path[2])) == "short"
+
+
+def extracted(html):
+    return html_extract.main_text(html, None)
+
+
+FILL = "Some words of the article itself that make it long enough to win. " * 4
+
+
+@pytest.mark.parametrize(
+    "inside,want",
+    [
+        ('<h2 id="related-work">Related work</h2><h3 id="search">Search</h3><p class="alert-level">Level</p>', "Related work\nSearch\nLevel"),
+        ('<section id="comments-on-method"><p>On method</p></section><section id="search"><p>Searching</p></section>', "On method\nSearching"),
+        ("<p><math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p><xmp>a &amp; <b>b</b></xmp><object>shown</object>", "x=2 holds\na &amp; <b>b</b>\nshown"),
+        ('<ul class="menu-items"><li>Menu</li></ul><div class="ad-slot">Buy</div><section class="comments"><p>Reader</p></section><div id="comments">Reader</div><div class="share-buttons">Share</div><div role="alert">Now</div>', ""),
+        ('<header><p>By someone</p></header><div class="has-comments no-sidebar"><p>Kept</p></div><footer>Gone</footer><aside>Gone</aside>', "By someone\nKept"),
+        ('<table class="results"><tr><td>a<td>b<tr><td>c</table><ul><li>one<li>two<ul><li>deep</ul></ul><dl><dt>t<dd>d</dl>', "a b\nc\none\ntwo\ndeep\nt\nd"),
+    ],
+)
+def test_what_goes_and_what_stays_inside_an_article(inside, want):
+    for opening in ("<article>", '<main id="main">'):
+        got = extracted(f'<body><div class="sidebar">Side</div>{opening}<h1>Title</h1><p>{FILL}</p>{inside}</body>')
+        assert got == "\n".join(filter(None, ["Title", FILL.strip(), want]))
+
+
+def test_names_are_matched_whole():
+    assert extracted(f'<div class="article subscriber-content"><p>{FILL}</p></div><div>tail</div>') == FILL.strip()
+    for name in ("cookie-notice", "site-header", "related-posts", "commentList", "left_sidebar", "ad-728x90", "newsletter-signup", "skip-link"):
+        assert html_extract.out_name(name), name
+    for name in ("subscriber-content", "related-work", "comments-on-method", "header", "entry-header", "has-sidebar", "alert-level", "adventure", "navigator", "content", "research", ""):
+        assert not html_extract.out_name(name), name
+
+
+@pytest.mark.parametrize("html", ["<b>" * 60_000 + "x", "<div>" * 30_000 + "x", "<p><b>" * 30_000 + "x", "<li><i>" * 30_000 + "x", "</b>" * 60_000 + "x", "<a " * 60_000 + "x", "<table>" * 20_000 + "<tr><td>" * 20_000 + "x", "<div class='a'>" * 20_000 + "x" + "</p>" * 20_000, '<i x="' * 40_000 + "x", "<!-- " * 30_000 + "x"])
+def test_odd_pages_take_linear_time(html):
+    import time
+
+    began = time.process_time()
+    page = html_extract.Page(html + "<p>end " + "long words " * 20_000)
+    page.votes()
+    page.text([0])
+    assert time.process_time() - began < 4
+
+
+def test_votes_against_brute_force(spark):
+    """The winner of each host has the greatest sum of its pages' best scores; all containers vote."""
+    rng = random.Random(6)
+    rows = []
+    for k in range(60):
+        boxes = "".join(f'<div class="c{rng.choice("abcdef")}"><p>{"word " * rng.randint(1, 40)}</p></div>' for _ in range(6))
+        rows.append((k, f"http://h{k % 4}/{k}", f"<body>{boxes}</body>", "x"))
+    total = {}
+    for _, url, html, _ in rows:
+        best = {}
+        page = html_extract.Page(html)
+        for s, i in page.scores():
+            best[page.path[i]] = max(best.get(page.path[i], 0), round(s * 1000))
+        for p, s in best.items():
+            total[url[7:9], p] = total.get((url[7:9], p), 0) + s
+    want = {h: max((s, html_extract._signed(p)) for (g, p), s in total.items() if g == h)[1] for h, _ in total}
+    assert {r.host: r.path for r in html_extract.host_paths(spark.createDataFrame(rows, PAGES)).collect()} == want
 
 
 def test_given_pages_against_a_pattern(spark, sf):
