@@ -9,8 +9,10 @@ For unigram models a piece's weight is its score. For merge (BPE) models a piece
 the last piece and this one, taken together, leave both as they are, and minus infinity elsewhere: exactly one path
 has weight zero, the one that the merges over the whole text give.
 
-An edge in front of a space that follows another character is safe if no piece has one inside: nothing reaches over
-it, it has one state, and the chunk between two such edges has a one-by-one matrix.
+Chunks are cut at fixed places, mostly inside a word, so their edges have several states. An edge in front of a space
+that follows another character is safe if no piece has one inside: nothing reaches over it, and it has one state. A
+chunk's matrix is thus the product of that of its head, up to its first safe edge, the one-by-one matrices of the
+words in between, and that of its tail; words recur, so each distinct one is solved once.
 """
 
 from __future__ import annotations
@@ -20,6 +22,9 @@ from functools import lru_cache
 
 SPACE = "▁"
 SAFE = (0, "")
+#: Characters of a text up to which merging it step by step is the quicker way to its path.
+SHORT = 64
+_EDGE = re.compile(f"(?<=[^{SPACE}]){SPACE}")
 State = tuple[int, str]
 Matrix = dict[State, dict[State, float]]
 
@@ -33,6 +38,7 @@ class Vocabulary:
         self.safe = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in pieces)
         self.fits = lru_cache(1 << 20)(self._fits)
         self.whole = lru_cache(1 << 18)(lambda p: self.merge(p) == [p])
+        self.word = lru_cache(1 << 18)(self._word)
 
     def merge(self, text: str) -> list[str]:
         """The pieces that merging leaves: the best-scored neighbours first, of equals the leftmost."""
@@ -68,6 +74,13 @@ class Vocabulary:
     def label(self, piece: str) -> str:
         return piece if self.merges else ""
 
+    def _word(self, text: str) -> tuple[float, tuple[str, ...]]:
+        """(weight, pieces) of the best path through a text between two safe edges. Merges of a short text give the only path of weight zero."""
+        if self.merges and len(text) <= SHORT:
+            return 0.0, tuple(self.merge(text))
+        best = paths(self, text, len(text), SAFE)
+        return best_path(best, [k for k in best if k[0] == len(text)])
+
 
 class Chunk:
     """text[start:end] with `longest` characters of context on either side."""
@@ -89,13 +102,27 @@ class Chunk:
     def _exit(self, over: int, label: str) -> State:
         return SAFE if self.safe_right and not over else (over, label)
 
+    def _safe(self) -> list[int]:
+        """The safe edges inside the chunk."""
+        if not self.v.safe:
+            return []
+        before = self.left[-1:]
+        return [p for m in _EDGE.finditer(before + self.body) if 0 < (p := m.start() - len(before))]
+
     def transfer(self) -> Matrix:
-        if self.safe_left and self.safe_right and self.v.merges:
-            return {SAFE: {SAFE: 0.0}}
+        edges, entries = self._safe(), self.entries()
+        if not edges:
+            return self._dense(self.body + self.right, len(self.body), entries, self._exit)
+        head = self._dense(self.body[: edges[0]], edges[0], entries, lambda over, label: SAFE)
+        words = sum(self.v.word(self.body[a:b])[0] for a, b in zip(edges, edges[1:]))
+        tail = self._dense(self.body[edges[-1] :] + self.right, len(self.body) - edges[-1], [SAFE], self._exit)
+        return combine(combine(head, {SAFE: {SAFE: words}}), tail)
+
+    def _dense(self, text: str, n: int, entries: list[State], leave) -> Matrix:
+        """The matrix of text[:n] from the entries to the states that leave() makes of what reaches beyond it."""
         out: Matrix = {}
-        text, n = self.body + self.right, len(self.body)
         at: dict[int, dict[str, dict[State, float]]] = {}
-        for over, label in self.entries():
+        for over, label in entries:
             at.setdefault(over, {}).setdefault(label, {})[over, label] = 0.0
         for p in range(n):
             for last, reach in at.pop(p, {}).items():
@@ -110,30 +137,52 @@ class Chunk:
             for label, reach in ends.items():
                 for entry, score in reach.items():
                     row = out.setdefault(entry, {})
-                    state = self._exit(q - n, label)
+                    state = leave(q - n, label)
                     row[state] = max(score, row.get(state, float("-inf")))
         return out
 
     def trace(self, entry: State, leave: State) -> list[str]:
         """The pieces that begin in the chunk on the best path between the two states."""
-        text, n = self.body + self.right, len(self.body)
-        best: dict[tuple[int, str], tuple[float, tuple[int, str] | None, str]] = {entry: (0.0, None, "")}
-        at: dict[int, set[str]] = {entry[0]: {entry[1]}}
-        for p in range(n):
-            for last in sorted(at.get(p, ())):
-                for piece in self.v.starting(text, p):
-                    w = self.v.weight(last, piece)
-                    if w is not None:
-                        node, score = (p + len(piece), self.v.label(piece)), best[p, last][0] + w
-                        if node not in best or score > best[node][0]:
-                            best[node] = score, (p, last), piece
-                            at.setdefault(node[0], set()).add(node[1])
-        ends = [k for k in best if k[0] >= n and self._exit(k[0] - n, k[1]) == leave]
-        node, pieces = max(ends, key=lambda k: best[k][0]), []
-        while best[node][1] is not None:
-            pieces.append(best[node][2])
-            node = best[node][1]
-        return pieces[::-1]
+        edges, n = self._safe(), len(self.body)
+        ends = lambda best, at: [k for k in best if k[0] >= at and self._exit(k[0] - at, k[1]) == leave]
+        if not edges:
+            best = paths(self.v, self.body + self.right, n, entry)
+            return list(best_path(best, ends(best, n))[1])
+        best = paths(self.v, self.body[: edges[0]], edges[0], entry)
+        pieces = list(best_path(best, [k for k in best if k[0] == edges[0]])[1])
+        for a, b in zip(edges, edges[1:]):
+            pieces += self.v.word(self.body[a:b])[1]
+        best = paths(self.v, self.body[edges[-1] :] + self.right, n - edges[-1], SAFE)
+        return pieces + list(best_path(best, ends(best, n - edges[-1]))[1])
+
+
+Paths = dict[tuple[int, str], tuple[float, tuple[int, str] | None, str]]
+
+
+def paths(v: Vocabulary, text: str, n: int, entry: State) -> Paths:
+    """(score, node before, piece) of the best path from the entry to each node (place, label) that pieces beginning before n reach."""
+    best: Paths = {entry: (0.0, None, "")}
+    at: dict[int, set[str]] = {entry[0]: {entry[1]}}
+    for p in range(n):
+        for last in sorted(at.get(p, ())):
+            for piece in v.starting(text, p):
+                w = v.weight(last, piece)
+                if w is not None:
+                    node, score = (p + len(piece), v.label(piece)), best[p, last][0] + w
+                    if node not in best or score > best[node][0]:
+                        best[node] = score, (p, last), piece
+                        at.setdefault(node[0], set()).add(node[1])
+    return best
+
+
+def best_path(best: Paths, ends: list[tuple[int, str]]) -> tuple[float, tuple[str, ...]]:
+    """(score, pieces) of the best path to one of the ends."""
+    node = max(ends, key=lambda k: best[k][0])
+    score, pieces = best[node][0], []
+    while best[node][1] is not None:
+        pieces.append(best[node][2])
+        node = best[node][1]
+    return score, tuple(pieces[::-1])
 
 
 def combine(a: Matrix, b: Matrix) -> Matrix:
@@ -150,21 +199,10 @@ def combine(a: Matrix, b: Matrix) -> Matrix:
     return out
 
 
-def cuts(text: str, size: int, look: int, safe: bool) -> list[tuple[int, bool]]:
-    """(place, whether it is a safe edge) of the chunks' starts after the first: safe within `look` characters, or else hard."""
-    out, at, pattern = [], size, re.compile(f"(?<=[^{SPACE}]){SPACE}")
-    while at < len(text):
-        m = pattern.search(text, at, min(len(text), at + look)) if safe else None
-        out.append((m.start(), True) if m else (at, False))
-        at = out[-1][0] + size
-    return out
-
-
-def split(vocabulary: Vocabulary, text: str, size: int, look: int) -> list[tuple[str, str, str, bool, bool]]:
-    """(left context, body, right context, safe left edge, safe right edge) of each chunk of a text with spaces marked."""
-    edges = [(0, True), *cuts(text, size, look, vocabulary.safe), (len(text), True)]
-    reach = vocabulary.longest
-    return [(text[max(0, a - reach) : a], text[a:b], text[b : b + reach], sa, sb) for (a, sa), (b, sb) in zip(edges, edges[1:])]
+def split(vocabulary: Vocabulary, text: str, size: int) -> list[tuple[str, str, str, bool, bool]]:
+    """(left context, body, right context, safe left edge, safe right edge) of each chunk of `size` characters of a text with spaces marked."""
+    edges, reach = [*range(0, max(len(text), 1), size), len(text)], vocabulary.longest
+    return [(text[max(0, a - reach) : a], text[a:b], text[b : b + reach], a == 0, b == len(text)) for a, b in zip(edges, edges[1:])]
 
 
 def scan(matrices: list[Matrix], entry: State = SAFE, leave: State | None = SAFE) -> list[tuple[State, State]]:

@@ -1,9 +1,11 @@
 """SentencePiece encoding and decoding of whole texts, giant ones by a max-plus parallel scan.
 
-Texts of up to GIANT characters are encoded by the library in one go. A longer one is split into chunks over the
-cluster: each yields its boundary-state transfer matrix, the matrices of a block of chunks are combined, the blocks'
-products are scanned, and with the states at its edges known each chunk is traced back on its own. The ids are those
-that the library gives for the whole text.
+Texts of up to GIANT characters are encoded by the library in one go. A longer one is split into chunks of CHUNK
+characters over the cluster, cut wherever that is: each yields its boundary-state transfer matrix, the matrices of a
+block of chunks are combined, the blocks' products are scanned, and with the states at its edges known each chunk is
+traced back on its own. The library takes no part in it; the ids are those that it gives for the whole text. Models
+whose own normaliser changes texts, which add no space in front, or which have pieces of a user's own are refused, as
+their ids would differ between the two ways.
 
 Null texts are empty, and empty texts have no ids; null doc_ids, repeated rows and other columns do no harm: rows are
 told apart by a number of their own. An empty table gives an empty result. U+2581 in a text decodes to a space.
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from millrace.llm import maxplus
 from millrace.llm.common import strings, table, trimmed, written
 
-GIANT, CHUNK, LOOK, BLOCK = 50_000, 16_384, 2_048, 256
+GIANT, CHUNK, BLOCK = 50_000, 16_384, 256
 RESULT = "doc_id long, ids array<int>, n_tokens long, round_trip boolean"
 _MODELS: dict = {}
 
@@ -62,10 +64,7 @@ def load(path: str):
 
         sp = SentencePieceProcessor(model_file=path)
         with open(path, "rb") as f:
-            trainer = next((v for k, v in _fields(f.read()) if k == 2), b"")
-        kind = next((v for k, v in _fields(trainer) if k == 3), 1)  # 1: unigram, 2: BPE
-        if kind not in (1, 2):
-            raise ValueError("the model is neither unigram nor BPE")
+            kind = kind_of(f.read())
         size = sp.vocab_size()
         byte_ids = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         plain = {sp.id_to_piece(i): (i, sp.get_score(i)) for i in range(size) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))}
@@ -73,17 +72,29 @@ def load(path: str):
     return _MODELS[path]
 
 
+def kind_of(model: bytes) -> int:
+    """1 for a unigram model, 2 for a merge (BPE) model; an error for models whose ids a scan over marked spaces would not give."""
+    parts = list(_fields(model))
+    trainer = dict(_fields(next((v for k, v in parts if k == 2), b"")))
+    rules = dict(_fields(next((v for k, v in parts if k == 3), b"")))
+    kind = trainer.get(3, 1)
+    if kind not in (1, 2):
+        raise ValueError("the model is neither unigram nor BPE")
+    if rules.get(2, b"") or not rules.get(3, 1) or rules.get(4, 1) or not rules.get(5, 1) or trainer.get(24, 0):
+        raise ValueError("the model normalises texts, drops spaces, or marks them otherwise than in front of words")
+    if any(dict(_fields(v)).get(3, 1) == 4 for k, v in parts if k == 1):
+        raise ValueError("the model has pieces that a user defined")
+    return kind
+
+
 def marked(text: str) -> str:
     """The text as the model sees it: spaces marked, and one in front."""
     return maxplus.SPACE + text.replace(" ", maxplus.SPACE)
 
 
 def encode_chunk(path: str, left: str, body: str, right: str, safe_left: bool, safe_right: bool, entry, leave) -> list[int]:
-    sp, v = load(path)
-    if safe_left and safe_right and body[:1] == maxplus.SPACE:  # the library puts a space in front itself
-        return sp.encode(body[1:]) if len(body) > 1 else v.ids(body)
-    c = maxplus.Chunk(v, left, body, right, safe_left, safe_right)
-    return [i for p in c.trace(entry, leave) for i in v.ids(p)]
+    _, v = load(path)
+    return [i for p in maxplus.Chunk(v, left, body, right, safe_left, safe_right).trace(entry, leave) for i in v.ids(p)]
 
 
 def decoded(sp, ids: list[int]) -> str:
@@ -111,7 +122,7 @@ def _whole(path: str):
     return run
 
 
-def _split(path: str, size: int, look: int):
+def _split(path: str, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -119,7 +130,7 @@ def _split(path: str, size: int, look: int):
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id"), batch.column("text")):
-                parts = maxplus.split(v, marked(text.as_py()), size, look)
+                parts = maxplus.split(v, marked(text.as_py()), size)
                 for at in range(0, len(parts), 64):
                     own = parts[at : at + 64]
                     columns = [pa.array([p[k] for p in own]) for k in range(5)]
@@ -180,9 +191,9 @@ def _trace(path: str):
     return run
 
 
-def encode_giants(docs: DataFrame, path: str, chunk: int = CHUNK, look: int = LOOK, block: int = BLOCK) -> DataFrame:
+def encode_giants(docs: DataFrame, path: str, chunk: int = CHUNK, block: int = BLOCK) -> DataFrame:
     """RESULT for doc_id, text (no nulls), by the scan over chunks."""
-    parts = written(docs.mapInArrow(trimmed(_split(path, chunk, look)), "row long, doc_id long, chunk long, left string, body string, right string, safe_left boolean, safe_right boolean"), "chunks")
+    parts = written(docs.mapInArrow(trimmed(_split(path, chunk)), "row long, doc_id long, chunk long, left string, body string, right string, safe_left boolean, safe_right boolean"), "chunks")
     spread = parts.repartition("row", "chunk")
     matrices = written(spread.mapInArrow(trimmed(_transfer(path)), "row long, chunk long, matrix binary").withColumn("block", F.expr(f"chunk div {block}")), "matrices")
     products = matrices.groupBy("row", "block").applyInArrow(_product, "row long, block long, matrix binary")
@@ -193,10 +204,10 @@ def encode_giants(docs: DataFrame, path: str, chunk: int = CHUNK, look: int = LO
     return whole.select("doc_id", F.flatten("parts.ids").alias("ids"), "round_trip").select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), "round_trip")
 
 
-def encode(docs: DataFrame, path: str, giant: int = GIANT, chunk: int = CHUNK, look: int = LOOK, block: int = BLOCK) -> DataFrame:
+def encode(docs: DataFrame, path: str, giant: int = GIANT, chunk: int = CHUNK, block: int = BLOCK) -> DataFrame:
     """doc_id, ids, n_tokens and whether decoding the ids gives the text back, for each row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return rows.where(F.length("text") <= giant).mapInArrow(trimmed(_whole(path)), RESULT).unionByName(encode_giants(rows.where(F.length("text") > giant), path, chunk, look, block))
+    return rows.where(F.length("text") <= giant).mapInArrow(trimmed(_whole(path)), RESULT).unionByName(encode_giants(rows.where(F.length("text") > giant), path, chunk, block))
 
 
 def _decode(path: str):
