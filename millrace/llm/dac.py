@@ -46,45 +46,65 @@ def encode(ids: np.ndarray, doc_ids: list[int | None], starts: np.ndarray, bits:
 
 
 class DacFile:
-    """A file's bytes, readable at any place."""
+    """A file that is readable at any place. source: its bytes, or a function (offset, length) -> bytes that reads no more than it is asked for.
 
-    def __init__(self, data: bytes):
-        if data[:8] != MAGIC:
+    With a function only the header is read at first; the documents' directory when it is asked for; an id costs one
+    short read of each part of each of its levels.
+    """
+
+    def __init__(self, source):
+        whole = None if callable(source) else memoryview(source)
+        self._read = source if whole is None else lambda offset, n: whole[offset : offset + n]
+        if bytes(self._read(0, 8)) != MAGIC:
             raise ValueError("not a file of directly addressable codes")
-        self.at = 8
-        self.data = data
-        self.bits, n_docs, self.n_ids, n_levels = (int(x) for x in self._take(np.uint64, 4))
-        sizes = [int(x) for x in self._take(np.uint64, n_levels)] if n_levels else []
-        doc_ids, null = self._take(np.int64, n_docs), self._take(np.uint8, n_docs)
-        self.doc_ids = [None if z else int(d) for d, z in zip(doc_ids, null)]
-        self.starts = self._take(np.uint64, n_docs + 1).astype(np.int64)
-        kind = np.uint8 if self.bits == 8 else np.uint16
-        self.levels = [(self._take(kind, n), self._take(np.uint8, -(-n // 8)), self._take(np.uint64, -(-n // BLOCK) + 1)) for n in sizes]
-
-    def _take(self, kind, n: int) -> np.ndarray:
-        a = np.frombuffer(self.data, kind, n, self.at)
-        self.at += a.nbytes
-        self.at += -self.at % 8
-        return a
+        self.bits, self.n_docs, self.n_ids, n_levels = (int(x) for x in self._array(np.uint64, 4, 8))
+        self.kind = np.uint8 if self.bits == 8 else np.uint16
+        sizes = [int(x) for x in self._array(np.uint64, n_levels, 40)]
+        at = 40 + 8 * n_levels
+        self.places = []  # of the documents' ids, their null flags and their first ids
+        for width in (8 * self.n_docs, self.n_docs, 8 * (self.n_docs + 1)):
+            self.places.append(at)
+            at += width + -width % 8
+        self.levels = []  # (ids, place of the chunks, of the bitmap, of the ranks)
+        for n in sizes:
+            own = [n]
+            for width in (n * self.bits // 8, -(-n // 8), 8 * (-(-n // BLOCK) + 1)):
+                own.append(at)
+                at += width + -width % 8
+            self.levels.append(tuple(own))
+
+    def _array(self, kind, n: int, at: int) -> np.ndarray:
+        return np.frombuffer(self._read(at, n * np.dtype(kind).itemsize), kind, n)
+
+    @property
+    def doc_ids(self) -> list[int | None]:
+        ids, null = self._array(np.int64, self.n_docs, self.places[0]), self._array(np.uint8, self.n_docs, self.places[1])
+        return [None if z else int(d) for d, z in zip(ids, null)]
+
+    @property
+    def starts(self) -> np.ndarray:
+        """The place of each document's first id, and the end."""
+        return self._array(np.uint64, self.n_docs + 1, self.places[2]).astype(np.int64)
 
     def token(self, i: int) -> int:
         """The i-th id, by one access to each of its levels."""
         if not 0 <= i < self.n_ids:
             raise IndexError(i)
         value = 0
-        for k, (chunks, bitmap, ranks) in enumerate(self.levels):
-            value |= int(chunks[i]) << (self.bits * k)
-            if not bitmap[i >> 3] >> (i & 7) & 1:
-                break
+        for k, (_, chunks, bitmap, ranks) in enumerate(self.levels):
+            value |= int(self._array(self.kind, 1, chunks + i * self.bits // 8)[0]) << (self.bits * k)
             block = i // BLOCK
-            inside = np.unpackbits(bitmap[block * BLOCK // 8 : (i >> 3) + 1], bitorder="little")[: i - block * BLOCK]
-            i = int(ranks[block]) + int(inside.sum())
+            own = self._array(np.uint8, (i >> 3) + 1 - block * BLOCK // 8, bitmap + block * BLOCK // 8)
+            if not own[-1] >> (i & 7) & 1:
+                break
+            inside = np.unpackbits(own, bitorder="little")[: i - block * BLOCK]
+            i = int(self._array(np.uint64, 1, ranks + 8 * block)[0]) + int(inside.sum())
         return value
 
     def ids(self) -> np.ndarray:
         """All ids, as little-endian unsigned 32-bit integers."""
         out, live = np.zeros(self.n_ids, "<u4"), np.arange(self.n_ids)
-        for k, (chunks, bitmap, _) in enumerate(self.levels):
-            out[live] |= chunks.astype(np.uint32) << np.uint32(self.bits * k)
-            live = live[np.unpackbits(bitmap, count=len(chunks), bitorder="little").astype(bool)]
+        for k, (n, chunks, bitmap, _) in enumerate(self.levels):
+            out[live] |= self._array(self.kind, n, chunks).astype(np.uint32) << np.uint32(self.bits * k)
+            live = live[np.unpackbits(self._array(np.uint8, -(-n // 8), bitmap), count=n, bitorder="little").astype(bool)]
         return out

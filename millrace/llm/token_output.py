@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import pieces_of, put_file, shared_dir, strings, table, trimmed
+from millrace.llm.common import file_system, pieces_of, put_file, shared_dir, strings, table, trimmed
 
 #: Ids after which a writer begins another file.
 IDS_PER_FILE = 2_000_000
@@ -123,7 +123,7 @@ def _writer(folder: str, path: str, bits: int, ids_per_file: int):
 
             starts = np.concatenate([[0], np.cumsum(sizes)])
             put_file(f"{folder}/{name}", dac.encode(np.concatenate(held), docs, starts, bits))
-            return pa.RecordBatch.from_pydict({"file": [name], "n_docs": pa.array([len(docs)], pa.int64()), "n_ids": pa.array([int(starts[-1])], pa.int64())})
+            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": [name], "n_docs": pa.array([len(docs)], pa.int64()), "n_ids": pa.array([int(starts[-1])], pa.int64())})
 
         for batch in batches:
             texts, keys = strings(batch.column("text")), batch.column("doc_id")
@@ -147,15 +147,37 @@ def _writer(folder: str, path: str, bits: int, ids_per_file: int):
 
 
 def write_ids(docs: DataFrame, folder: str, path: str, bits: int = 8, ids_per_file: int = IDS_PER_FILE) -> DataFrame:
-    """Writes the files, whose names ascend with their doc_ids, and returns the manifest: file, n_docs, n_ids, first_id."""
+    """Writes the files, whose names ascend with their doc_ids, and returns the manifest: file, n_docs, n_ids, first_id.
+
+    Rows are dealt by ranges of doc_id and a number of their own, so that many rows of one doc_id, or without one, are
+    many ranges.
+    """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    manifest = ordered.mapInArrow(trimmed(_writer(f"{folder}/ids", path, bits, ids_per_file)), "file string, n_docs long, n_ids long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("number"))
+    ordered = rows.repartitionByRange("doc_id", "number").sortWithinPartitions("doc_id", "number").drop("number")
+    manifest = ordered.mapInArrow(trimmed(_writer(f"{folder}/ids", path, bits, ids_per_file)), "part int, file string, n_docs long, n_ids long")
     manifest.write.parquet(f"{folder}/manifest")
-    files = spark.read.schema("file string, n_docs long, n_ids long").parquet(f"{folder}/manifest")
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file, not for each document
-    return files.withColumn("first_id", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
+    return with_places(spark.read.schema("part int, file string, n_docs long, n_ids long").parquet(f"{folder}/manifest")).select("file", "n_docs", "n_ids", "first_id")
+
+
+def with_places(files: DataFrame) -> DataFrame:
+    """files (part, file, n_ids) with first_id, the ids of all files before: a running sum over the writers' parts, one row each, and another within each part."""
+    within = Window.partitionBy("part").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = files.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    return files.withColumn("own", F.coalesce(F.sum("n_ids").over(within), F.lit(0))).join(parts, "part").withColumn("first_id", F.col("before") + F.col("own"))
+
+
+def token_at(manifest: DataFrame, folder: str, position: int) -> int:
+    """The id at a place in the whole output: its file is found by the manifest and read at that place alone."""
+    row = manifest.where((F.col("first_id") <= position) & (F.col("first_id") + F.col("n_ids") > position)).first()
+    if row is None:
+        raise IndexError(position)
+    from millrace.llm.dac import DacFile
+
+    fs, path = file_system(f"{folder}/ids/{row.file}")
+    with fs.open_input_file(path) as f:
+        return DacFile(lambda offset, n: f.read_at(n, offset)).token(position - row.first_id)
 
 
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +185,7 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for data, first in zip(batch.column("content"), batch.column("first_id").to_pylist()):
-            f = DacFile(data.as_buffer())
+            f = DacFile(data.as_buffer())  # the query reads every id, so the whole file
             ids, starts = f.ids(), f.starts
             crc = [zlib.crc32(ids[a:b]) for a, b in zip(starts[:-1], starts[1:])]
             yield pa.RecordBatch.from_pydict(
