@@ -2,128 +2,175 @@
 
 Each page scores its containers and votes for their generalised paths (tags with classes, without ids and numbers);
 votes are summed for each host in Spark; each page is then extracted again from the elements at its host's winning
-path, or from its own best container where it has none there. Menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, styles and comments inside are left out.
+path, or from its own best container where it has none there. A path is known by a hash of its tags and classes.
+
+Left out are elements that are never main text by their tag (menus, asides, footers, forms; headers outside the
+article), and block containers whose class, role or id is made of words for such parts alone: "cookie-notice" is,
+"subscriber-content" and "related-work" aren't. Inside an article ids are slugs of its headings, and only those of
+reader comments count. Headings, paragraphs, list items, cells and inline elements are never left out by a name.
+Scripts, styles, comments and what browsers don't show of embedded elements are markup.
 
 Null html is empty and gives an empty text; a null or odd url belongs to the host ''. Rows repeat as they are given,
-ties between paths go to the greater path in string order, null page_ids are kept, other columns are not read.
+ties between paths go to the greater hash, null page_ids are kept, other columns are not read; an empty table gives an
+empty result. Time is linear in a page's length, however deep its elements are nested or its tags left open.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.common import small_side, table, trimmed
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|iframe|textarea|title|xmp)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|iframe|textarea|title)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)|<xmp\b[^>]*>(.*?)(?:</xmp\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>",
     re.S | re.I,
 )
-ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+ATTRIBUTE = re.compile(r"""(?<![^\s"'])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
-    "html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr pre blockquote figure figcaption header footer nav aside form fieldset address details summary hr center".split()
+    "html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr pre blockquote figure figcaption header footer nav aside form fieldset address details summary hr center xmp".split()
 )
-CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("ul ol dl table article section div body html main aside nav td th blockquote".split())
+#: Elements that end an open one of their kind in the same scope: which kind they are of.
+KIND = {"p": 0, "li": 1, "dt": 2, "dd": 2, "td": 3, "th": 3, "tr": 4, "option": 5}
 CONTAINER = frozenset("html body main article section div td blockquote center".split())
-#: Elements that are never main text, and words that say so in a class, an id or a role.
-OUT_TAGS = frozenset("nav aside footer form head button dialog menu template svg math object select canvas audio video".split())
-OUT_WORDS = re.compile(
-    r"(?:^|[^a-z])(?<!has-)(?<!no-)(?<!with-)(?<!without-)(?:ad|ads|adv|advert\w*|adbox|adslot|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumb\w*|footer|sidebar|side-bar|aside|complementary|contentinfo|widget\w*|cookie\w*|consent|gdpr|"
-    r"notice\w*|notification\w*|alert\w*|popup|pop-up|modal|overlay|newsletter|subscri\w*|signup|login|search\w*|share\w*|sharing|social\w*|related|recommend\w*|comment\w*|reply|replies|respond|disqus|"
-    r"discussion\w*|pagination|pager|copyright|masthead|topbar|toolbar|skip-link|dialog|site-header|page-header|site-footer|page-footer)(?![a-z])"
+#: Elements that are never main text, and block containers that may be left out by their names.
+OUT_TAGS = frozenset("nav aside footer form head button dialog menu template select canvas audio video datalist".split())
+NAMED = frozenset("div section ul ol dl table header figure fieldset details center".split())
+NEVER_OUT = frozenset("html body main article".split())
+OUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar note".split())
+#: Words for parts that are not main text, and words that may stand beside them in a name without making it another.
+OUT_WORDS = frozenset(
+    """ad ads adv advert adverts advertisement advertisements advertising adbox adslot adsense banner banners sponsor sponsors sponsored promo promos promotion promotions nav navi navbar navigation menu menus breadcrumb
+    breadcrumbs footer footers sidebar sidebars aside widget widgets cookie cookies consent gdpr notice notices notification notifications alert alerts popup popups modal overlay newsletter newsletters subscribe subscription
+    signup login signin search searchbox share sharing sharebar social related recommended recommendations comment comments commentlist reply replies respond responses disqus discussion discussions pagination pager copyright
+    masthead topbar toolbar skip skiplink dialog header""".split()
+)
+NEUTRAL_WORDS = frozenset(
+    """site page main top bottom left right primary secondary global inner outer list lists box boxes area container wrapper wrap block section bar links link button buttons form posts post articles article entry entries items
+    item slot unit group holder row col column content reader readers user media icons icon thread to us policy bg fixed sticky mobile desktop text info my the and container-fluid""".split()
 )
+#: A header's own name alone doesn't make it the page's; nor do these words beside it.
+NOT_ALONE = frozenset("header".split())
+COMMENT_IDS = frozenset("comments comment-list commentlist comments-area comments-section comment-section respond disqus disqus_thread reader-comments user-comments".split())
 IN_WORDS = re.compile(r"(?:^|[^a-z])(?:article|post|entry|content|story|main|text|body)(?![a-z])")
-NEVER_OUT = frozenset("html body main article".split())
 BONUS = {"article": 3.0, "main": 2.0, "body": 0.6, "html": 0.5, "": 0.4}
+_SPLIT = re.compile(r"[-_:]+|(?<=[a-z])(?=[A-Z])|(?<=\d)(?=\D)|(?<=\D)(?=\d)")
+_OUT_NAMES: dict[str, bool] = {}
+
+
+def out_name(name: str) -> bool:
+    """Whether a class or an id is made of words for parts that are not main text, and neutral ones."""
+    known = _OUT_NAMES.get(name)
+    if known is None:
+        if len(_OUT_NAMES) > 100_000:
+            _OUT_NAMES.clear()
+        parts = [w.lower() for w in _SPLIT.split(name) if len(w) > 1 and not w.isdigit()] if len(name) <= 200 else []
+        telling = [w for w in parts if w in OUT_WORDS]
+        known = bool(telling) and all(w in OUT_WORDS or w in NEUTRAL_WORDS for w in parts) and not (set(telling) <= NOT_ALONE and not set(parts) & {"site", "page", "main", "top", "global"})
+        _OUT_NAMES[name] = known
+    return known
 
 
 class Page:
     """Elements in page order (element 0 stands for the page) and the texts and block edges between them."""
 
     def __init__(self, html: str):
-        self.tag, self.label, self.parent, self.out, self.end, self.good = [""], [""], [-1], [False], [0], [False]
+        self.tag, self.path, self.parent, self.out, self.end, self.good = [""], [0], [-1], [False], [0], [False]
         self.items: list[tuple[int, str | None]] = []  # (element, text), or None at a block's edge
-        stack, at = [0], 0
+        self.literal: set[int] = set()  # items whose references are not decoded
+        # Beside each open element: whether it lies in an article, and the places of the open elements of each kind in its scope.
+        self.stack, self.main, self.kinds, self.open = [0], [False], [(0,) * 6], Counter()
+        at, last = 0, html.rfind(">") + 1
+        html = html[:last] + re.sub(r"<(?!!--)", "&lt;", html[last:])  # no tag ends there
         for m in TOKEN.finditer(html):
             if m.start() > at:
-                self.items.append((stack[-1], html[at : m.start()]))
+                self.items.append((self.stack[-1], html[at : m.start()]))
             at = m.end()
-            name = m[3] or m[6]
+            if m[2] is not None:
+                self.items.append((self.stack[-1], None))
+                self.literal.add(len(self.items))
+                self.items += [(self.stack[-1], m[2]), (self.stack[-1], None)]
+                continue
+            name = m[4] or m[7]
             if not name:
                 continue
             name = name.lower()
-            if m[2] or m[5]:
-                self._close(stack, name)
+            if m[3] or m[6]:
+                if self.open[name]:
+                    k = len(self.stack) - 1
+                    while self.tag[self.stack[k]] != name:
+                        k -= 1
+                    self._close(k)
+                if name in BLOCK:
+                    self.items.append((self.stack[-1], None))
             else:
-                self._open(stack, name, m[4] or m[7] or "")
+                self._open(name, m[5] or m[8] or "")
         if at < len(html):
-            self.items.append((stack[-1], html[at:]))
-        for i in stack:
-            self.end[i] = len(self.tag)
-
-    def _close(self, stack: list[int], name: str) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if self.tag[stack[k]] == name:
-                for i in stack[k:]:
-                    self.end[i] = len(self.tag)
-                del stack[k:]
-                break
-        if name in BLOCK:
-            self.items.append((stack[-1], None))
+            self.items.append((self.stack[-1], html[at:]))
+        self._close(1)
+        self.end[0] = len(self.tag)
 
-    def _open(self, stack: list[int], name: str, attributes: str) -> None:
-        if name in BLOCK:
-            for k in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph
-                if self.tag[stack[k]] == "p":
-                    self._close(stack, "p")
-                    break
-                if self.tag[stack[k]] in SCOPE:
-                    break
-        if name in CLOSED_BY:
-            for k in range(len(stack) - 1, 0, -1):
-                if (open_tag := self.tag[stack[k]]) in CLOSED_BY[name]:
-                    self._close(stack, open_tag)
-                    break
-                if open_tag in SCOPE and not (name == "tr" and open_tag in ("td", "th")):
-                    break
+    def _close(self, k: int) -> None:
+        """Ends the open elements from the k-th on."""
+        for i in self.stack[k:]:
+            self.end[i] = len(self.tag)
+            self.open[self.tag[i]] -= 1
+        del self.stack[k:], self.main[k:], self.kinds[k:]
+
+    def _ended(self, kind: int) -> None:
+        if k := self.kinds[-1][kind]:
+            block = self.tag[self.stack[k]] in BLOCK
+            self._close(k)
+            if block:
+                self.items.append((self.stack[-1], None))
+
+    def _open(self, name: str, attributes: str) -> None:
+        kind = KIND.get(name)
+        if name in BLOCK:  # a block ends an open paragraph
+            self._ended(0)
+        if kind:
+            self._ended(kind)
         if name in VOID or name not in BLOCK and attributes.endswith("/"):
-            self.items.append((stack[-1], None if name == "hr" else " "))
+            self.items.append((self.stack[-1], None if name == "hr" else " "))
             return
-        said = {k.lower(): (a or b or c).lower() for k, a, b, c in ATTRIBUTE.findall(attributes)} if attributes else {}
-        words = " ".join(said.values())
-        top = stack[-1]
-        in_main = any(self.tag[i] in ("article", "main") for i in stack)
-        out = self.out[top] or name not in NEVER_OUT and (name in OUT_TAGS or name == "header" and not in_main or bool(words and OUT_WORDS.search(words)))
-        out = out or name in NEVER_OUT and any(self.out[i] for i in stack)
-        kinds = sorted({re.sub(r"\d+", "#", c) for c in said.get("class", "").split()})
+        said = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attributes)} if attributes else {}
+        classes = said["class"].split() if "class" in said else []
+        top, in_main = self.stack[-1], self.main[-1]
+        out = self.out[top]
+        if not out and name not in NEVER_OUT:
+            out = name in OUT_TAGS or name == "header" and not in_main
+            if not out and said and name in NAMED:
+                own = said.get("id", "").strip()
+                out = any(map(out_name, classes)) or said.get("role", "").lower() in OUT_ROLES or bool(own) and (own.lower() in COMMENT_IDS if in_main else out_name(own))
         self.tag.append(name)
-        self.label.append(".".join([name, *kinds]))
+        self.path.append(xxhash.xxh64_intdigest(".".join([name, *sorted({re.sub(r"\d+", "#", c.lower()) for c in classes})]), self.path[top]))
         self.parent.append(top)
         self.out.append(out)
-        self.good.append(bool(words and IN_WORDS.search(words)))
+        self.good.append(bool(said and IN_WORDS.search(" ".join(said.values()).lower())))
         self.end.append(0)
-        stack.append(len(self.tag) - 1)
+        place = len(self.stack)
+        self.stack.append(len(self.tag) - 1)
+        self.main.append(in_main or name in ("article", "main"))
+        self.open[name] += 1
+        kinds = self.kinds[-1]
+        if name in SCOPE:
+            kinds = (0, 0, 0, 0, kinds[4], 0) if name in ("td", "th") else (0,) * 6
+        self.kinds.append(kinds if kind is None else (*kinds[:kind], place, *kinds[kind + 1 :]))
         if name in BLOCK:
             self.items.append((top, None))
         elif name in ("td", "th"):
             self.items.append((top, " "))
 
-    def path(self, i: int) -> str:
-        labels = []
-        while i > 0:
-            labels.append(self.label[i])
-            i = self.parent[i]
-        return ">".join(reversed(labels))
-
     def scores(self) -> list[tuple[float, int]]:
         """(score, element) of the containers with text, the best first; scores do not depend on the page's length."""
         n = len(self.tag)
@@ -149,59 +196,61 @@ class Page:
                 found.append((chars[i] / chars[0] * (1 - linked[i] / chars[i]) * bonus * (1 + min(depth[i], 50) / 500), i))
         return sorted(found, key=lambda x: (-x[0], x[1]))
 
-    def at_path(self, path: str) -> list[int]:
+    def votes(self) -> dict[int, int]:
+        """The whole score of each path that has a container with text: that of its best one."""
+        out: dict[int, int] = {}
+        for s, i in self.scores():
+            out.setdefault(self.path[i], round(s * 1000))
+        return out
+
+    def at_path(self, path: int) -> list[int]:
         """The elements at the path, without those inside another one or left out."""
-        want = path.split(">")
-        depth, found, skip = [0] * len(self.tag), [], 0  # depth: labels that agree so far, or -1
-        for i in range(1, len(self.tag)):
-            d = depth[self.parent[i]]
-            depth[i] = d + 1 if 0 <= d < len(want) and self.label[i] == want[d] else -1
-            if depth[i] == len(want) and i >= skip and not self.out[i]:
+        found, skip = [], 0
+        for i in range(len(self.tag)):
+            if self.path[i] == path and i >= skip and not self.out[i]:
                 found.append(i)
                 skip = self.end[i]
         return found
 
     def text(self, elements: list[int]) -> str:
         """Blocks of the elements' texts, joined by one line feed."""
-        spans, blocks, block, k = [(i, self.end[i]) for i in elements], [], [], 0
+        blocks, block = [], []
         inside = bytearray(len(self.tag))
-        for a, b in spans:
-            inside[a:b] = b"\1" * (b - a)
-        for i, text in [*self.items, (0, None)]:
+        for i in elements:
+            inside[i : self.end[i]] = b"\1" * (self.end[i] - i)
+        for k, (i, text) in enumerate([*self.items, (0, None)]):
             if text is None or not inside[i]:
                 if block and (words := "".join(block).split()):
                     blocks.append(" ".join(words))
                 block = []
             elif not self.out[i]:
-                block.append(entities.unescape(text) if "&" in text else text)
+                block.append(entities.unescape(text) if "&" in text and k not in self.literal else text)
         return "\n".join(blocks)
 
 
-def page_votes(html: str, most: int = 3) -> list[tuple[str, int]]:
-    """Paths and whole scores of a page's best containers."""
-    page = Page(html)
-    return [(page.path(i), round(s * 1000)) for s, i in page.scores()[:most]]
-
-
-def main_text(html: str, path: str | None) -> str:
+def main_text(html: str, path: int | None) -> str:
     """The text at the path, or in the page's own best container."""
     page = Page(html)
-    elements = (page.at_path(path) if path else []) or [i for _, i in page.scores()[:1]]
+    elements = (page.at_path(path) if path is not None else []) or [i for _, i in page.scores()[:1]]
     return page.text(elements) if elements else ""
 
 
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        total: dict[tuple[str, str], int] = {}
+        total: Counter[tuple[str, int]] = Counter()
         for host, html in zip(batch.column("host").to_pylist(), batch.column("html")):
-            for path, score in page_votes(html.as_py()):
-                total[host, path] = total.get((host, path), 0) + score
-        yield pa.RecordBatch.from_pydict({"host": pa.array([h for h, _ in total], pa.string()), "path": pa.array([p for _, p in total], pa.string()), "score": pa.array(list(total.values()), pa.int64())})
+            for path, score in Page(html.as_py()).votes().items():
+                total[host, path] += score
+        yield pa.RecordBatch.from_pydict({"host": pa.array([h for h, _ in total], pa.string()), "path": pa.array([_signed(p) for _, p in total], pa.int64()), "score": pa.array(list(total.values()), pa.int64())})
+
+
+def _signed(path: int) -> int:
+    return path - (path >> 63 << 64)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [main_text(h.as_py(), p) for h, p in zip(batch.column("html"), batch.column("path").to_pylist())]
+        texts = [main_text(h.as_py(), None if p is None else p % (1 << 64)) for h, p in zip(batch.column("html"), batch.column("path").to_pylist())]
         yield pa.RecordBatch.from_pydict({"page_id": batch.column("page_id"), "url": batch.column("url"), "text": pa.array(texts, pa.string()), "n_chars": pa.array(map(len, texts), pa.int64()), "path": batch.column("path")})
 
 
@@ -212,7 +261,7 @@ def with_host(pages: DataFrame) -> DataFrame:
 
 def host_paths(pages: DataFrame) -> DataFrame:
     """host and the path that its pages' votes make the winner. Votes are summed in each task before they move."""
-    votes = with_host(pages).select("host", "html").mapInArrow(trimmed(_vote), "host string, path string, score long")
+    votes = with_host(pages).select("host", "html").mapInArrow(trimmed(_vote), "host string, path long, score long")
     return votes.groupBy("host", "path").agg(F.sum("score").alias("score")).groupBy("host").agg(F.max(F.struct("score", "path")).alias("best")).select("host", F.col("best.path").alias("path"))
 
 
@@ -221,7 +270,7 @@ def extract(pages: DataFrame) -> DataFrame:
     from millrace.llm.common import written
 
     winners = small_side(written(host_paths(pages), "host-paths"))
-    return with_host(pages).join(winners, "host", "left").select("page_id", "url", "html", "path").mapInArrow(trimmed(_extract), "page_id long, url string, text string, n_chars long, path string")
+    return with_host(pages).join(winners, "host", "left").select("page_id", "url", "html", "path").mapInArrow(trimmed(_extract), "page_id long, url string, text string, n_chars long, path long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
