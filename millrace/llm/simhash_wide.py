@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import BROADCAST_NUMBERS, LOWER, VISIBLE, numbered, pieces_of, raw, small_side, span_hashes, strings, trimmed, word_spans, written
-from millrace.llm.components import stars
+from millrace.llm.components import components, stars
 
 WORDS, SIMILARITY = 5, 0.8
 POSITIONS, GROUP, SHARED = 48, 4, 2
@@ -152,21 +152,6 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in (columns | {f"w{k}": np.ascontiguousarray(words[:, k]) for k in range(CARRIED)}).items()})
 
 
-def components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest member of each of n members' component, by the pairs (a, b)."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        np.minimum.at(new, label, new.copy())
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def _told(ids: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each member that is not its component's first, with that one; each pair once, the greater id first."""
     at = np.flatnonzero(label != np.arange(len(label)))
@@ -372,7 +357,7 @@ def candidate_blocks(classes: DataFrame, similarity: float) -> DataFrame:
     """(id, block) of the texts (id, code) that lists link, the block being its smallest id."""
     schema = ", ".join(["key int", "id long", *[f"w{k} long" for k in range(CARRIED)]])
     index, bits = classes.select("id", "code").mapInArrow(trimmed(_index), schema), most_bits(similarity)
-    links = written(index.repartition("key").sortWithinPartitions("key").mapInArrow(trimmed(_lists(bits, LIST)), "a long, b long"), "list-links")
+    links = written(index.repartition("key").sortWithinPartitions("key", "id").mapInArrow(trimmed(_lists(bits, LIST)), "a long, b long"), "list-links")
     hot = written(links.where("b IS NULL").select(F.col("a").cast("int").alias("key")).distinct(), "long-lists")
     found = links.where("b IS NOT NULL")
     if hot.limit(1).count():
