@@ -200,3 +200,77 @@ def pieces_of(arr: pa.Array, most: int = 8 << 20):
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1)
         yield at, arr.slice(at, to - at)
         at = to
+
+
+# --- hashes of spans of words, and the bits that most of a text's hashes have ---------------------
+
+_P = [np.uint64(x) for x in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261)]
+
+
+def _rotated(x: np.ndarray, n: int) -> np.ndarray:
+    return (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+
+
+def xxh64(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """XXH64 of each span's bytes, over all spans at once."""
+    p1, p2, p3, p4, p5 = _P
+    with np.errstate(over="ignore"):
+        seed = np.uint64(seed)
+        padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+        lanes, halves = np.ndarray((len(buf) + 1,), "<u8", padded.data, 0, (1,)), np.ndarray((len(buf) + 5,), "<u4", padded.data, 0, (1,))
+        size, at = ends - starts, starts.copy()
+        h = np.full(len(starts), seed + p5)
+        own = np.flatnonzero(size >= 32)
+        if len(own):
+            v = [np.full(len(own), x) for x in (seed + p1 + p2, seed + p2, seed, seed - p1)]
+            live, place, left = np.arange(len(own)), at[own], size[own]
+            while len(live):
+                for k in range(4):
+                    v[k][live] = _rotated(v[k][live] + lanes[place + 8 * k] * p2, 31) * p1
+                place, left = place + 32, left - 32
+                more = left >= 32
+                live, place, left = live[more], place[more], left[more]
+            x = _rotated(v[0], 1) + _rotated(v[1], 7) + _rotated(v[2], 12) + _rotated(v[3], 18)
+            for k in range(4):
+                x = (x ^ (_rotated(v[k] * p2, 31) * p1)) * p1 + p4
+            h[own] = x
+            at[own] += size[own] & ~31
+        h += size.astype(np.uint64)
+        left = ends - at
+        live = np.flatnonzero(left >= 8)
+        while len(live):
+            h[live] = _rotated(h[live] ^ (_rotated(lanes[at[live]] * p2, 31) * p1), 27) * p1 + p4
+            at[live] += 8
+            left[live] -= 8
+            live = live[left[live] >= 8]
+        live = np.flatnonzero(left >= 4)
+        if len(live):
+            h[live] = _rotated(h[live] ^ (halves[at[live]].astype(np.uint64) * p1), 23) * p2 + p3
+            at[live] += 4
+            left[live] -= 4
+        live = np.flatnonzero(left >= 1)
+        while len(live):
+            h[live] = _rotated(h[live] ^ (padded[at[live]].astype(np.uint64) * p5), 11) * p1
+            at[live] += 1
+            left[live] -= 1
+            live = live[left[live] >= 1]
+        h ^= h >> np.uint64(33)
+        h *= p2
+        h ^= h >> np.uint64(29)
+        h *= p3
+        return h ^ (h >> np.uint64(32))
+
+
+_LANES = np.uint64(0x0101010101010101)
+
+
+def majority(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """(texts, 8) bytes, the lowest first: bits set in over half of each text's n hashes (at least one), of which the next text's follow."""
+    parts = -(-n // 255)  # a lane of a byte counts up to 255
+    lead = np.cumsum(parts) - parts
+    begin = np.repeat(np.cumsum(n) - n, parts) + 255 * (np.arange(parts.sum()) - np.repeat(lead, parts))
+    out = np.zeros((len(n), 8), np.uint8)
+    for bit in range(8):
+        ones = np.add.reduceat((h >> np.uint64(bit)) & _LANES, begin).view(np.uint8).reshape(-1, 8)
+        out |= (2 * np.add.reduceat(ones, lead, axis=0, dtype=np.int64) > n[:, None]).astype(np.uint8) << bit
+    return out

@@ -1,16 +1,17 @@
 """SimHash near-duplicates by a byte-position inverted index with count filtering.
 
 A fingerprint has eight positional bytes. Two fingerprints that differ in at most two bits share at least six of
-them: the guaranteed minimum. The index lists each distinct fingerprint under every choice of that many positions
-with its bytes there, so two fingerprints meet in a list exactly if their tally of shared positional bytes reaches
-the minimum. (Lists of single positions would hold a 256th of all fingerprints each, and their pairs grow with the
-square of the input.) A list's fingerprints differ in the two other bytes alone, so it holds 65,536 of them at most;
-in it candidates are tallied and verified by their differing bits, by pairs where it is short and by probing the
-flips of one or two bits where it is long. A list reports a spanning chain of what is linked, never all pairs.
+them: the guaranteed minimum. The positions lie in four blocks of two; at least two blocks are shared whole, so the
+index lists each distinct fingerprint under the six pairs of blocks. In a list a pair's tally counts its shared
+positional bytes, and only pairs that reach the minimum are verified by their differing bits. (Lists of single
+positions would hold a 256th of all fingerprints each, and their pairs grow with the square of the input.) A list of
+more than LIST fingerprints, which many copies with small edits make, is probed with all flips of one and two bits in
+the places where it varies, which finds the same pairs. A list reports a spanning set of links, never all pairs.
 
 Copies share a fingerprint and enter the index once. Null texts count as empty; a text without words has the
 fingerprint zero and is linked like any other; a row with a null doc_id gets its component's id, which is null only
-where no linked row has one. Repeated rows are kept. An empty table gives an empty result.
+where no linked row has one. Repeated rows are kept. An empty table gives an empty result; other columns are not read;
+texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -20,38 +21,42 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import strings, table, trimmed, written
-from millrace.llm.components import stars
+from millrace.llm.common import LOWER, VISIBLE, majority, pieces_of, raw, strings, table, trimmed, word_spans, written, xxh64
+from millrace.llm.components import components, stars
 
 SHINGLE, SEED, BITS = 3, 42, 2
-#: Shingles that are hashed and counted at a time.
-SHINGLES_AT_ONCE = 1 << 16
-#: Fingerprints of a list up to which it compares pairs.
-PAIRS_UP_TO = 64
-
-
-def fingerprint(text: str, size: int = SHINGLE) -> int:
-    """A bit is 1 if set in over half of the shingles' hashes. bytes.lower() and bytes.split() know ASCII alone."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
-    n = max(1, len(words) - size + 1)
-    ones, digest, join = np.zeros(64, np.int64), xxhash.xxh64_intdigest, b" ".join
-    for at in range(0, n, SHINGLES_AT_ONCE):
-        h = np.array([digest(join(words[i : i + size]), SEED) for i in range(at, min(n, at + SHINGLES_AT_ONCE))], "<u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(sum(1 << k for k in np.flatnonzero(2 * ones > n).tolist()))
+#: Positional bytes of a block; fingerprints of a list up to which its pairs are tallied.
+BLOCK, LIST = 2, 512
+
+
+def fingerprints_of(texts: pa.Array, size: int = SHINGLE) -> np.ndarray:
+    """A fingerprint of each text: a bit is 1 if set in over half of its shingles' hashes, repeats included."""
+    buf, offsets = raw(texts)
+    buf = LOWER[buf]
+    starts, ends, doc = word_spans(buf, offsets, VISIBLE)
+    out = np.zeros(len(texts), np.uint64)
+    if not len(starts):
+        return out
+    length = ends - starts
+    first = np.cumsum(length + 1) - (length + 1)  # words in their texts' order, with one space between
+    joined = np.full(int(length.sum()) + len(starts), 32, np.uint8)
+    joined[np.arange(int(length.sum())) + np.repeat(np.arange(len(starts)), length)] = buf[VISIBLE[buf]]
+    own, begin, n = np.unique(doc, return_index=True, return_counts=True)
+    count = np.maximum(1, n - size + 1)
+    at = np.arange(count.sum()) + np.repeat(begin - (np.cumsum(count) - count), count)
+    last = at + np.repeat(np.minimum(n, size), count) - 1
+    out[own] = majority(xxh64(joined, first[at], first[last] + length[last], SEED), count).view("<u8").reshape(-1)
+    return out
 
 
 def _fingerprints(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes = np.array([fingerprint(t.as_py(), size) for t in strings(batch.column("text"))], np.uint64)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "code": pa.array(codes.view(np.int64))})
+            for at, piece in pieces_of(strings(batch.column("text")), 2 << 20):
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(at, len(piece)), "code": pa.array(fingerprints_of(piece, size).view(np.int64))})
 
     return run
 
@@ -62,90 +67,99 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     return rows.mapInArrow(trimmed(_fingerprints(size)), "doc_id long, code long")
 
 
-def index_keys(bits: int = BITS) -> list[int]:
-    """Masks of the positional bytes that two fingerprints at `bits` differing bits share at least."""
-    return [sum(0xFF << (8 * p) for p in chosen) for chosen in combinations(range(8), 8 - bits)]
-
-
-def chain(codes: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a list's distinct fingerprints (uint64): neighbours, in order, of each set that differing bits connect."""
-    n, label = len(codes), np.arange(len(codes))
-    if n <= PAIRS_UP_TO:
-        x = codes[:, None] ^ codes[None, :]
-        shared = (x.view(np.uint8).reshape(n, n, 8) == 0).sum(axis=2)  # the tally
-        near = (shared >= 8 - bits) & (np.bitwise_count(x) <= bits)
-        while True:
-            new = np.where(near, label[None, :], n).min(axis=1)
-            if (new == label).all():
-                break
-            label = new[new]
-    else:
-        varying = np.bitwise_or.reduce(codes ^ codes[0])
-        places = [1 << k for k in range(64) if int(varying) >> k & 1]
-        flips = [sum(c) for k in range(1, bits + 1) for c in combinations(places, k)]
-        order = np.argsort(codes)
-        codes_sorted = codes[order]
-        a, b = [], []
-        for f in flips:
-            other = codes_sorted ^ np.uint64(f)
-            at = np.minimum(np.searchsorted(codes_sorted, other), n - 1)
-            hit = np.flatnonzero((codes_sorted[at] == other) & (at > np.arange(n)))
-            a.append(hit)
-            b.append(at[hit])
-        a, b, label = np.concatenate(a), np.concatenate(b), np.arange(n)
-        while True:
-            new = label.copy()
-            least = np.minimum(label[a], label[b])
-            np.minimum.at(new, a, least)
-            np.minimum.at(new, b, least)
-            np.minimum.at(new, label, new.copy())
-            new = new[new]
-            if (new == label).all():
-                break
-            label = new
-        codes = codes_sorted
-    order = np.lexsort((codes, label))
-    same = label[order][1:] == label[order][:-1]
-    return codes[order][:-1][same], codes[order][1:][same]
+def index_blocks(bits: int = BITS) -> list[tuple[int, ...]]:
+    """The choices of blocks of which two fingerprints at `bits` differing bits share at least one whole."""
+    blocks = 8 // BLOCK
+    if not 0 < bits < blocks:
+        raise ValueError(f"fingerprints of {blocks} blocks may differ in {blocks - 1} bits at most")
+    return list(combinations(range(blocks), blocks - bits))
+
+
+def flipped(codes: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (as places) of distinct fingerprints at `bits` differing bits or fewer, found by flipping what varies among them."""
+    order = np.argsort(codes)
+    known, n = codes[order], len(codes)
+    varying = int(np.bitwise_or.reduce(codes ^ codes[0]))
+    places = [1 << k for k in range(64) if varying >> k & 1]
+    a, b = [], []
+    for flip in (sum(c) for k in range(1, bits + 1) for c in combinations(places, k)):
+        other = known ^ np.uint64(flip)
+        at = np.minimum(np.searchsorted(known, other), n - 1)
+        hit = np.flatnonzero((known[at] == other) & (at > np.arange(n)))
+        a.append(order[hit])
+        b.append(order[at[hit]])
+    return np.concatenate(a), np.concatenate(b)
+
+
+def tallied(keys: np.ndarray, codes: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (as places) of one list whose shared positional bytes reach the minimum and whose bits verify them. Rows are sorted by key."""
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    live, d = np.arange(len(keys)), 0
+    while len(live):  # pairs at a distance of d rows, over all lists
+        d += 1
+        live = live[: np.searchsorted(live, len(keys) - d)]
+        live = live[keys[live] == keys[live + d]]
+        apart = codes[live] ^ codes[live + d]
+        shared = (apart.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
+        some = shared >= 8 - bits
+        near = live[some][np.bitwise_count(apart[some]) <= bits]
+        a.append(near)
+        b.append(near + d)
+    return np.concatenate(a), np.concatenate(b)
+
+
+def linked(keys: np.ndarray, codes: np.ndarray, bits: int = BITS, most: int = LIST) -> tuple[np.ndarray, np.ndarray]:
+    """Links of lists' distinct fingerprints (uint64): each with the first one of its list that differing bits connect it with."""
+    edge = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+    starts, ends = np.concatenate([[0], edge]), np.concatenate([edge, [len(keys)]])
+    long = ends - starts > most
+    short = np.flatnonzero(np.repeat(~long, ends - starts))
+    a, b = tallied(keys[short], codes[short], bits)
+    a, b = [short[a]], [short[b]]
+    for s, e in zip(starts[long], ends[long]):
+        x, y = flipped(codes[s:e], bits)
+        a.append(x + s)
+        b.append(y + s)
+    label = components(len(keys), np.concatenate(a), np.concatenate(b))
+    own = np.flatnonzero(label != np.arange(len(keys)))
+    return codes[own], codes[label[own]]
 
 
 def _links(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by key and code; a list that a batch cuts is carried over."""
+        """Rows come sorted by key; a list that a batch cuts is carried over. A list's fingerprints share four bytes, so it is bounded."""
         keys, codes = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        choice = np.zeros(0, np.int64)
 
-        def linked(choice, keys, codes):
-            edge = np.flatnonzero((keys[1:] != keys[:-1]) | (choice[1:] != choice[:-1])) + 1
-            starts, ends = np.concatenate([[0], edge]), np.concatenate([edge, [len(keys)]])
-            many = ends - starts > 1
-            found = [chain(codes[s:e].view(np.uint64), bits) for s, e in zip(starts[many], ends[many])]
-            a = np.concatenate([x for x, _ in found] or [np.zeros(0, np.uint64)]).view(np.int64)
-            b = np.concatenate([x for _, x in found] or [np.zeros(0, np.uint64)]).view(np.int64)
-            return pa.RecordBatch.from_pydict({"a": pa.array(a), "b": pa.array(b)})
+        def told(keys, codes):
+            a, b = linked(keys, codes.view(np.uint64), bits)
+            return pa.RecordBatch.from_pydict({"a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64))})
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            choice = np.concatenate([choice, batch.column("choice").to_numpy().astype(np.int64)])
             keys = np.concatenate([keys, batch.column("key").to_numpy()])
             codes = np.concatenate([codes, batch.column("code").to_numpy()])
-            cut = int(np.flatnonzero((keys != keys[-1]) | (choice != choice[-1]))[-1]) + 1 if (keys[0] != keys[-1] or choice[0] != choice[-1]) else 0
+            cut = int(np.searchsorted(keys, keys[-1]))
             if cut:
-                yield linked(choice[:cut], keys[:cut], codes[:cut])
-                choice, keys, codes = choice[cut:], keys[cut:], codes[cut:]
+                yield told(keys[:cut], codes[:cut])
+                keys, codes = keys[cut:], codes[cut:]
         if len(keys):
-            yield linked(choice, keys, codes)
+            yield told(keys, codes)
 
     return run
 
 
 def links(codes: DataFrame, bits: int = BITS) -> DataFrame:
     """Spanning links (a, b) between distinct fingerprints at `bits` differing bits or fewer."""
-    masks = F.array(*[F.struct(F.lit(k).alias("choice"), F.lit(m - (1 << 64) if m >> 63 else m).cast("long").alias("mask")) for k, m in enumerate(index_keys(bits))])
-    index = codes.select("code", F.explode(masks).alias("m")).select("code", F.col("m.choice").cast("int").alias("choice"), F.col("code").bitwiseAND(F.col("m.mask")).alias("key"))
-    lists = index.repartition("choice", "key").sortWithinPartitions("choice", "key", "code")
-    return lists.mapInArrow(trimmed(_links(bits)), "a long, b long").distinct()
+    block = lambda k: F.shiftrightunsigned("code", 8 * BLOCK * k).bitwiseAND(F.lit((1 << 8 * BLOCK) - 1).cast("long"))
+    keys = []
+    for n, chosen in enumerate(index_blocks(bits)):
+        key = F.lit(n).cast("long")
+        for k in chosen:
+            key = F.shiftleft(key, 8 * BLOCK).bitwiseOR(block(k))
+        keys.append(key)
+    index = codes.select("code", F.explode(F.array(*keys)).alias("key"))
+    return index.repartition("key").sortWithinPartitions("key", "code").select("key", "code").mapInArrow(trimmed(_links(bits)), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, bits: int = BITS) -> DataFrame:
@@ -159,16 +173,5 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, bits: int = BITS) -> D
     return coded.join(told, "code").select("doc_id", F.lower(F.lpad(F.hex("code"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, size: int = SHINGLE, bits: int = BITS) -> DataFrame:
-    """docs without all but the first row (the smallest doc_id) of each component; of rows that repeat that doc_id all stay.
-
-    Rows without a doc_id stay: nothing names them.
-    """
-    from millrace.llm.common import small_side
-
-    gone = written(near_duplicates(docs, size, bits).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "dropped")
-    return docs.join(small_side(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import BROADCAST_NUMBERS, LOWER, VISIBLE, numbered, pieces_of, raw, small_side, span_hashes, strings, trimmed, word_spans, written
+from millrace.llm.common import BROADCAST_NUMBERS, LOWER, VISIBLE, majority, numbered, pieces_of, raw, small_side, span_hashes, strings, trimmed, word_spans, written
 from millrace.llm.components import components, stars
 
 WORDS, SIMILARITY = 5, 0.8
@@ -42,7 +42,6 @@ LIST, TILE, TILE_BYTES = 1024, 256, 64 << 20
 #: 64-bit words of the fingerprint that the lists carry; standard deviations above the mean of differing bits.
 CARRIED, MARGIN = 2, 4
 _SEEDS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
-_LANES = np.uint64(0x0101010101010101)
 _PAIRS = np.array([(g + a, g + b) for g in range(0, POSITIONS, GROUP) for a, b in combinations(range(GROUP), SHARED)])
 MEMBER = "block long, id long, code binary, value binary"
 
@@ -86,18 +85,12 @@ def fingerprints(sets: list[np.ndarray]) -> np.ndarray:
     if not len(own):
         return out
     h, n = np.concatenate([sets[i] for i in own]), sizes[own]
-    parts = -(-n // 255)  # bytes of a lane count up to 255
-    lead = np.cumsum(parts) - parts
-    begin = np.repeat(np.cumsum(n) - n, parts) + 255 * (np.arange(parts.sum()) - np.repeat(lead, parts))
     for w, seed in enumerate(_SEEDS):
         x = (h ^ seed) * _SEEDS[w - 1]
         x ^= x >> np.uint64(31)
         x *= np.uint64(0xC2B2AE3D27D4EB4F)
         x ^= x >> np.uint64(29)
-        for bit in range(8):
-            ones = np.add.reduceat((x >> np.uint64(bit)) & _LANES, begin).view(np.uint8).reshape(-1, 8)
-            total = np.add.reduceat(ones, lead, axis=0, dtype=np.int64)
-            out[own, 8 * w : 8 * w + 8] |= (2 * total > n[:, None]).astype(np.uint8) << bit
+        out[own, 8 * w : 8 * w + 8] = majority(x, n)
     return out
 
 

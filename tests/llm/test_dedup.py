@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from millrace.llm import components, exact_dedup, simhash_dedup, simhash_wide
-from millrace.llm.common import shared_dir, strings, table
+from millrace.llm.common import shared_dir, strings, table, xxh64
 from millrace.llm.components import stars
 
 
@@ -107,25 +107,44 @@ def test_simhash_nulls_and_empty(odd_docs, no_docs):
     assert simhash_dedup.near_duplicates(no_docs).count() == 0
 
 
-@pytest.mark.parametrize("n", [10, 64, 65, 700])
-def test_lists_link_all_that_is_near(n):
+@pytest.mark.parametrize("most", [512, 3])
+@pytest.mark.parametrize("n", [10, 64, 700])
+def test_lists_link_all_that_is_near(n, most):
+    """By tallies and by flips, over several lists in one go."""
     rng = np.random.default_rng(n)
     codes = np.unique(np.array([0xABCDEF0000000000 | int(rng.integers(0, 1 << 16)) for _ in range(n)], np.uint64))
-    a, b = simhash_dedup.chain(codes)
-    place = {int(c): k for k, c in enumerate(codes)}
-    label = list(range(len(codes)))
-    for x, y in zip(a, b):
-        x, y = label[place[int(x)]], label[place[int(y)]]
-        label = [min(x, y) if z in (x, y) else z for z in label]
-    assert [label.index(z) for z in label] == [brute_components(codes).index(z) for z in brute_components(codes)]
-
-
-def test_any_near_pair_shares_an_index_key():
+    keys = np.sort(rng.integers(0, 2, len(codes)))
+    a, b = simhash_dedup.linked(keys, codes, most=most)
+    label = {int(c): int(c) for c in codes}
+    for x, y in zip(a.tolist(), b.tolist()):
+        x, y = label[x], label[y]
+        label = {c: min(x, y) if z in (x, y) else z for c, z in label.items()}
+    for k in (0, 1):
+        own = codes[keys == k]
+        want = [int(own[r]) for r in brute_components(own)]
+        assert [label[int(c)] for c in own] == want
+
+
+def test_any_near_pair_shares_an_index_key(spark):
     rng = np.random.default_rng(0)
     for _ in range(200):
         x = int(rng.integers(0, 1 << 63))
         y = x ^ (1 << int(rng.integers(0, 64))) ^ (1 << int(rng.integers(0, 64)))
-        assert any(x & m == y & m for m in simhash_dedup.index_keys())
+        assert any(all((x ^ y) >> 16 * k & 0xFFFF == 0 for k in chosen) for chosen in simhash_dedup.index_blocks())
+    with pytest.raises(ValueError):
+        simhash_dedup.index_blocks(4)
+    codes = spark.createDataFrame([(-1,), (-2,), (-4,), (7,), (7 | 1 << 63 - 1,), (-(1 << 63) + 7,)], "code long")
+    got = stars(simhash_dedup.links(codes)).collect()
+    assert {r.a: r.b for r in got} == {-1: -4, -2: -4, 7: -(1 << 63) + 7, (7 | 1 << 62): -(1 << 63) + 7}
+
+
+def test_hashes_of_spans_are_the_librarys():
+    rng = np.random.default_rng(2)
+    data = rng.integers(0, 256, 5000).astype(np.uint8)
+    starts = rng.integers(0, 4800, 400)
+    ends = starts + np.concatenate([np.arange(200), rng.integers(0, 100, 200)])
+    for seed in (0, 42):
+        assert xxh64(data, starts, ends, seed).tolist() == [xxhash.xxh64_intdigest(data[a:b].tobytes(), seed) for a, b in zip(starts, ends)]
 
 
 @pytest.mark.parametrize("part", [1_000_000, 9], ids=["one part", "parts and rounds"])
