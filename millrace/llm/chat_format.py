@@ -5,10 +5,15 @@ the assistant and every other one as a named user; masks are the spans (start an
 of the text that the perspective's speaker says, its end mark included. System turns are rendered as system.
 
 A conversation is rendered in parts of PART turn numbers, so that one that holds a third of all rows is many small
-groups; part k's text follows part k-1's, `char_start` is its place in the whole text, and spans count from the
-part's start. Turns are ordered by turn, then role, then text; null turns come first; a null role is the speaker
-"unknown", a null text is empty, a null conv_id is a conversation of its own. Repeated rows are repeated turns. A
-conversation of system turns alone has no participant and gives no row. Other columns are not read.
+groups; parts follow one another by (part, sub), `char_start` is a part's place in the whole text, and spans count from
+the part's start. sub is 0, but where one turn number has more than CROWD rows: there each turn is a part of its own, and
+a crowded one several, by the turns' digests. Texts move once, to their part; the parts' places are computed from
+lengths alone.
+
+Turns are ordered by turn, then by the md5 of role|text; null turns come first; a null role is the speaker "unknown", a
+null text is empty, rows with a null conv_id are one conversation. Repeated rows are repeated turns, next to one another.
+A conversation of system turns alone has no participant and gives no row; an empty table gives none. Texts of any length
+are rendered whole. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -16,25 +21,49 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import table
+from millrace.llm.common import small_side, table
 
-PART = 256
+PART, CROWD = 256, 4096
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
+_GROUP = ["conv", "no_conv", "part", "sub"]
 
 
-def parts(turns: DataFrame, part: int = PART) -> DataFrame:
-    """conv_id, part and its turns in order."""
+def dealt(turns: DataFrame, part: int = PART, crowd: int = CROWD) -> DataFrame:
+    """conv and no_conv (a conversation's id, and whether it is null), turn, role, text, digest, and part and sub, the group that a turn is rendered in."""
     t = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("unknown")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    t = t.withColumn("part", F.coalesce(F.expr(f"turn div {part}"), F.lit(-(1 << 62))))
-    return t.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    t = t.select(F.coalesce("conv_id", F.lit(0)).alias("conv"), F.col("conv_id").isNull().alias("no_conv"), "turn", "role", "text", F.md5(F.concat_ws("|", "role", "text")).alias("digest"))
+    t = t.withColumn("part", F.coalesce(F.expr(f"turn div {part}"), F.lit(-(1 << 62)))).withColumn("slot", F.coalesce(F.expr(f"turn - part * {part}"), F.lit(0)))
+    counts = t.groupBy("conv", "no_conv", "part", "slot").agg(F.count(F.lit(1)).alias("n"))
+    crowded = counts.groupBy("conv", "no_conv", "part").agg(F.max("n").alias("most"), F.collect_list(F.struct("slot", F.ceil(F.col("n") / part).alias("shares"))).alias("shares")).where(f"most > {crowd}")
+    told = t.join(small_side(crowded.select("conv", "no_conv", "part", F.map_from_entries("shares").alias("shares"))), ["conv", "no_conv", "part"], "left")
+    share = F.expr("cast(conv(substring(digest, 1, 6), 16, 10) AS bigint) * shares[slot] div 16777216")
+    return told.withColumn("sub", F.when(F.col("shares").isNull(), F.lit(0)).otherwise(F.shiftleft(F.col("slot"), 32) + share)).drop("shares", "slot")
+
+
+def _head(speaker: str, system: str) -> str:
+    return f"CASE WHEN role = {speaker} THEN '{OPEN}assistant\\n' WHEN role = '{system}' THEN '{OPEN}system\\n' ELSE concat('{OPEN}user name=', role, '\\n') END"
 
 
-def rotate(turns: DataFrame, part: int = PART, system: str = "system") -> DataFrame:
-    """conv_id, speaker, part, char_start, text, mask_starts, mask_ends, n_turns for each participant and part."""
-    grouped = parts(turns, part)
-    speakers = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.coalesce(F.col("role").cast("string"), F.lit("unknown")).alias("speaker")).where(F.col("speaker") != system).distinct()
-    each = grouped.join(speakers, grouped["conv_id"].eqNullSafe(speakers["conv_id"])).drop(speakers["conv_id"])
-    head = f"CASE WHEN t.role = speaker THEN '{OPEN}assistant\\n' WHEN t.role = '{system}' THEN '{OPEN}system\\n' ELSE concat('{OPEN}user name=', t.role, '\\n') END"
+def places(t: DataFrame, system: str = "system") -> DataFrame:
+    """The perspectives of each group: (speaker, char_start) of every participant of its conversation. No text is read but for its length."""
+    sizes = t.groupBy(*_GROUP, "role").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
+    sizes = sizes.withColumn("other", F.expr(f"chars + n * (length({_head('NULL', system)}) + {len(CLOSE) + 1})")).withColumn("own", F.expr(f"n * (length({_head('role', system)}) - length({_head('NULL', system)}))"))
+    groups = sizes.groupBy(*_GROUP).agg(F.sum("other").alias("size"))
+    speakers = sizes.where(F.col("role") != system).select("conv", "no_conv", F.col("role").alias("speaker")).distinct()
+    own = sizes.select(*_GROUP, F.col("role").alias("speaker"), "own")
+    each = groups.join(speakers, ["conv", "no_conv"]).join(own, [*_GROUP, "speaker"], "left").withColumn("size", F.col("size") + F.coalesce("own", F.lit(0)))
+    before = Window.partitionBy("conv", "no_conv", "speaker").orderBy("part", "sub").rowsBetween(Window.unboundedPreceding, -1)  # a row for each group, without texts
+    starts = each.withColumn("char_start", F.coalesce(F.sum("size").over(before), F.lit(0)))
+    return starts.groupBy(*_GROUP).agg(F.collect_list(F.struct("speaker", "char_start")).alias("views"))
+
+
+def rotate(turns: DataFrame, part: int = PART, system: str = "system", crowd: int = CROWD) -> DataFrame:
+    """conv_id, speaker, part, sub, char_start, text, mask_starts, mask_ends, n_turns for each participant and part."""
+    t = dealt(turns, part, crowd)
+    grouped = t.groupBy(*_GROUP).agg(F.collect_list(F.struct("turn", "digest", "role", "text")).alias("turns"))
+    each = grouped.join(places(t, system), _GROUP).select(F.when(~F.col("no_conv"), F.col("conv")).alias("conv_id"), "part", "sub", F.array_sort("turns").alias("turns"), F.explode("views").alias("v"))
+    each = each.select("conv_id", F.col("v.speaker").alias("speaker"), "part", "sub", F.col("v.char_start").alias("char_start"), "turns")
+    head = _head("speaker", system).replace("role", "t.role")
     told = each.withColumn("said", F.expr(f"transform(turns, t -> struct({head} AS head, concat(t.text, '{CLOSE}') AS body, t.role = speaker AS own))"))
     # (characters so far, start and end of each own span): one pass over the part's turns
     spans = F.expr(
@@ -44,19 +73,13 @@ def rotate(turns: DataFrame, part: int = PART, system: str = "system") -> DataFr
             'ends', if(t.own, array_append(s.ends, s.at + length(t.head) + length(t.body)), s.ends)))"""
     )
     text = F.expr("concat_ws('', transform(said, t -> concat(t.head, t.body, '\\n')))")
-    done = told.select("conv_id", "speaker", "part", spans.alias("s"), text.alias("text"), F.size("turns").alias("n_turns"))
-    sizes = done.select("conv_id", "speaker", "part", F.col("s.at").alias("n"))
-    before = Window.partitionBy("conv_id", "speaker").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part, without texts
-    starts = sizes.select(F.col("conv_id").alias("c"), F.col("speaker").alias("w"), F.col("part").alias("q"), F.sum("n").over(before).alias("before")).where("before IS NOT NULL")
-    on = done["conv_id"].eqNullSafe(starts["c"]) & (done["speaker"] == starts["w"]) & (done["part"] == starts["q"])
-    return done.join(starts, on, "left").select(
-        "conv_id", "speaker", "part", F.coalesce("before", F.lit(0)).alias("char_start"), "text", F.col("s.starts").alias("mask_starts"), F.col("s.ends").alias("mask_ends"), F.col("n_turns").cast("long").alias("n_turns")
-    )
+    done = told.select("conv_id", "speaker", "part", "sub", "char_start", spans.alias("s"), text.alias("text"), F.size("turns").alias("n_turns"))
+    return done.select("conv_id", "speaker", "part", "sub", "char_start", "text", F.col("s.starts").alias("mask_starts"), F.col("s.ends").alias("mask_ends"), F.col("n_turns").cast("long").alias("n_turns"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = rotate(table(spark, sf_dir, "conversations"))
-    return r.select("conv_id", "speaker", "part", "char_start", "text", F.concat_ws(",", "mask_starts").alias("mask_starts"), F.concat_ws(",", "mask_ends").alias("mask_ends"), "n_turns")
+    return r.select("conv_id", "speaker", "part", "sub", "char_start", "text", F.concat_ws(",", "mask_starts").alias("mask_starts"), F.concat_ws(",", "mask_ends").alias("mask_ends"), "n_turns")
 
 
 ORACLE = f"""
@@ -65,11 +88,11 @@ s AS (SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role <> 'system'),
 r AS (SELECT t.*, s.speaker, role = speaker AS own, t.text || '{CLOSE}' AS body,
       CASE WHEN role = speaker THEN '{OPEN}assistant' || chr(10) WHEN role = 'system' THEN '{OPEN}system' || chr(10) ELSE '{OPEN}user name=' || role || chr(10) END AS head
       FROM t JOIN s ON t.conv_id IS NOT DISTINCT FROM s.conv_id),
-o AS (SELECT *, length(head) + length(body) + 1 AS n, row_number() OVER w AS k FROM r WINDOW w AS (PARTITION BY conv_id, speaker ORDER BY turn NULLS FIRST, role, text)),
+o AS (SELECT *, length(head) + length(body) + 1 AS n, row_number() OVER w AS k FROM r WINDOW w AS (PARTITION BY conv_id, speaker ORDER BY turn NULLS FIRST, md5(role || '|' || text))),
 a AS (SELECT *, sum(n) OVER (PARTITION BY conv_id, speaker, part ORDER BY k) - n AS pos FROM o),
 p AS (SELECT conv_id, speaker, part, sum(n) AS n, string_agg(head || body || chr(10), '' ORDER BY k) AS text, count(*) AS n_turns,
       coalesce(string_agg(CAST(CAST(pos + length(head) AS BIGINT) AS VARCHAR), ',' ORDER BY k) FILTER (own), '') AS mask_starts,
       coalesce(string_agg(CAST(CAST(pos + n - 1 AS BIGINT) AS VARCHAR), ',' ORDER BY k) FILTER (own), '') AS mask_ends
       FROM a GROUP BY conv_id, speaker, part)
-SELECT conv_id, speaker, part, CAST(sum(n) OVER (PARTITION BY conv_id, speaker ORDER BY part) - n AS BIGINT) AS char_start, text, mask_starts, mask_ends, n_turns FROM p
+SELECT conv_id, speaker, part, CAST(0 AS BIGINT) AS sub, CAST(sum(n) OVER (PARTITION BY conv_id, speaker ORDER BY part) - n AS BIGINT) AS char_start, text, mask_starts, mask_ends, n_turns FROM p
 """

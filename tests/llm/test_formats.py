@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import random
 import zlib
 
@@ -270,7 +271,7 @@ def rendered(rows):
     out = {}
     convs = {r[0] for r in rows}
     for c in convs:
-        own = sorted(((t is not None, t or 0, role or "unknown", x or "") for k, t, role, x in rows if k == c))
+        own = sorted(((t is not None, t or 0, role or "unknown", x or "") for k, t, role, x in rows if k == c), key=lambda r: (*r[:2], hashlib.md5(f"{r[2]}|{r[3]}".encode()).hexdigest()))
         for s in {o[2] for o in own} - {"system"}:
             text, spans = "", []
             for _, _, role, x in own:
@@ -282,15 +283,18 @@ def rendered(rows):
     return out
 
 
-def test_rotation_in_parts(spark):
+@pytest.mark.parametrize("crowd", [4096, 3], ids=["whole turns", "crowded turns"])
+def test_rotation_in_parts(spark, crowd):
     rng = random.Random(3)
     rows = [(c, t, rng.choice(["amy", "bob", "eve", "system"]), "é🙂" * rng.randint(0, 4)) for c in range(3) for t in range(23)]
-    rows += [(7, None, "amy", "late"), (7, 1, None, None), (7, 1, "amy", "tie"), (7, 1, "amy", "tie"), (None, 0, "amy", "x"), (8, 0, "system", "alone")]
-    got = chat_format.rotate(spark.createDataFrame([(*r, 5) for r in rows], TURNS), 4).collect()
+    rows += [(7, None, "amy", "late"), (7, 1, None, None), (7, 1, "amy", "tie"), (7, 1, "amy", "tie"), (None, 0, "amy", "x"), (0, 0, "amy", "zero"), (8, 0, "system", "alone"), (9, 5, "amy", "long " * 50_000), (9, 6, "bob", "")]
+    rows += [(4, rng.choice([None, 2, 3]), rng.choice(["amy", "bob"]), f"text {k}") for k in range(60)]
+    got = chat_format.rotate(spark.createDataFrame([(*r, 5) for r in rows], TURNS), 4, crowd=crowd).collect()
     whole = {}
-    for r in sorted(got, key=lambda r: r.part):
+    for r in sorted(got, key=lambda r: (r.part, r.sub)):
         text, spans = whole.get((r.conv_id, r.speaker), ("", []))
         assert r.char_start == len(text)
         whole[r.conv_id, r.speaker] = text + r.text, spans + [(r.char_start + a, r.char_start + b) for a, b in zip(r.mask_starts, r.mask_ends)]
     assert whole == rendered(rows)
+    assert (max(r.n_turns for r in got if r.conv_id == 4) < 20) == (crowd == 3) and any(r.sub for r in got) == (crowd == 3)
     assert chat_format.rotate(spark.createDataFrame([], TURNS)).count() == 0
