@@ -39,6 +39,52 @@ def test_ordinal_model_orders_grades():
     assert len(m.thresholds) == 2 and m.thresholds[0] < m.thresholds[1] and 0 < m.weights[1] and 0 < m.weights[2]
 
 
+def test_gradient_and_fit_against_brute_force():
+    """The gradient is that of the loss by differences, the fit ends where it is zero, and a grid of models has none better."""
+    rng = np.random.default_rng(1)
+    n, width = 60, 3
+    x = rng.random((n, width)) < 0.4
+    grade = np.clip((x @ [1.5, -1.0, 0.7] + rng.logistic(size=n) > 0.3).astype(int) + (x[:, 0] & (rng.random(n) < 0.5)), 0, 2)
+    row, column = np.nonzero(x)
+    w = np.concatenate([rng.standard_normal(width), [0.3, -0.4]])
+    _, g = toxicity.loss(w, row, column, grade, width, 0.1)
+    for k in range(len(w)):
+        step = np.zeros(len(w))
+        step[k] = 1e-5
+        assert abs((toxicity.loss(w + step, row, column, grade, width, 0.1)[0] - toxicity.loss(w - step, row, column, grade, width, 0.1)[0]) / 2e-5 - g[k]) < 1e-6
+    m = toxicity.fit(row, column, grade)
+    at = np.concatenate([m.weights[:width], [m.thresholds[0], np.log(m.thresholds[1] - m.thresholds[0])]])
+    least, g = toxicity.loss(at, row, column, grade, width, 0.1)
+    assert np.abs(g).max() < 1e-4
+    for _ in range(300):
+        assert toxicity.loss(at + rng.standard_normal(len(at)) * rng.choice([0.01, 0.3, 2.0]), row, column, grade, width, 0.1)[0] >= least - 1e-7
+    texts = strings(pa.array(["", "a"]))
+    p = [1 / (1 + np.exp(-(0 - t))) for t in m.thresholds]
+    assert m.severity(texts)[0] == pytest.approx(sum(p))
+
+
+def test_a_fit_is_bounded_in_rows_and_features(spark):
+    docs = spark.range(3000).selectExpr("id % 30 AS doc_id", "concat('word', id % 7, if(id % 30 < 10, ' badword nasty', ' fine good'), ' x', id) AS text")
+    labels = spark.range(40).selectExpr("id AS doc_id", "if(id < 10, 1, 0) AS toxic")
+    sample = toxicity.sampled(docs, labels, 20).collect()
+    assert len(sample) == len({r.doc_id for r in sample}) == 20
+    model = toxicity.train(docs, labels, 20, 5)
+    assert 0 < (model.weights != 0).sum() <= 5
+    got = toxicity.severities(docs, model).collect()
+    assert all(r.toxic == (r.doc_id < 10) for r in got)
+
+
+def test_few_labels_are_enough_for_most(spark):
+    """Some 400 labelled rows, 51 of them toxic and 36 of these English, tested on other documents: what five examples of a language can't teach is missed."""
+    docs, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
+    model = toxicity.train(docs, labels)
+    far = table(spark, "/root/testdata/sf0.1", "documents").where("doc_id >= 1000")
+    got = toxicity.severities(far, model).join(table(spark, "/root/testdata/sf0.1", "labels").withColumnRenamed("toxic", "truth"), "doc_id").join(far.select("doc_id", "lang"), "doc_id").collect()
+    hit = sum(r.toxic and r.truth == 1 for r in got)
+    english = [r for r in got if r.truth == 1 and r.lang == "en"]
+    assert hit >= 0.65 * sum(r.truth == 1 for r in got) and hit >= 0.85 * sum(r.toxic for r in got) and sum(r.toxic for r in english) >= 0.85 * len(english)
+
+
 def test_toxicity_of_odd_rows(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(1, 0), (2, 1), (2, None), (None, 1), (99, 1)], "doc_id long, toxic int")
     model = toxicity.train(odd_docs, labels)
