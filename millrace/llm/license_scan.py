@@ -13,7 +13,7 @@ one with the greatest coefficient counts: part of a licence's text is not anothe
 
 A text matches a licence by the best of its units; of templates with equal coefficients the first by name counts.
 Null and empty texts and texts of one word match nothing; null doc_ids and repeated rows are scanned like any other;
-other columns are not read.
+texts of any length are scanned whole; an empty table gives no row; other columns are not read.
 """
 
 from __future__ import annotations

@@ -1,7 +1,13 @@
-"""Licence templates: short notices, made by rule, and the texts of short licences."""
+"""Licence templates: openings made by rule, the notices that go into files, and whole licence texts.
+
+Long texts lie beside this module in `licenses/`, named by licence. Of AGPL-3.0 and the Creative Commons licences but
+CC0 the notices and openings are known, not the whole texts.
+"""
 
 from __future__ import annotations
 
+import os
+
 # The wording of public licences.
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
 documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
@@ -45,10 +51,58 @@ Public License as published by the Free Software Foundation, either version {} o
 later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the
 implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more
 details."""
+LESSER_21_NOTICE = """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser
+General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option)
+any later version.
+This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty
+of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.
+You should have received a copy of the GNU Lesser General Public License along with this library; if not, write to the Free
+Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA"""
+KIND_3_NOTICE = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0} General
+Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later
+version.
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty
+of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {0} General Public License for more details.
+You should have received a copy of the GNU {0} General Public License along with this program. If not, see
+<https://www.gnu.org/licenses/>."""
+MOZILLA_NOTICE = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
+distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a
+compiled binary, for any purpose, commercial or non-commercial, and by any means.
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright
+interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the
+detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all
+present and future rights to this software under copyright law.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE
+FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN
+CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+For more information, please refer to <https://unlicense.org>"""
+BOOST = """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and
+accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and
+transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is
+furnished to do so, all subject to the following:
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the
+following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the
+Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a
+source language processor.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT
+HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR
+OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable
+for any damages arising from the use of this software.
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and
+redistribute it freely, subject to the following restrictions:
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you
+use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution."""
 NAMES = {
     "MIT": "MIT License", "ISC": "ISC License", "BSD-2-Clause": "BSD 2-Clause License", "BSD-3-Clause": "BSD 3-Clause License", "Apache-2.0": "Apache License, Version 2.0",
     "GPL-2.0": "GNU General Public License, version 2", "GPL-3.0": "GNU General Public License, version 3", "LGPL-2.1": "GNU Lesser General Public License, version 2.1",
-    "LGPL-3.0": "GNU Lesser General Public License, version 3", "AGPL-3.0": "GNU Affero General Public License, version 3", "MPL-2.0": "Mozilla Public License, version 2.0", "Unlicense": "Unlicense",
+    "LGPL-3.0": "GNU Lesser General Public License, version 3", "AGPL-3.0": "GNU Affero General Public License, version 3", "MPL-2.0": "Mozilla Public License, version 2.0", "Unlicense": "Unlicense", "BSL-1.0": "Boost Software License, Version 1.0", "Zlib": "zlib License",
 }
 OPENINGS = ("Licensed under the {}.", "Released under the {}.", "This work is licensed under the {}.", "Distributed under the {}.", "This software is licensed under the {}.")
 CC_KINDS, CC_VERSIONS = ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND"), ("2.0", "3.0", "4.0")
@@ -58,6 +112,12 @@ def templates() -> list[tuple[str, str]]:
     """(licence, text), in a fixed order."""
     out = [("MIT", MIT), ("ISC", ISC), ("BSD-2-Clause", f"{BSD_CONDITIONS}\n{BSD_DISCLAIMER}"), ("BSD-3-Clause", f"{BSD_CONDITIONS}\n{BSD_NAME}\n{BSD_DISCLAIMER}"), ("Apache-2.0", APACHE_NOTICE)]
     out += [(f"GPL-{v}.0", GPL_NOTICE.format(v)) for v in (2, 3)]
+    out += [("GPL-3.0", KIND_3_NOTICE.replace("{0} ", "")), ("LGPL-2.1", LESSER_21_NOTICE), ("LGPL-3.0", KIND_3_NOTICE.format("Lesser")), ("AGPL-3.0", KIND_3_NOTICE.format("Affero"))]
+    out += [("MPL-2.0", MOZILLA_NOTICE), ("Unlicense", UNLICENSE), ("BSL-1.0", BOOST), ("Zlib", ZLIB)]
     out += [(k, opening.format(name)) for k, name in NAMES.items() for opening in OPENINGS]
     out += [(f"CC-{kind}-{v}", opening.format(f"CC {kind} {v}").replace(" the ", " ")) for kind in CC_KINDS for v in CC_VERSIONS for opening in OPENINGS]
+    folder = os.path.join(os.path.dirname(__file__), "licenses")
+    for name in sorted(os.listdir(folder)):
+        with open(os.path.join(folder, name), encoding="utf-8") as f:
+            out.append((name.removesuffix(".txt"), f.read()))
     return out
