@@ -64,10 +64,6 @@ def html_title(c: Column) -> Column:
     return F.regexp_extract(c, r"(?s)<title>(.*?)</title>", 1)
 
 
-def lead_words(c: Column, n: int) -> Column:
-    return F.array_join(F.slice(words(c), 1, n), " ")
-
-
 def summary(c: Column, n: int = 10) -> Column:
     """A deterministic stand-in for a summariser: a text's first and last n words, each once."""
     w = words(c)
