@@ -81,6 +81,29 @@ def out_name(name: str) -> bool:
     return known
 
 
+_ELEMENTS: dict[tuple[str, str], tuple[str, bool, bool, bool]] = {}
+
+
+def _known(name: str, attributes: str) -> tuple[str, bool, bool, bool]:
+    """(label, whether its names speak for main text, left out outside an article, left out inside one) of an element. Pages repeat their elements, so these are kept."""
+    known = _ELEMENTS.get((name, attributes))
+    if known is None:
+        said = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attributes)} if attributes else {}
+        classes, own = said.get("class", "").split(), said.get("id", "").strip()
+        outside = inside = name not in NEVER_OUT and name in OUT_TAGS
+        outside = outside or name == "header"
+        if said and name in NAMED:
+            both = any(map(out_name, classes)) or said.get("role", "").lower() in OUT_ROLES
+            outside, inside = outside or both or bool(own) and out_name(own), inside or both or own.lower() in COMMENT_IDS
+        label = ".".join([name, *sorted({re.sub(r"\d+", "#", c.lower()) for c in classes})])
+        known = label, bool(said and IN_WORDS.search(" ".join(said.values()).lower())), outside, inside
+        if len(attributes) <= 500:
+            if len(_ELEMENTS) > 50_000:
+                _ELEMENTS.clear()
+            _ELEMENTS[name, attributes] = known
+    return known
+
+
 class Page:
     """Elements in page order (element 0 stands for the page) and the texts and block edges between them."""
 
@@ -143,20 +166,13 @@ class Page:
         if name in VOID or name not in BLOCK and attributes.endswith("/"):
             self.items.append((self.stack[-1], None if name == "hr" else " "))
             return
-        said = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attributes)} if attributes else {}
-        classes = said["class"].split() if "class" in said else []
         top, in_main = self.stack[-1], self.main[-1]
-        out = self.out[top]
-        if not out and name not in NEVER_OUT:
-            out = name in OUT_TAGS or name == "header" and not in_main
-            if not out and said and name in NAMED:
-                own = said.get("id", "").strip()
-                out = any(map(out_name, classes)) or said.get("role", "").lower() in OUT_ROLES or bool(own) and (own.lower() in COMMENT_IDS if in_main else out_name(own))
+        label, good, *out = _known(name, attributes)
         self.tag.append(name)
-        self.path.append(xxhash.xxh64_intdigest(".".join([name, *sorted({re.sub(r"\d+", "#", c.lower()) for c in classes})]), self.path[top]))
+        self.path.append(xxhash.xxh64_intdigest(label, self.path[top]))
         self.parent.append(top)
-        self.out.append(out)
-        self.good.append(bool(said and IN_WORDS.search(" ".join(said.values()).lower())))
+        self.out.append(self.out[top] or out[in_main])
+        self.good.append(good)
         self.end.append(0)
         place = len(self.stack)
         self.stack.append(len(self.tag) - 1)
