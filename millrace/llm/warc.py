@@ -8,7 +8,8 @@ headers; revisits are joined to the responses that they refer to.
 Null html counts as an empty payload; payloads below `least` bytes are always responses. Of equal payloads the
 smallest page_id is the response. Rows with a null page_id revisit it, or are responses where no row of the group
 has an id; rows that repeat the smallest page_id are responses too. A null url is written as urn:page:<page_id>.
-Other columns are not read.
+Payloads of any length are written and digested whole; a task holds one record beside the archive that it fills. An
+empty table gives no archive and no row. Other columns are not read.
 """
 
 from __future__ import annotations

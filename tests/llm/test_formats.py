@@ -162,6 +162,16 @@ def test_warc(spark):
     assert warc.write_archives(pages.limit(0), shared_dir(spark, "t-warc")).count() == 0
 
 
+def test_long_payloads_are_kept_whole(spark):
+    long = "".join(chr(97 + k % 26) + "é" for k in range(3_000_000))
+    pages = spark.createDataFrame([(1, "http://a/", long), (2, "http://a/", long), (3, "http://a/", long + "x")], "page_id long, url string, html string")
+    folder = shared_dir(spark, "t-warc")
+    warc.write_archives(pages, folder)
+    got = {r.page_id: tuple(r)[1:] for r in warc.resolve(warc.read_archives(spark, f"{folder}/archives")).collect()}
+    digest = hashlib.sha256(long.encode()).hexdigest()
+    assert got[1] == (9_000_000, digest, "response", None) and got[2] == (9_000_000, digest, "revisit", 1) and got[3][:1] == (9_000_001,) and got[3][2] == "response"
+
+
 def test_records_of_plain_archives():
     import gzip
 
