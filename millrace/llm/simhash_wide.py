@@ -330,12 +330,12 @@ def large_links(members: DataFrame, sizes: DataFrame, bits: int, similarity: flo
     medoids = dealt.repartition("block", "part").sortWithinPartitions("block", "part").mapInArrow(trimmed(_by_group(["block", "part"], _medoid(width))), f"apart long, {MEMBER}")
     best = written(medoids.groupBy("block").agg(F.min(F.struct("apart", "id", "code", "value")).alias("c")), "centres")
     centres = best.select("block", F.col("c.id").alias("centre"), F.col("c.code").alias("centre_code"), F.col("c.value").alias("centre_value"))
-    told = written(members.join(small_side(centres, 2_000), "block").mapInArrow(trimmed(_near_centre(bits, similarity)), "block long, id long, centre long, near boolean"), "near-centres")
+    told = written(members.join(small_side(centres, 200), "block").mapInArrow(trimmed(_near_centre(bits, similarity)), "block long, id long, centre long, near boolean"), "near-centres")
     links = told.where("near AND id <> centre").select(F.greatest("id", "centre").alias("a"), F.least("id", "centre").alias("b"))
 
     apart = told.where("NOT near").select("block", "id")
     counts = small_side(written(apart.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("own_parts")), "apart-blocks"))
-    left = members.join(small_side(apart, BROADCAST_NUMBERS), ["block", "id"], "left_semi").join(counts, "block").join(sizes, "block")
+    left = members.join(small_side(apart, BROADCAST_NUMBERS // 2), ["block", "id"], "left_semi").join(counts, "block").join(sizes, "block")
     left = left.withColumn("own_part", F.pmod(F.xxhash64("id"), F.col("own_parts")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("left", F.lit(True))
     right = dealt.join(counts, "block").withColumn("own_part", F.explode(F.sequence(F.lit(0), F.col("own_parts") - 1))).withColumn("left", F.lit(False))
     columns = ["block", "own_part", "part", "left", "id", "code", "value"]
