@@ -42,7 +42,9 @@ LIST, TILE, TILE_BYTES = 1024, 256, 64 << 20
 #: 64-bit words of the fingerprint that the lists carry; standard deviations above the mean of differing bits.
 CARRIED, MARGIN = 2, 4
 _SEEDS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
-_PAIRS = np.array([(g + a, g + b) for g in range(0, POSITIONS, GROUP) for a, b in combinations(range(GROUP), SHARED)])
+_CHOICES = np.array([[g + p for p in chosen] for g in range(0, POSITIONS, GROUP) for chosen in combinations(range(GROUP), SHARED)])
+#: Keys hold a choice of positions and the bytes there. Three shared bytes, for far more texts, need longer ones.
+_KEY, _KEY_TYPE = ("int", np.int32) if SHARED < 3 else ("long", np.int64)
 MEMBER = "block long, id long, code binary, value binary"
 
 
@@ -129,19 +131,21 @@ def _sets(size: int):
 
 
 def index_keys(code: np.ndarray) -> np.ndarray:
-    """(texts, pairs) keys: the pair of positions and the bytes there."""
-    a, b = _PAIRS[:, 0], _PAIRS[:, 1]
-    return (np.arange(len(_PAIRS), dtype=np.int32) << 16) | (code[:, a].astype(np.int32) << 8) | code[:, b]
+    """(texts, choices) keys: the choice of positions and the bytes there."""
+    keys = np.broadcast_to(np.arange(len(_CHOICES), dtype=_KEY_TYPE), (len(code), len(_CHOICES)))
+    for k in range(SHARED):
+        keys = (keys << 8) | code[:, _CHOICES[:, k]]
+    return keys
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each text and pair of positions of a group."""
+    """A row for each text and choice of positions of a group."""
     for batch in batches:
         if not batch.num_rows:
             continue
         code = np.frombuffer(b"".join(batch.column("code").to_pylist()), np.uint8).reshape(batch.num_rows, POSITIONS)
-        words = np.repeat(np.ascontiguousarray(code[:, : 8 * CARRIED]).view(np.int64), len(_PAIRS), axis=0)
-        columns = {"key": index_keys(code).reshape(-1), "id": np.repeat(batch.column("id").to_numpy(), len(_PAIRS))}
+        words = np.repeat(np.ascontiguousarray(code[:, : 8 * CARRIED]).view(np.int64), len(_CHOICES), axis=0)
+        columns = {"key": index_keys(code).reshape(-1), "id": np.repeat(batch.column("id").to_numpy(), len(_CHOICES))}
         yield pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in (columns | {f"w{k}": np.ascontiguousarray(words[:, k]) for k in range(CARRIED)}).items()})
 
 
@@ -156,7 +160,7 @@ def _told(ids: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _lists(bits: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by key; a list that a batch cuts is carried over. A list of more than `most` gives its key alone (b is null)."""
-        keys, ids, codes = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros((0, CARRIED), np.uint64)
+        keys, ids, codes = np.zeros(0, _KEY_TYPE), np.zeros(0, np.int64), np.zeros((0, CARRIED), np.uint64)
         passed = None  # the key of a long list that has been told of
 
         def linked(keys, ids, codes):
@@ -348,10 +352,10 @@ def large_links(members: DataFrame, sizes: DataFrame, bits: int, similarity: flo
 
 def candidate_blocks(classes: DataFrame, similarity: float) -> DataFrame:
     """(id, block) of the texts (id, code) that lists link, the block being its smallest id."""
-    schema = ", ".join(["key int", "id long", *[f"w{k} long" for k in range(CARRIED)]])
+    schema = ", ".join([f"key {_KEY}", "id long", *[f"w{k} long" for k in range(CARRIED)]])
     index, bits = classes.select("id", "code").mapInArrow(trimmed(_index), schema), most_bits(similarity)
     links = written(index.repartition("key").sortWithinPartitions("key", "id").mapInArrow(trimmed(_lists(bits, LIST)), "a long, b long"), "list-links")
-    hot = written(links.where("b IS NULL").select(F.col("a").cast("int").alias("key")).distinct(), "long-lists")
+    hot = written(links.where("b IS NULL").select(F.col("a").cast(_KEY).alias("key")).distinct(), "long-lists")
     found = links.where("b IS NOT NULL")
     if hot.limit(1).count():
         carried = F.concat(*[F.unhex(F.lpad(F.hex(f"w{k}"), 16, "0")) for k in range(CARRIED)])
