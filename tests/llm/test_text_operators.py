@@ -181,10 +181,10 @@ def test_projected_windows_are_those_of_brute_force(monkeypatch):
         for a, n in zip(begin.tolist(), sizes):
             for s in range(a, a + max(1, -(-(n - wide) // step) * step + 1), step):
                 e = min(s + wide, a + n)
-                x = (idf[decontaminate.bucket_of(h[s:e])][:, None] * space[decontaminate.bucket_of(h[s:e]) >> 3]).sum(axis=0)
+                x = (idf[decontaminate.bucket_of(h[s:e])][:, None] * space[decontaminate.bucket_of(h[s:e]) >> decontaminate.WIDER]).sum(axis=0)
                 for k in own:
                     b = decontaminate.bucket_of(passages.words[k])
-                    q = (idf[b][:, None] * space[b >> 3]).sum(axis=0)
+                    q = (idf[b][:, None] * space[b >> decontaminate.WIDER]).sum(axis=0)
                     want[s, e, k] = x @ q / np.linalg.norm(x) / np.linalg.norm(q)
     assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-4 for k in want)
 
