@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import chat_format, decontaminate, exact_dedup, html_extract, license_scan, rolling_features, sentencepiece_codec, simhash_dedup, token_output, toxicity, warc
+from millrace.llm import chat_format, decontaminate, exact_dedup, hard_negatives, html_extract, language_id, license_scan, rolling_features, sentencepiece_codec, simhash_dedup, token_output, toxicity, warc
 from millrace.llm.common import table
 
 
@@ -26,9 +26,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontamination": decontaminate.query,
         "op9_license_scan": license_scan.query,
         "op10_chat_format": chat_format.query,
+        "op11_hard_negatives": hard_negatives.query,
+        "op12_language_id": language_id.query,
         "op13_rolling_features": rolling_features.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.ORACLE, "op5_warc": warc.ORACLE, "op10_chat_format": chat_format.ORACLE, "op13_rolling_features": rolling_features.ORACLE}
+    return {"op1_exact_dedup": exact_dedup.ORACLE, "op5_warc": warc.ORACLE, "op10_chat_format": chat_format.ORACLE, "op11_hard_negatives": hard_negatives.ORACLE, "op13_rolling_features": rolling_features.ORACLE}
