@@ -14,10 +14,17 @@ def upsert(base: DataFrame, changes: DataFrame, keys: list[str], version: str) -
     return latest.select(*keys, "_row.*").select(*base.columns)
 
 
-def update(base: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
-    """base with the non-null fields of the changes to its keys; other keys are ignored."""
-    fields = [c for c in changes.columns if c not in keys]
-    new = changes.select(*keys, *[F.col(c).alias(f"_{c}") for c in fields])
+def update(base: DataFrame, changes: DataFrame, keys: list[str], version: str | None = None) -> DataFrame:
+    """base with the non-null fields of the changes to its keys; other keys are ignored.
+
+    Of several changes to a key the one with the latest version counts; without a version they are an error.
+    """
+    fields = [c for c in changes.columns if c not in (*keys, version)]
+    if version:
+        best = F.max(F.struct(version, *fields))
+    else:
+        best = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit("more than one change to a key"))).otherwise(F.max(F.struct(*fields)))
+    new = changes.groupBy(*keys).agg(best.alias("_row")).select(*keys, *[F.col(f"_row.{c}").alias(f"_{c}") for c in fields])
     out = base.join(new, keys, "left")
     return out.select(*[F.coalesce(F.col(f"_{c}"), F.col(c)).alias(c) if c in fields else F.col(c) for c in base.columns])
 
