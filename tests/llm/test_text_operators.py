@@ -328,3 +328,22 @@ def test_windows_against_all_runs_of_pieces():
         assert round(got, 9) == (round(want, 9) if want >= 0.8 else 0)
     assert hits
     assert set(matcher.scan(strings(pa.array(["\n\n".join([own[0][1]] * 400)])))) == {(0, "MIT")}
+
+
+def test_verbatim_copies_of_any_length(spark):
+    """Pieces of 5 to 64 words of real texts, put whole into other texts, at their edges and among repeats of one word; none is lost."""
+    texts = [r.text.split() for r in table(spark, "/root/testdata/sf0.1", "documents").where("lang <> 'de'").orderBy("doc_id").limit(3000).collect()]
+    texts = [t for t in texts if len(t) >= 160]
+    rng, items, docs = random.Random(8), [], []
+    for k in range(360):
+        t, size = texts[rng.randrange(len(texts))], (5, 6, 7, 8, 9, 12, 16, 17, 24, 33, 48, 64)[k % 12]
+        at = rng.randrange(len(t) - size)
+        piece = t[at : at + size]
+        other = texts[rng.randrange(len(texts))][: rng.choice([0, 20, 90])]
+        junk = ["again"] * rng.choice([0, 0, 80])
+        items.append((k, " ".join(piece)))
+        docs.append((k, " ".join([*other, *junk, *piece, *junk, *other[: rng.choice([0, 30])]])))
+    found = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    words = {k: [w for w in re.findall(r"[^\W_]+|[^\x00-\x7f]+", t)] for k, t in items}
+    assert {(k, k) for k, w in words.items() if w} <= {(r.doc_id, r.item_id) for r in found}
+    assert all(r.lcs == 1.0 for r in found if r.doc_id == r.item_id)
