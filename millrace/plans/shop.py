@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators import merge
 from millrace.plans.registry import register
 from millrace.session import scratch
+from millrace.sources import frames
 from millrace.sources.readers import table
+from millrace.streaming import chat, feed, finalise, retention
 
 _STATE = ["client_id", "source", "segment", "city", "balance", "gone", "seq", "change_id"]
 
@@ -48,3 +52,62 @@ def merge_touched_days(spark: SparkSession, d: str) -> DataFrame:
     shipped = table(spark, d, "sale_lines").where("shipped_at >= timestamp_ntz'2024-04-20'").select("sale_id", F.lit("shipped").alias("status"), F.lit(1).alias("version")).where("sale_id IS NOT NULL")
     merge.merge(spark, path, shipped, ["sale_id"], ["version"], "day", insert=False, patch=True)
     return spark.read.schema(sales.schema).parquet(path).select("sale_id", "client_id", "status", "total")
+
+
+_TOKENS = "CAST(len(regexp_extract_all(answer_text, '[A-Za-z0-9]+|[^A-Za-z0-9 \\t\\r\\n]')) AS INT)"
+
+
+@register(
+    f"""WITH m AS (SELECT conv_id * 1000 + turn AS id, text AS answer_text, len(string_split(text, ' ')) AS n, turn % 5 = 4 AS cut FROM conversations),
+    r AS (SELECT id, answer_text, {_TOKENS} AS answer_tokens, round(((n - CASE WHEN cut THEN 1 ELSE 0 END) * 50) / 1000.0, 3) AS run_time, CASE WHEN cut THEN 'cut' ELSE 'done' END AS status FROM m)
+    SELECT id, answer_text, answer_tokens, CAST(run_time AS DOUBLE) AS run_time, status, '{{"chat_step":{{"run_time":' || CAST(CAST(run_time AS DOUBLE) AS VARCHAR) || ',"answer_tokens":' || answer_tokens || ',"step_type":"chat_step"}}}}' AS details FROM r"""
+)
+def chat_finalise_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Answers arrive word by word in three steps, out of order; the stream completes their records as they end, and those that never end once they have been idle for ten minutes."""
+    c = table(spark, d, "conversations").withColumn("message_id", F.expr("conv_id * 1000 + turn")).withColumn("start", F.expr("1700000000000 + (conv_id % 1000) * 10"))
+    words = c.select("message_id", "start", F.posexplode(F.split("text", " ")).alias("k", "w"))
+    moment = lambda k: F.timestamp_millis(F.col("start") + k * 50)
+    chunks = words.select("message_id", F.col("k").cast("long").alias("seq"), F.concat(F.when(F.col("k") > 0, " ").otherwise(""), "w").alias("delta"), F.lit(False).alias("is_end"), moment(F.col("k")).alias("at"), (F.col("k") % 2).alias("step"))
+    n = F.size(F.split("text", " "))
+    ends = c.where("turn % 5 <> 4").select("message_id", n.cast("long").alias("seq"), F.lit("").alias("delta"), F.lit(True).alias("is_end"), moment(n).alias("at"), F.lit(1).alias("step"))
+    clock = spark.range(1).select(F.lit(-1).cast("long").alias("message_id"), F.lit(0).cast("long").alias("seq"), F.lit("").alias("delta"), F.lit(False).alias("is_end"), F.timestamp_millis(F.lit(1800000000000)).alias("at"), F.lit(2).alias("step"))
+    records, work = scratch(spark, "chat-records"), scratch(spark, "chat-finalise")
+    first = c.select(F.col("message_id").alias("id"), *[F.lit(None).cast(t).alias(x) for x, t in (("answer_text", "string"), ("answer_tokens", "int"), ("run_time", "double"), ("details", "string"))], F.lit("open").alias("status"), F.lit(0).cast("long").alias("version")).withColumn("part", merge.key_bucket("id", buckets=8))
+    merge.create(first, records, "part")
+    feed.in_steps(chunks.unionByName(ends).unionByName(clock), "step", [0, 1, 2], f"{work}/chunks", lambda s: finalise.run_finalise(s, records, work))
+    return spark.read.schema(finalise.RECORD).parquet(records).select("id", "answer_text", "answer_tokens", "run_time", "status", "details")
+
+
+_STEPS, _DAYS = 5, 25
+
+
+@register(
+    f"""WITH c AS (SELECT click_id, ts, client_id, kind, least({_STEPS - 1}, greatest(0, (epoch(arrived_at) - epoch(TIMESTAMP '2024-01-01')) // ({_DAYS} * 86400))) AS step FROM clicks WHERE ts IS NOT NULL),
+    w AS (SELECT step, epoch_ms(max(ts)) AS newest FROM c GROUP BY 1),
+    a AS (SELECT DISTINCT click_id, ts, client_id, kind FROM c WHERE epoch_us(ts) > 1000 * coalesce((SELECT max(newest) FROM w WHERE w.step < c.step) - 86400000, -1000000000000))
+    SELECT * FROM a WHERE ts >= (SELECT max(ts) FROM a) - INTERVAL 20 DAY"""
+)
+def retention_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Clicks arrive in five steps, repeated and late ones among them. The stream admits each once, unless it is over a day late, and a table in days keeps the last twenty days."""
+    arrival = F.expr("unix_seconds(CAST(arrived_at AS TIMESTAMP)) - unix_seconds(timestamp'2024-01-01')")
+    step = F.least(F.lit(_STEPS - 1), F.greatest(F.lit(0), F.floor(arrival / (_DAYS * 86400)))).cast("int")
+    clicks = table(spark, d, "clicks").withColumn("step", step).select("click_id", F.col("ts").cast("timestamp").alias("ts"), "client_id", "kind", "step")
+    path, work, keep = scratch(spark, "live-clicks"), scratch(spark, "retention"), timedelta(days=20)
+    feed.in_steps(clicks, "step", list(range(_STEPS)), f"{work}/arrived", lambda s: retention.run_retention(s, path, work, "click_id", "ts", keep, "1 day"))
+    live = retention.live(spark, path, "click_id bigint, ts timestamp, client_id bigint, kind string", "ts", keep)
+    return live.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@register("SELECT conv_id, turn, 'event: message' || chr(10) || 'data: ' || replace(text, chr(10), chr(10) || 'data: ') || chr(10) || chr(10) AS frame FROM conversations")
+def sse_sink_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Answers that arrive in two steps are pushed to an event sink as a stream, and read back from what it committed."""
+    frames.register(spark)
+    path, work = scratch(spark, "frames"), scratch(spark, "frames-work")
+    rows = table(spark, d, "conversations").withColumn("step", F.coalesce(F.pmod("turn", F.lit(2)), F.lit(0)).cast("int"))
+
+    def push(s: DataFrame):
+        told = s.select("conv_id", "turn", chat.frames(F.lit("message"), F.col("text")).alias("frame"))
+        return feed.run_once(told.writeStream.format(frames.NAME), f"{work}/checkpoint", path)
+
+    feed.in_steps(rows, "step", [0, 1], f"{work}/arrived", push)
+    return frames.read(spark, path, "conv_id long, turn long, frame string")

@@ -94,14 +94,20 @@ def finalise(folded: DataFrame) -> DataFrame:
     return folded.withColumn("answer_tokens", token_estimate(F.col("answer_text")))
 
 
+def record_fields(finished: DataFrame) -> DataFrame:
+    """finished (id, answer_text, message_tokens, began, ended) with answer_tokens, run_time in seconds, and details: the answer step as JSON."""
+    f = finished.withColumn("run_time", F.round((F.unix_millis("ended") - F.unix_millis("began")) / 1000.0, 3)).withColumn("answer_tokens", token_estimate(F.col("answer_text")))
+    step = F.to_json(F.struct(F.struct("run_time", "answer_tokens", "message_tokens", F.lit("chat_step").alias("step_type")).alias("chat_step")))
+    return f.withColumn("details", step)
+
+
 def complete(records: DataFrame, finished: DataFrame) -> DataFrame:
     """records (id, answer_text, answer_tokens, message_tokens, run_time, details, version) with the finished messages' fields (id, answer_text, message_tokens, began, ended).
 
-    run_time is in seconds, details the answer step as JSON; a message without a record gets one.
+    A message without a record gets one.
     """
-    f = finished.withColumn("run_time", F.round((F.unix_millis("ended") - F.unix_millis("began")) / 1000.0, 3)).withColumn("answer_tokens", token_estimate(F.col("answer_text")))
-    step = F.to_json(F.struct(F.struct("run_time", "answer_tokens", "message_tokens", F.lit("chat_step").alias("step_type")).alias("chat_step")))
-    return dml.upsert(records, f.select("id", "answer_text", "answer_tokens", "message_tokens", "run_time", step.alias("details"), F.lit(1).alias("version")), ["id"], "version")
+    f = record_fields(finished)
+    return dml.upsert(records, f.select("id", "answer_text", "answer_tokens", "message_tokens", "run_time", "details", F.lit(1).alias("version")), ["id"], "version")
 
 
 class Registry:
