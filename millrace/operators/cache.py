@@ -37,37 +37,62 @@ def hashing_vector(text: Column, width: int = 32) -> Column:
 TRIES = 3
 
 
-def tried(call: Callable[[list[str]], list], texts: list[str], tries: int = TRIES, wait: float = 0.0) -> list:
-    """call's answers for a batch of texts; after `tries` failures none has one."""
+def attempted(call: Callable[[list[str]], list], texts: list[str], tries: int = TRIES, wait: float = 0.0) -> tuple[list, str | None]:
+    """(call's answers for a batch of texts, None); after `tries` failures (no answers, the cause of the last one)."""
+    cause = None
     for k in range(tries):
         try:
             answers = list(call(texts))
             if len(answers) != len(texts):
                 raise ValueError(f"{len(answers)} answers for {len(texts)} texts")
-            return answers
-        except Exception:
+            return answers, None
+        except Exception as e:  # whatever an injected service raises is told to the caller
+            cause = f"{type(e).__name__}: {e}"
             if wait and k + 1 < tries:
                 time.sleep(wait * 2**k)
-    return [None] * len(texts)
+    return [None] * len(texts), cause
 
 
-def model_call(text: Column | str, call: Callable[[list[str]], list], kind: T.DataType, tries: int = TRIES, at_once: int = 256, wait: float = 0.0) -> Column:
-    """A column of a model's answers (vectors, summaries, rankings): the injected service is called in the executors with lists of at most at_once texts.
+def tried(call: Callable[[list[str]], list], texts: list[str], tries: int = TRIES, wait: float = 0.0) -> list:
+    """call's answers for a batch of texts; after `tries` failures none has one."""
+    return attempted(call, texts, tries, wait)[0]
+
 
-    A batch that fails is tried `tries` times; then its rows are null. Null texts are not sent.
+def model_result(text: Column | str, call: Callable[[list[str]], list], kind: T.DataType, tries: int = TRIES, at_once: int = 256, wait: float = 0.0, halve: bool = True) -> Column:
+    """A column {answer, error} of a model's answers (vectors, summaries, rankings): the injected service is called in the executors with lists of at most at_once texts.
+
+    A batch that fails is tried `tries` times. Then its halves are, and so on, so that a text that the service refuses
+    doesn't spoil its neighbours; without `halve` all of the batch has failed. What fails has no answer, and the cause as its
+    error. Null texts are not sent.
     """
     reachable(SparkSession.active())
+    result = T.StructType([T.StructField("answer", kind), T.StructField("error", T.StringType())])
 
     def run(a: pa.Array) -> pa.Array:
-        own, out = a.to_pylist(), [None] * len(a)
+        own, out = a.to_pylist(), [{"answer": None, "error": None}] * len(a)
         sent = [k for k, x in enumerate(own) if x is not None]
-        for at in range(0, len(sent), at_once):
-            part = sent[at : at + at_once]
-            for k, answer in zip(part, tried(call, [own[k] for k in part], tries, wait)):
-                out[k] = answer
-        return pa.array(out, _arrow(kind))
+        parts = [sent[at : at + at_once] for at in range(0, len(sent), at_once)]
+        while parts:
+            part = parts.pop()
+            answers, cause = attempted(call, [own[k] for k in part], tries, wait)
+            if cause and halve and len(part) > 1:
+                parts += [part[: len(part) // 2], part[len(part) // 2 :]]
+                continue
+            for k, answer in zip(part, answers):
+                out[k] = {"answer": answer, "error": cause}
+        return pa.array(out, _arrow(result))
+
+    return F.arrow_udf(run, result)(text)
+
+
+def model_call(text: Column | str, call: Callable[[list[str]], list], kind: T.DataType, tries: int = TRIES, at_once: int = 256, wait: float = 0.0) -> Column:
+    """The answers of model_result alone; null where there is none."""
+    return model_result(text, call, kind, tries, at_once, wait, halve=False)["answer"]
+
 
-    return F.arrow_udf(run, kind)(text)
+def keyed(texts: DataFrame) -> DataFrame:
+    """texts (text, model) with their key in the cache; null texts have none and are left out."""
+    return texts.where("text IS NOT NULL").select(F.md5("text").alias("md5"), "model", "text")
 
 
 def _arrow(kind: T.DataType) -> pa.DataType:

@@ -54,6 +54,14 @@ def create(df: DataFrame, path: str, partition: str) -> None:
     df.write.partitionBy(partition).parquet(path)
 
 
+def stored(spark: SparkSession, path: str, otherwise) -> DataFrame:
+    """The table at path; one that has no rows yet has the schema `otherwise`."""
+    files = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/*=*")
+    if not list(files.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(files) or []):
+        return spark.createDataFrame([], otherwise)
+    return spark.read.parquet(path)
+
+
 def _replace(df: DataFrame, path: str, partition: str) -> None:
     """One file or a few for each partition that df has, in one commit."""
     df.repartition(partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
@@ -80,7 +88,7 @@ def merge(spark: SparkSession, path: str, changes: DataFrame, keys: list[str], v
     insert: changes to keys that aren't stored add rows, or else they are ignored. patch: null fields leave what is stored,
     as do columns that the changes don't have; those are null in added rows.
     """
-    base = spark.read.parquet(path)
+    base = stored(spark, path, changes.schema)
     missing = [c for c in base.columns if c not in changes.columns]
     if missing and (not patch or set(missing) & {*keys, *version} or insert and partition in missing):
         raise ValueError(f"changes lack {missing}")
@@ -112,7 +120,7 @@ def merge(spark: SparkSession, path: str, changes: DataFrame, keys: list[str], v
 
 def remove(spark: SparkSession, path: str, gone: DataFrame, keys: list[str], partition: str) -> Merged:
     """Takes the rows with the keys of `gone` out of the table at path. A partition that has no rows left goes; doing it twice changes nothing."""
-    base = spark.read.parquet(path)
+    base = stored(spark, path, gone.select(*keys).withColumn(partition, F.lit(None)).schema)
     gone = gone.select(*keys).distinct()
     values = _touched(base, gone, keys, partition, False)
     if not values:

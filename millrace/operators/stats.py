@@ -43,3 +43,23 @@ def existence(rows: DataFrame, others: DataFrame, on: list[str], name: str) -> D
     """rows and whether others have their key."""
     keys = others.select(*on).distinct().withColumn(name, F.lit(True))
     return rows.join(keys, on, "left").withColumn(name, F.coalesce(name, F.lit(False)))
+
+
+def day_bitmaps(events: DataFrame, day: Column, user: str) -> DataFrame:
+    """Who was there, as bitmaps: day, bucket, bits. Counts of distinct users can be added up from them over days and increments, without the events."""
+    own = events.where(F.col(user).isNotNull()).select(day.alias("day"), F.bitmap_bucket_number(user).alias("bucket"), F.bitmap_bit_position(user).alias("bit"))
+    return own.groupBy("day", "bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+
+
+def merged_bitmaps(*parts: DataFrame) -> DataFrame:
+    """The bitmaps of several increments as one: a day's late events don't need its earlier ones."""
+    both = parts[0]
+    for p in parts[1:]:
+        both = both.unionByName(p)
+    return both.groupBy("day", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+
+
+def distinct_users(bitmaps: DataFrame, period: Column, name: str = "period") -> DataFrame:
+    """Exact distinct users of each period (a day, a week, all) from the days' bitmaps."""
+    wide = bitmaps.groupBy(period.alias(name), "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+    return wide.groupBy(name).agg(F.sum(F.bitmap_count("bits")).alias("users"))

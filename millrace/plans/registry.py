@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-MODULES = ("retrieval", "relational", "text", "tables", "statistics", "extras", "shop")
+MODULES = ("retrieval", "relational", "text", "tables", "statistics", "extras", "shop", "layout")
 
 
 def register(sql: str | None = None) -> Callable[[Query], Query]:

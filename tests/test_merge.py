@@ -107,3 +107,13 @@ def test_update_with_repeated_changes(spark):
     assert sorted(map(tuple, got.collect()), key=repr) == sorted([(1, "x", 1), (2, "b", 1), (None, "n", 1)], key=repr)
     with pytest.raises(Exception, match="more than one change"):
         dml.update(base, twice.drop("at"), ["id"]).collect()
+
+
+def test_a_table_without_rows(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    none = spark.createDataFrame([], SCHEMA)
+    merge.create(none, path, "day")
+    assert merge.remove(spark, path, spark.createDataFrame([(1,)], "id long"), ["id"], "day") == merge.Merged([], 0)
+    merge.merge(spark, path, none, ["id"], ["version"], "day")
+    merge.merge(spark, path, spark.createDataFrame([(1, "d1", 1, "x", 1), (2, "d2", 2, "y", 1)], SCHEMA), ["id"], ["version"], "day")
+    assert rows(spark, path) == [(1, "d1", 1, "x", 1), (2, "d2", 2, "y", 1)]
