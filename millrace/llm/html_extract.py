@@ -4,11 +4,14 @@ Each page scores its containers and votes for their generalised paths (tags with
 votes are summed for each host in Spark; each page is then extracted again from the elements at its host's winning
 path, or from its own best container where it has none there. A path is known by a hash of its tags and classes.
 
-Left out are elements that are never main text by their tag (menus, asides, footers, forms; headers outside the
-article), and block containers whose class, role or id is made of words for such parts alone: "cookie-notice" is,
-"subscriber-content" and "related-work" aren't. Inside an article ids are slugs of its headings, and only those of
-reader comments count. Headings, paragraphs, list items, cells and inline elements are never left out by a name.
-Scripts, styles, comments and what browsers don't show of embedded elements are markup.
+Left out are elements that are never main text by their tag (menus, asides, footers; headers outside the article and
+outside containers that are named as one), and block containers whose class, role or id is made of words for such parts
+alone: "cookie-notice" is, "subscriber-content" and "related-work" aren't. Inside an article ids are slugs of its headings,
+and only those of reader comments count; so do words that articles use of their own parts ("discussion", "responses",
+"dialog") only beside words for readers. Paragraphs, list items and spans go where they are named as adverts, notices,
+invitations to subscribe or share, or comments; headings and cells never go by a name. A form goes, unless it only
+wraps the page: it holds an article, or most of the page's text and far more text than controls. Scripts, styles,
+comments and what browsers don't show of embedded elements are markup.
 
 Null html is empty and gives an empty text; a null or odd url belongs to the host ''. Rows repeat as they are given,
 ties between paths go to the greater hash, null page_ids are kept, other columns are not read; an empty table gives an
@@ -21,6 +24,7 @@ import html as entities
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
@@ -44,8 +48,22 @@ SCOPE = frozenset("ul ol dl table article section div body html main aside nav t
 KIND = {"p": 0, "li": 1, "dt": 2, "dd": 2, "td": 3, "th": 3, "tr": 4, "option": 5}
 CONTAINER = frozenset("html body main article section div td blockquote center".split())
 #: Elements that are never main text, and block containers that may be left out by their names.
-OUT_TAGS = frozenset("nav aside footer form head button dialog menu template select canvas audio video datalist".split())
+OUT_TAGS = frozenset("nav aside footer head button dialog menu template select canvas audio video datalist".split())
 NAMED = frozenset("div section ul ol dl table header figure fieldset details center".split())
+#: Elements that may be left out by names of adverts and the like, and the words of these.
+SMALL = frozenset("p li span dt dd small".split())
+SMALL_WORDS = frozenset(
+    """ad ads adv advert adverts advertisement advertisements advertising adbox adslot adsense sponsor sponsors sponsored promo promos promotion promotions cookie cookies consent gdpr notice notices newsletter newsletters
+    subscribe subscription signup popup popups share sharing sharebar comment comments disqus""".split()
+)
+#: Words that articles use of parts of their own, and words beside which they are about readers.
+OWN_WORDS = frozenset("discussion discussions responses dialog".split())
+OF_READERS = frozenset("reader readers user users thread".split())
+#: Containers that are named as an article, whose headers hold its title.
+ARTICLE_WORDS, ARTICLE_NEUTRAL = frozenset("article post entry story".split()), frozenset("article post entry story content body single blog main text item full detail".split())
+CONTROLS = frozenset("input select button".split())
+#: A form wraps the page if it has this share of its text, and so many characters for each control that shows.
+WRAPS, TEXT_OF_CONTROL = 0.5, 80
 NEVER_OUT = frozenset("html body main article".split())
 OUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar note".split())
 #: Words for parts that are not main text, and words that may stand beside them in a name without making it another.
@@ -65,38 +83,58 @@ COMMENT_IDS = frozenset("comments comment-list commentlist comments-area comment
 IN_WORDS = re.compile(r"(?:^|[^a-z])(?:article|post|entry|content|story|main|text|body)(?![a-z])")
 BONUS = {"article": 3.0, "main": 2.0, "body": 0.6, "html": 0.5, "": 0.4}
 _SPLIT = re.compile(r"[-_:]+|(?<=[a-z])(?=[A-Z])|(?<=\d)(?=\D)|(?<=\D)(?=\d)")
-_OUT_NAMES: dict[str, bool] = {}
+_OUT_NAMES: dict[tuple[str, bool], bool] = {}
+
+
+def _words(name: str) -> list[str]:
+    return [w.lower() for w in _SPLIT.split(name) if len(w) > 1 and not w.isdigit()]
 
 
-def out_name(name: str) -> bool:
+def out_name(name: str, in_article: bool = False) -> bool:
     """Whether a class or an id is made of words for parts that are not main text, and neutral ones."""
-    known = _OUT_NAMES.get(name)
+    known = _OUT_NAMES.get((name, in_article))
     if known is None:
         if len(_OUT_NAMES) > 100_000:
             _OUT_NAMES.clear()
-        parts = [w.lower() for w in _SPLIT.split(name) if len(w) > 1 and not w.isdigit()] if len(name) <= 200 else []
+        parts = _words(name)
         telling = [w for w in parts if w in OUT_WORDS]
         known = bool(telling) and all(w in OUT_WORDS or w in NEUTRAL_WORDS for w in parts) and not (set(telling) <= NOT_ALONE and not set(parts) & {"site", "page", "main", "top", "global"})
-        _OUT_NAMES[name] = known
+        known = known and not (in_article and set(telling) <= OWN_WORDS and not set(parts) & OF_READERS)
+        if len(name) <= 200:
+            _OUT_NAMES[name, in_article] = known
     return known
 
 
-_ELEMENTS: dict[tuple[str, str], tuple[str, bool, bool, bool]] = {}
+def article_name(name: str) -> bool:
+    parts = set(_words(name))
+    return bool(parts & ARTICLE_WORDS) and parts <= ARTICLE_NEUTRAL
+
+
+def small_name(name: str) -> bool:
+    """Whether the class of a paragraph or the like is that of an advert, a notice, an invitation or a comment."""
+    parts = _words(name)
+    return any(w in SMALL_WORDS for w in parts) and all(w in SMALL_WORDS or w in NEUTRAL_WORDS for w in parts)
+
 
+_ELEMENTS: dict[tuple[str, str], tuple[str, bool, bool, bool, bool]] = {}
 
-def _known(name: str, attributes: str) -> tuple[str, bool, bool, bool]:
-    """(label, whether its names speak for main text, left out outside an article, left out inside one) of an element. Pages repeat their elements, so these are kept."""
+
+def _known(name: str, attributes: str) -> tuple[str, bool, bool, bool, bool]:
+    """(label, whether its names speak for main text, whether it is named as an article, left out outside an article, left out inside one) of an element. Pages repeat their elements, so these are kept."""
     known = _ELEMENTS.get((name, attributes))
     if known is None:
         said = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attributes)} if attributes else {}
         classes, own = said.get("class", "").split(), said.get("id", "").strip()
         outside = inside = name not in NEVER_OUT and name in OUT_TAGS
-        outside = outside or name == "header"
         if said and name in NAMED:
-            both = any(map(out_name, classes)) or said.get("role", "").lower() in OUT_ROLES
-            outside, inside = outside or both or bool(own) and out_name(own), inside or both or own.lower() in COMMENT_IDS
+            role = said.get("role", "").lower() in OUT_ROLES
+            outside = outside or role or any(map(out_name, classes)) or bool(own) and out_name(own)
+            inside = inside or role or any(out_name(c, True) for c in classes) or own.lower() in COMMENT_IDS
+        elif said and name in SMALL:
+            outside = inside = outside or any(map(small_name, classes))
+        article = name in ("div", "section") and any(map(article_name, classes))
         label = ".".join([name, *sorted({re.sub(r"\d+", "#", c.lower()) for c in classes})])
-        known = label, bool(said and IN_WORDS.search(" ".join(said.values()).lower())), outside, inside
+        known = label, bool(said and IN_WORDS.search(" ".join(said.values()).lower())), article, outside, inside
         if len(attributes) <= 500:
             if len(_ELEMENTS) > 50_000:
                 _ELEMENTS.clear()
@@ -111,8 +149,10 @@ class Page:
         self.tag, self.path, self.parent, self.out, self.end, self.good = [""], [0], [-1], [False], [0], [False]
         self.items: list[tuple[int, str | None]] = []  # (element, text), or None at a block's edge
         self.literal: set[int] = set()  # items whose references are not decoded
-        # Beside each open element: whether it lies in an article, and the places of the open elements of each kind in its scope.
-        self.stack, self.main, self.kinds, self.open = [0], [False], [(0,) * 6], Counter()
+        self.forms: list[int] = []
+        self.controls: list[int] = []  # the elements that controls stand in
+        # Beside each open element: whether it lies in an article, whether in a container named as one, and the places of the open elements of each kind in its scope.
+        self.stack, self.main, self.named, self.kinds, self.open = [0], [False], [False], [(0,) * 6], Counter()
         at, last = 0, html.rfind(">") + 1
         html = html[:last] + re.sub(r"<(?!!--)", "&lt;", html[last:])  # no tag ends there
         for m in TOKEN.finditer(html):
@@ -142,13 +182,33 @@ class Page:
             self.items.append((self.stack[-1], html[at:]))
         self._close(1)
         self.end[0] = len(self.tag)
+        if self.forms:
+            self._leave_out_forms()
 
     def _close(self, k: int) -> None:
         """Ends the open elements from the k-th on."""
         for i in self.stack[k:]:
             self.end[i] = len(self.tag)
             self.open[self.tag[i]] -= 1
-        del self.stack[k:], self.main[k:], self.kinds[k:]
+        del self.stack[k:], self.main[k:], self.named[k:], self.kinds[k:]
+
+    def _leave_out_forms(self) -> None:
+        """Forms go, but for those that wrap the page."""
+        n = len(self.tag)
+        chars, controls, articles = [0] * n, [0] * n, [0] * n
+        for i, text in self.items:
+            if text and not self.out[i]:
+                chars[i] += len(text.strip())
+        for i in self.controls:
+            controls[i] += 1
+        for i, name in enumerate(self.tag):
+            articles[i] = name in ("article", "main") and not self.out[i]
+        before, shown, whole = ([0, *accumulate(x)] for x in (chars, controls, articles))
+        for i in self.forms:
+            within = lambda x, i=i: x[self.end[i]] - x[i]
+            size = within(before)
+            if not (within(whole) or size >= WRAPS * before[n] and size >= TEXT_OF_CONTROL * (within(shown) + 1)):
+                self.out[i : self.end[i]] = [True] * (self.end[i] - i)
 
     def _ended(self, kind: int) -> None:
         if k := self.kinds[-1][kind]:
@@ -159,6 +219,8 @@ class Page:
 
     def _open(self, name: str, attributes: str) -> None:
         kind = KIND.get(name)
+        if name in CONTROLS and not (name == "input" and "hidden" in attributes.lower()):
+            self.controls.append(self.stack[-1])
         if name in BLOCK:  # a block ends an open paragraph
             self._ended(0)
         if kind:
@@ -167,7 +229,9 @@ class Page:
             self.items.append((self.stack[-1], None if name == "hr" else " "))
             return
         top, in_main = self.stack[-1], self.main[-1]
-        label, good, *out = _known(name, attributes)
+        label, good, article, *out = _known(name, attributes)
+        if name == "header" and not in_main and not self.named[-1]:
+            out = [True, True]
         self.tag.append(name)
         self.path.append(xxhash.xxh64_intdigest(label, self.path[top]))
         self.parent.append(top)
@@ -177,6 +241,9 @@ class Page:
         place = len(self.stack)
         self.stack.append(len(self.tag) - 1)
         self.main.append(in_main or name in ("article", "main"))
+        self.named.append(self.named[-1] or article)
+        if name == "form" and not self.out[-1]:
+            self.forms.append(len(self.tag) - 1)
         self.open[name] += 1
         kinds = self.kinds[-1]
         if name in SCOPE:

@@ -225,6 +225,25 @@ def test_what_goes_and_what_stays_inside_an_article(inside, want):
         assert got == "\n".join(filter(None, ["Title", FILL.strip(), want]))
 
 
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ('<form id="aspnetForm"><input type="hidden" value="x"><div class="top"><a href="/">Home</a></div><div id="c"><h1>Title</h1><p>{}</p></div><input type="submit"></form>', "Title\n{}"),
+        ('<form><article><h1>Title</h1><p>{}</p></article><select><option>x</select></form>', "Title\n{}"),
+        ('<article><h1>Title</h1><p>{}</p><form><p>Your mail</p><input><button>Go</button></form></article>', "Title\n{}"),
+        ('<body><form class="login"><p>Name</p><input name="a"><p>Password</p><input name="b"></form></body>', ""),
+        ('<article><p>{}</p><section class="discussion"><p>We discuss.</p></section><div class="responses"><p>They answered.</p></div><div class="dialog"><p>Speak, he said.</p></div></article>', "{}\nWe discuss.\nThey answered.\nSpeak, he said."),
+        ('<article><p>{}</p><div class="reader-responses"><p>First!</p></div><section class="comments discussion"><p>Second!</p></section></article>', "{}"),
+        ('<article><p>{}</p><p class="advert">Buy</p><p class="cookie-notice">We use them</p><ul><li class="ad">Now</li><li class="admission">Kept</li></ul><span class="comments">3 comments</span><p class="notice-of-terms">Terms</p></article>', "{}\nKept\nTerms"),
+        ('<header><h1>Site</h1></header><div class="post"><header><h1>Title</h1></header><p>{}</p></div>', "Title\n{}"),
+        ('<div class="post-template"><header>Site</header><div class="entry-content"><p>{}</p></div></div>', "{}"),
+        ('<article><p>{}</p><div class="' + "x" * 250 + ' ad-slot">Buy</div></article>', "{}"),
+    ],
+)
+def test_pages_by_what_is_main_text(page, want):
+    assert extracted(page.replace("{}", FILL)) == want.replace("{}", FILL.strip())
+
+
 def test_names_are_matched_whole():
     assert extracted(f'<div class="article subscriber-content"><p>{FILL}</p></div><div>tail</div>') == FILL.strip()
     for name in ("cookie-notice", "site-header", "related-posts", "commentList", "left_sidebar", "ad-728x90", "newsletter-signup", "skip-link"):
