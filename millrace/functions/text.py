@@ -39,24 +39,46 @@ def token_estimate(c: Column) -> Column:
     return F.size(F.regexp_extract_all(c, F.lit(r"[A-Za-z0-9]+|[^A-Za-z0-9 \t\r\n]"), F.lit(0)))
 
 
-#: Character references and what they stand for, in the order in which they are decoded.
-REFERENCES = (
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#34;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&nbsp;", " "), ("&#160;", " "), ("&copy;", "©"), ("&reg;", "®"), ("&trade;", "™"), ("&middot;", "·"),
-    ("&bull;", "•"), ("&hellip;", "…"), ("&ndash;", "–"), ("&mdash;", "—"), ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"), ("&laquo;", "«"), ("&raquo;", "»"), ("&euro;", "€"), ("&amp;", "&"),
-)
+def references() -> dict[str, str]:
+    """What the named character references of HTML 4 stand for, and the numbers 128 to 159, which browsers read as Windows-1252. A no-break space is a space in visible text."""
+    from html.entities import name2codepoint
+
+    out = {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'"}
+    for code in range(128, 160):
+        out[f"#{code}"] = bytes([code]).decode("cp1252", "replace")
+    return out | {"nbsp": " ", "#160": " "}
+
+
+#: A reference after its ampersand.
+REFERENCE = "^(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,9});"
 
 
 def decoded(c: Column) -> Column:
-    """Common character references decoded, once each."""
-    for name, value in REFERENCES:
-        c = F.replace(c, F.lit(name), F.lit(value))
-    return c
+    """Character references decoded, once each: named ones and any number. What is no reference stays; numbers of no character become U+FFFD. Texts without an ampersand are left as they are."""
+    known = references()
+    values = F.map_from_arrays(F.array(*map(F.lit, known)), F.array(*map(F.lit, known.values())))
+
+    def tail(p: Column) -> Column:
+        name = F.regexp_extract(p, REFERENCE, 1)
+        code = F.when(F.lower(F.substring(name, 1, 2)) == "#x", F.conv(F.substring(name, 3, 6), 16, 10)).when(name.startswith("#"), F.substring(name, 2, 7)).try_cast("long")
+        none = (code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
+        number = F.when(code.isNull(), F.lit(None).cast("string")).when(none, F.lit("\ufffd")).otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        value = F.when(name != "", F.coalesce(F.try_element_at(values, name), number))
+        return F.when(value.isNull(), F.concat(F.lit("&"), p)).otherwise(F.concat(value, F.substr(p, F.length(name) + 2)))
+
+    parts = F.split(c, "&")
+    whole = F.concat(parts[0], F.array_join(F.transform(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), tail), ""))
+    return F.when(F.contains(c, F.lit("&")), whole).otherwise(c)
+
+
+#: What is not visible: scripts, styles, the head, comments, tags. A tag may have quoted values with any character in them; one whose quotes don't match ends at its first angle bracket.
+INVISIBLE = (r"(?s)<script[^>]*>.*?</script>", r"(?s)<style[^>]*>.*?</style>", r"(?s)<head[^>]*>.*?</head>", r"(?s)<!--.*?-->", r"""<[a-zA-Z/!?](?:[^>"']|"[^"]*"|'[^']*')*>""", r"<[a-zA-Z/!?][^>]*>")
 
 
 def html_text(c: Column) -> Column:
     """Visible text of a page's body: no scripts, styles, comments or tags, references decoded, white space as one space."""
-    for pattern in (r"(?s)<script[^>]*>.*?</script>", r"(?s)<style[^>]*>.*?</style>", r"(?s)<head[^>]*>.*?</head>", r"(?s)<!--.*?-->", r"<[^>]*>"):
-        c = F.regexp_replace(c, pattern, " ")
+    for pattern in INVISIBLE:
+        c = F.regexp_replace(c, pattern.replace("""[^>"']|""", """[^>"']++|""").replace(")*>", ")*+>"), " ")  # without going back, and so without a deep stack
     return F.trim(F.regexp_replace(decoded(c), "[ \t\r\n]+", " "))
 
 

@@ -64,15 +64,19 @@ def document_length_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 _HTML = "html"
-for _p in ("(?s)<script[^>]*>.*?</script>", "(?s)<style[^>]*>.*?</style>", "(?s)<head[^>]*>.*?</head>", "(?s)<!--.*?-->", "<[^>]*>"):
-    _HTML = f"regexp_replace({_HTML}, '{_p}', ' ', 'g')"
-
-
-for _name, _value in tx.REFERENCES:
-    _HTML = f"replace({_HTML}, '{_name}', '{_value.replace(chr(39), chr(39) * 2)}')"
-
-
-@register(f"SELECT page_id, trim(regexp_replace({_HTML}, '[ \\t\\r\\n]+', ' ', 'g')) AS text FROM pages")
+for _p in tx.INVISIBLE:
+    _HTML = f"regexp_replace({_HTML}, '{_p.replace(chr(39), chr(39) * 2)}', ' ', 'g')"
+_KNOWN = ", ".join(f"'{k}': '{v.replace(chr(39), chr(39) * 2)}'" for k, v in tx.references().items())
+_NAME, _CODE = f"regexp_extract(p, '{tx.REFERENCE}', 1)", "CASE WHEN lower(n[1:2]) = '#x' THEN TRY_CAST('0x' || n[3:8] AS BIGINT) WHEN n[1] = '#' THEN TRY_CAST(n[2:8] AS BIGINT) END"
+_VALUE = "CASE WHEN n = '' THEN NULL ELSE coalesce(known[n], CASE WHEN code IS NULL THEN NULL WHEN code = 0 OR code > 1114111 OR code BETWEEN 55296 AND 57343 THEN chr(65533) ELSE chr(CAST(code AS INT)) END) END"
+#: The pieces after each ampersand are decoded one by one and joined again.
+_DECODED = f"""(WITH k AS (SELECT MAP {{{_KNOWN}}} AS known), s AS (SELECT page_id, url, html, string_split({_HTML}, '&') AS parts FROM pages), u AS (SELECT page_id, unnest(parts[2:]) AS p, unnest(range(1, len(parts))) AS i FROM s),
+    v AS (SELECT page_id, i, p, n, {_VALUE} AS value FROM (SELECT *, {_CODE} AS code FROM (SELECT *, {_NAME} AS n FROM u)), k),
+    w AS (SELECT page_id, string_agg(CASE WHEN value IS NULL THEN '&' || p ELSE value || p[len(n) + 2:] END, '' ORDER BY i) AS rest FROM v GROUP BY 1)
+    SELECT s.page_id, url, html, trim(regexp_replace(parts[1] || coalesce(rest, ''), '[ \t\r\n]+', ' ', 'g')) AS text FROM s LEFT JOIN w ON w.page_id = s.page_id)"""
+
+
+@register(f"SELECT page_id, text FROM {_DECODED}")
 def html_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", tx.html_text(F.col("html")).alias("text"))
 
@@ -233,7 +237,7 @@ def pdf_markdown(spark: SparkSession, d: str) -> DataFrame:
     return cv.to_markdown(files, known, pages, convert)[0].select(F.col("id").alias("item_id"), "markdown")
 
 
-@register(f"SELECT page_id, CASE WHEN page_id % 5 = 0 THEN regexp_replace(url, '[?#].*$', '') || '.pdf' ELSE url END AS url, CASE WHEN page_id % 5 = 0 THEN 'page ' || page_id ELSE trim(regexp_replace({_HTML}, '[ \\t\\r\\n]+', ' ', 'g')) END AS text, CASE WHEN page_id % 5 <> 0 THEN html END AS html FROM pages")
+@register(f"SELECT page_id, CASE WHEN page_id % 5 = 0 THEN regexp_replace(url, '[?#].*$', '') || '.pdf' ELSE url END AS url, CASE WHEN page_id % 5 = 0 THEN 'page ' || page_id ELSE text END AS text, CASE WHEN page_id % 5 <> 0 THEN html END AS html FROM {_DECODED}")
 def web_pages(spark: SparkSession, d: str) -> DataFrame:
     """Fetched pages: those whose url ends in .pdf go to the PDF extractor, the others keep their html beside the text."""
     reachable(spark)
