@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions import semi
 from millrace.operators import cache as ca
-from millrace.operators import layout, stats, vector_blocks
+from millrace.operators import layout, ranking, stats, together, vector_blocks
 from millrace.operators import retrieval as r
 from millrace.plans.ctes import cosine, with_tables
 from millrace.plans.registry import register
@@ -183,3 +183,77 @@ def embedding_cache_stream(spark: SparkSession, d: str) -> DataFrame:
     answer = lambda t: ca.model_result(t, _vectors, T.ArrayType(T.DoubleType()), tries=1)
     feed.in_steps(texts, "step", [0, 1, 2], f"{work}/in", lambda s: embeddings.run_cache(s, None, path, work, answer))
     return spark.read.parquet(path).select("md5", "model", "answer", "error")
+
+
+# --- several tables in one commit -----------------------------------------------------------------------
+
+_LINES = "SELECT item_id, unnest(range(0, len(string_split(text, chr(10))))) AS k, unnest(string_split(text, chr(10))) AS content FROM benchmark"
+
+
+@register(f"SELECT item_id * 1000 + k AS problem_id, content, item_id AS paragraph_id FROM ({_LINES})")
+def problems_in_one_commit(spark: SparkSession, d: str) -> DataFrame:
+    """Problems and their mappings become visible together; a commit that was lost before its mark is not seen in either table."""
+    root = scratch(spark, "problems-together")
+    lines = table(spark, d, "benchmark").select("item_id", F.posexplode(F.split("text", "\n")).alias("k", "content")).withColumn("id", F.col("item_id") * 1000 + F.col("k"))
+    problems, mappings = lines.select("id", "content"), lines.select(F.col("id").alias("problem_id"), F.col("item_id").alias("paragraph_id"))
+    even = F.col("id") % 2 == 0
+    together.write(spark, root, {"problem": problems.where(even), "mapping": mappings.where(F.col("problem_id") % 2 == 0)})
+    together.write(spark, root, {"problem": problems}, mark=False)
+    together.write(spark, root, {"problem": problems.where(~even), "mapping": mappings.where("problem_id % 2 <> 0")})
+    seen = together.snapshot(spark, root)
+    p = together.read(spark, root, "problem", "id long, content string", seen).select(F.col("id").alias("problem_id"), "content")
+    return p.join(together.read(spark, root, "mapping", "problem_id long, paragraph_id long", seen).drop("commit"), "problem_id")
+
+
+@register(
+    "SELECT sale_id, line_no, item_id, quantity FROM sale_lines WHERE sale_id IS NOT NULL AND sale_id % 10 NOT IN (3, 4) UNION ALL SELECT sale_id, line_no, item_id, 0 FROM sale_lines WHERE sale_id % 10 = 3 AND line_no = 1"
+)
+def children_replaced_in_one_commit(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of sales: some sales get new ones, some have none left; nothing that stays is written again."""
+    root = scratch(spark, "lines-together")
+    lines = table(spark, d, "sale_lines").where("sale_id IS NOT NULL").select("sale_id", "line_no", "item_id", "quantity")
+    together.replace_children(spark, root, lines, lines, "sale_id")
+    fresh = lines.where("sale_id % 10 = 3 AND line_no = 1").withColumn("quantity", F.lit(0))
+    together.replace_children(spark, root, lines.where("sale_id % 10 IN (3, 4)"), fresh, "sale_id")
+    return together.current_children(spark, root, "sale_id", "long", "sale_id long, line_no int, item_id long, quantity int")
+
+
+# --- ranking --------------------------------------------------------------------------------------------
+
+_QUESTION = "the garden and the river in the morning"
+_ASKED = sorted(set(_QUESTION.split()))
+
+
+def _bm25_sql(texts: str, key: str) -> str:
+    counts = ", ".join(f"len(list_filter(w, lambda x: x = '{q}')) AS f{i}" for i, q in enumerate(_ASKED))
+    seen = ", ".join(f"count(*) FILTER (f{i} > 0) AS d{i}" for i in range(len(_ASKED)))
+    score = " + ".join(f"ln(1 + (texts - d{i} + 0.5) / (d{i} + 0.5)) * f{i} * 2.2 / (f{i} + 1.2 * (1 - 0.75 + 0.75 * n / mean))" for i in range(len(_ASKED)))
+    return f"""WITH c AS (SELECT *, len(w) AS n, {counts} FROM (SELECT *, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM {texts})), t AS (SELECT count(*) AS texts, avg(n) AS mean, {seen} FROM c)
+    SELECT {key}, round({score}, 6) AS score FROM c, t WHERE greatest({", ".join(f"f{i}" for i in range(len(_ASKED)))}) > 0"""
+
+
+@register(f"SELECT source, doc_id, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) AS rank FROM ({_bm25_sql('documents', 'source, doc_id')})) WHERE rank <= 3")
+def rank_by_words(spark: SparkSession, d: str) -> DataFrame:
+    """The best three documents of each dataset for a question, with their scores."""
+    docs = table(spark, d, "documents")
+    scored = ranking.bm25(docs.withColumn("at", F.struct("source", "doc_id")), _QUESTION, "at")
+    return ranking.best(scored.select("at.source", "at.doc_id", "score"), 3, "doc_id", "source").select("source", "doc_id", "score", "rank")
+
+
+def _length_model(texts: list[str]) -> list:
+    """A stand-in for a ranking model: it prefers short texts, and refuses some."""
+    if any("<" in t for t in texts):
+        raise ValueError("markup")
+    return [1.0 / (1 + len(t)) for t in texts]
+
+
+@register(
+    f"""SELECT doc_id, first_score, score, error, CAST(row_number() OVER (ORDER BY score DESC NULLS LAST, doc_id) AS INT) AS rank FROM (SELECT doc_id, r.score AS first_score, CASE WHEN NOT contains(text, '<') THEN round(1.0 / (1 + length(text)), 9) END AS score, CASE WHEN contains(text, '<') THEN 'ValueError: markup' END AS error
+    FROM (SELECT * FROM ({_bm25_sql('documents', 'doc_id')}) ORDER BY score DESC, doc_id LIMIT 40) r JOIN documents USING (doc_id))"""
+)
+def rank_by_model(spark: SparkSession, d: str) -> DataFrame:
+    """The best forty documents for a question, ranked again by a model: both scores are kept, and what the model refuses comes last with the cause."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    first = ranking.best(ranking.bm25(docs, _QUESTION, "doc_id"), 40, "doc_id").drop("rank")
+    asked = ranking.by_model(docs.join(F.broadcast(first), "doc_id"), _length_model).withColumn("score", F.round("score", 9)).drop("text")
+    return asked.withColumn("rank", F.row_number().over(Window.orderBy(F.desc_nulls_last("score"), "doc_id"))).select("doc_id", "first_score", "score", "error", "rank")
