@@ -327,3 +327,28 @@ def test_rotation_in_parts(spark, crowd):
     assert whole == rendered(rows)
     assert (max(r.n_turns for r in got if r.conv_id == 4) < 20) == (crowd == 3) and any(r.sub for r in got) == (crowd == 3)
     assert chat_format.rotate(spark.createDataFrame([], TURNS)).count() == 0
+
+
+def test_crowded_conversations_are_small_groups(spark, monkeypatch, tmp_path):
+    """Equal turns without a number, few numbers with many turns each, and one conversation over many tasks: no group has more than the bound, and the SQL gives the same rows."""
+    rng = random.Random(5)
+    rows = [(1, None, "amy", "same")] * 900 + [(1, None, "bob", "other")] * 70 + [(2, t, rng.choice(["amy", "bob"]), f"text {rng.randrange(40)}") for t in range(0, 300, 100) for _ in range(200)]
+    rows += [(None, 5, "eve", "x")] * 40 + [(3, t, "amy", "calm") for t in range(20)]
+    path = f"{tmp_path}/sf"
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5).write.parquet(f"{path}/conversations.parquet")
+    monkeypatch.setattr(chat_format.rotate, "__defaults__", (chat_format.PART, "system", 32))
+    found = chat_format.query(spark, path)
+    assert found.agg({"n_turns": "max"}).first()[0] == 32 and found.where("conv_id = 3").count() == 1
+    own = connection_with(path)
+    sql = chat_format.ORACLE.replace(f"// {4096}", "// 32")
+    want = sorted(map(repr, own.execute(sql).fetchall()))
+    names = [c[0] for c in own.execute(sql).description]
+    assert sorted(repr(tuple(r)) for r in found.select(*names).collect()) == want
+
+
+def connection_with(path):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{path}/conversations.parquet/*.parquet')")
+    return con
