@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from millrace.llm import chat_format, dac, html_extract, maxplus, sentencepiece_codec, token_output, warc
-from millrace.llm.common import shared_dir, strings, table
+from millrace.llm.common import put_file, shared_dir, strings, table
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 
@@ -162,6 +162,20 @@ def test_warc(spark):
     assert warc.write_archives(pages.limit(0), shared_dir(spark, "t-warc")).count() == 0
 
 
+def test_archives_of_lost_tasks_and_repeated_rows(spark):
+    """What a manifest doesn't name isn't read; each record has an id of its own, and revisits refer to one that is there; dates are those of the writing."""
+    big = "<p>" + "x" * 200
+    rows = [(2, "a", big), (2, "a", big), (2, "b", big), (5, "c", big), (7, "d", "tiny"), (7, "d", "tiny"), (None, "e", "tiny"), (None, "e", "tiny")]
+    folder = shared_dir(spark, "t-warc")
+    manifest = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), folder)
+    put_file(f"{folder}/archives/pages-000000-999999-000000.warc.gz", warc.record(2, "a", big.encode()))
+    heads = warc.read_archives(spark, f"{folder}/archives", manifest).collect()
+    assert len(heads) == len(rows) == len({h.record_id for h in heads}) == warc.read_archives(spark, f"{folder}/archives").count() - 1
+    assert {h.refers_to_record for h in heads if h.record_type == "revisit"} <= {h.record_id for h in heads if h.page_id == 2}
+    head, _ = next(warc.records(warc.record(1, "u", b"y")))
+    assert head["warc-date"][:4] >= "2024" and head["warc-date"] != "2024-01-01T00:00:00Z"
+
+
 def test_long_payloads_are_kept_whole(spark):
     long = "".join(chr(97 + k % 26) + "é" for k in range(3_000_000))
     pages = spark.createDataFrame([(1, "http://a/", long), (2, "http://a/", long), (3, "http://a/", long + "x")], "page_id long, url string, html string")
