@@ -97,6 +97,11 @@ def subfolders(spark: SparkSession, folder: str) -> list[str]:
     return sorted(n for f in found or [] if not (n := f.getPath().getName()).startswith(("_", ".")))
 
 
+def exists(spark: SparkSession, file: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(file)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def small_side(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if a count shows that it is small. Without it, AQE's skew handling applies to the join."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

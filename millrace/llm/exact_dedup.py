@@ -24,7 +24,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import BROADCAST_NUMBERS, shared_dir, small_side, subfolders, written
+from millrace.llm.common import BROADCAST_NUMBERS, exists, shared_dir, small_side, subfolders, written
 
 #: Rows of a group that one task compares with the row that stays.
 ROWS_PER_SALT = 2048
@@ -55,12 +55,16 @@ def _read(spark: SparkSession, folder: str) -> DataFrame | None:
 
 
 def add_to_store(docs: DataFrame, store: str, digest: Callable[[Column], Column] = sha256, text: str = "text", key: str = "doc_id") -> int:
-    """Writes docs into the content store as its next batch, and returns the batch's number: whole rows, their digest, and their place in the batch."""
-    batch = len(subfolders(docs.sparkSession, store))
+    """Writes docs into the content store as its next batch, and returns the batch's number: whole rows, their digest, and their place in the batch.
+
+    A batch whose write did not end is written again in its place.
+    """
+    spark = docs.sparkSession
+    batch = sum(exists(spark, f"{store}/{n}/_SUCCESS") for n in subfolders(spark, store))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     rows.select(
         "row", F.col(f"row.`{key}`").cast("long").alias("id"), digest(normalised(F.col(f"row.`{text}`"))).alias("digest"), F.monotonically_increasing_id().alias("place"), F.lit(batch).cast("long").alias("batch")
-    ).write.option("compression", "zstd").parquet(f"{store}/n={batch}")
+    ).write.mode("overwrite").option("compression", "zstd").parquet(f"{store}/n={batch}")
     return batch
 
 

@@ -295,3 +295,17 @@ def test_large_lists_and_blocks_are_dealt_into_parts(spark, monkeypatch, spread)
                     parent = {d: min(x, y) if p in (x, y) else p for d, p in parent.items()}
         told = dict(whole)
         assert sum(told[d] == parent[d] for d in ids) >= 57
+
+
+def test_a_half_written_batch_is_written_again(spark, tmp_path):
+    """A batch whose write died leaves no rows behind and keeps its number."""
+    import os
+
+    docs = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "doc_id long, text string")
+    store, state = f"{tmp_path}/store", f"{tmp_path}/state"
+    assert exact_dedup.exact_duplicates(docs, store=store, state=state).count() == 3
+    assert exact_dedup.add_to_store(docs.where("doc_id = 3"), store) == 1
+    os.remove(f"{store}/n=1/_SUCCESS")
+    more = spark.createDataFrame([(4, "b"), (0, "c")], "doc_id long, text string")
+    got = {(r.doc_id, r.keep_id, r.group_size) for r in exact_dedup.exact_duplicates(more, store=store, state=state).collect()}
+    assert got == {(1, 1, 2), (2, 1, 2), (3, 3, 2), (4, 3, 2), (0, 0, 1)}
