@@ -5,9 +5,8 @@ sum of these probabilities. Features are the words of a text and their beginning
 stem is known by it), hashed, each counted once a text; scoring reads every whole text.
 
 Training takes at most MAX_ROWS labelled doc_ids, those with the smallest hash, and of rows that share one the one with
-the smallest hash of its text. Features are counted over them in Spark; only the MAX_FEATURES that tell toxic rows from
-others best, by more standard errors than chance brings among so many, reach the driver, so it gets at most MAX_ROWS x
-MAX_FEATURES numbers of four bytes.
+the smallest hash of its text. Features are counted over them in Spark; all that tell toxic rows from others by more
+standard errors than chance brings among so many reach the driver, with the numbers of the rows that have them.
 
 Grades are read from the labels: 0 where toxic is 0 or null; toxic rows are graded 1, or 2 (severe) if they hold more
 than the median number of the features that mark toxic rows. Null texts are empty, and an empty text has the
@@ -28,8 +27,8 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import pieces_of, raw, span_hashes, strings, table, trimmed, word_spans, written_with_sums
 
-#: Most labelled rows and features that a fit uses. A feature takes part from LEAST rows on.
-MAX_ROWS, MAX_FEATURES, LEAST = 8000, 4096, 3
+#: Most labelled rows that a fit uses. A feature takes part from LEAST rows on.
+MAX_ROWS, LEAST = 8000, 3
 BUCKETS = 1 << 20
 #: Bytes of a word's beginnings that are features beside the whole word.
 STEMS = (5, 6, 7)
@@ -163,15 +162,16 @@ def sampled(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Dat
     return one.mapInArrow(trimmed(_sampled), "doc_id long, toxic int, buckets array<int>")
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_features: int = MAX_FEATURES) -> OrdinalModel:
-    """Fits on at most max_rows labelled rows of docs and max_features of their features."""
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_features: int | None = None) -> OrdinalModel:
+    """Fits on at most max_rows labelled rows of docs, and on all telling features of theirs unless max_features is given."""
     sample, seen, _ = written_with_sums(sampled(docs, labels, max_rows), "labelled", n=F.count(F.lit(1)), toxic=F.sum("toxic"))
     rows, toxic = seen["n"], int(seen["toxic"] or 0)
     counts = sample.select("toxic", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("hits")).where(F.col("n") >= LEAST)
     counts, found, _ = written_with_sums(counts, "feature-counts", n=F.count(F.lit(1)))
     base = toxic / max(rows, 1)
     z = F.abs((F.col("hits") - F.col("n") * base) / F.sqrt(F.greatest(F.col("n") * (base * (1 - base)), F.lit(1e-9))))
-    best = counts.withColumn("z", z).where(F.col("z") >= least_errors(found["n"])).orderBy(F.desc("z"), "bucket").limit(max_features).select("bucket").toArrow()
+    telling = counts.withColumn("z", z).where(F.col("z") >= least_errors(found["n"]))
+    best = (telling if max_features is None else telling.orderBy(F.desc("z"), "bucket").limit(max_features)).select("bucket").toArrow()
     chosen = np.sort(best.column("bucket").to_numpy().astype(np.int64))
     kept = sample.mapInArrow(trimmed(_kept(chosen)), sample.schema).toArrow().combine_chunks().sort_by("doc_id")
     lists = kept.column("buckets").combine_chunks() if kept.num_rows else pa.array([], pa.list_(pa.int32()))
