@@ -61,15 +61,16 @@ HIT_COLUMNS = ["id", "document_id", "document_name", "dataset_id", "dataset_name
 PARAGRAPH_DETAIL, SENTENCE_DETAIL = ["content", "hit_num", "create_time", "update_time"], ["content", "hit_num"]
 
 
-def detailed(hits: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
-    """A search's hits, in order, with columns of their rows. The hits are at most k rows: they go to the rows, not the rows to them."""
-    return rows.select("id", *columns).join(F.broadcast(hits), "id").select(*HIT_COLUMNS, *columns, F.col("similarity").alias("comprehensive_score")).orderBy(F.desc("similarity"), "id")
+def detailed(hits: DataFrame, rows: DataFrame, columns: list[str], k: int | None = None) -> DataFrame:
+    """A search's hits, in order, with columns of their rows. The hits are at most k rows: up to HITS they go to the rows, not the rows to them."""
+    few = (DEFAULT_TOP_N if k is None else k) <= HITS
+    return rows.select("id", *columns).join(F.broadcast(hits) if few else hits, "id").select(*HIT_COLUMNS, *columns, F.col("similarity").alias("comprehensive_score")).orderBy(F.desc("similarity"), "id")
 
 
 def paragraph_search(paragraphs: DataFrame, documents: DataFrame, datasets: DataFrame, query: DataFrame, dataset_ids: list[int] | None = None, similarity: float | None = None, k: int | None = None, scope: DataFrame | None = None, vector: str = "embedding") -> DataFrame:
     p = paragraphs.where("is_active AND deleted = 0").select("id", "document_id", "dataset_id", "title", "status", "is_active", vector)
     hits = top(named(matches(p, query, similarity, vector, dataset_ids, scope), documents, datasets), similarity, k).select(*HIT_COLUMNS)
-    return detailed(hits, paragraphs, PARAGRAPH_DETAIL)
+    return detailed(hits, paragraphs, PARAGRAPH_DETAIL, k)
 
 
 def title_search(paragraphs: DataFrame, documents: DataFrame, datasets: DataFrame, query: DataFrame, dataset_ids: list[int] | None = None, similarity: float | None = None, k: int | None = None) -> DataFrame:
@@ -79,7 +80,7 @@ def title_search(paragraphs: DataFrame, documents: DataFrame, datasets: DataFram
     d = documents.select(F.col("id").alias("document_id"), F.col("name").alias("document_name"))
     ds = datasets.select(F.col("id").alias("dataset_id"), F.col("name").alias("dataset_name"), F.col("deleted").alias("dataset_deleted"))
     rows = hits.join(d, "document_id", "left").join(ds, "dataset_id", "left").where("dataset_deleted = 0")
-    return detailed(top(rows, similarity, k).select(*HIT_COLUMNS), paragraphs, PARAGRAPH_DETAIL)
+    return detailed(top(rows, similarity, k).select(*HIT_COLUMNS), paragraphs, PARAGRAPH_DETAIL, k)
 
 
 def sentence_search(sentences: DataFrame, paragraphs: DataFrame, documents: DataFrame, datasets: DataFrame, query: DataFrame, dataset_ids: list[int] | None = None, similarity: float | None = None, k: int | None = None, scope: DataFrame | None = None) -> DataFrame:
@@ -103,7 +104,7 @@ def sentence_search(sentences: DataFrame, paragraphs: DataFrame, documents: Data
         F.when(F.col("type") == 1, F.col("p_active")).otherwise(F.col("d_active")).alias("is_active"),
         "similarity",
     )
-    return detailed(top(rows, similarity, k), sentences, SENTENCE_DETAIL)
+    return detailed(top(rows, similarity, k), sentences, SENTENCE_DETAIL, k)
 
 
 def search(mode: str, scope: str, paragraph, sentence) -> DataFrame | None:
@@ -118,20 +119,23 @@ def top_per_group(df: DataFrame, query: DataFrame, group: str, k: int, similarit
     return scored(df, query, vector).where(F.col("similarity") > similarity).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-#: Queries that go to the tasks at a time, and that a task scores at a time.
-QUERIES, AT_ONCE = 200_000, 512
+#: Queries that go to the tasks at a time, the bytes that their vectors have at most, and queries that a task scores at a time.
+QUERIES, QUERY_BYTES, AT_ONCE = 200_000, 128 << 20, 512
+#: Hits whose contents are fetched by a broadcast; more are joined by a shuffle.
+HITS = 100_000
 
 
 def batch_search(rows: DataFrame, queries: DataFrame, k: int, similarity: float = 0.0) -> DataFrame:
     """query_id, id, similarity, rank of the best k rows (id, embedding) for each query (id, embedding).
 
-    The queries are the stated set; up to QUERIES of them are broadcast and all rows are scored against them in one pass,
-    by matrix products. A task keeps a running best k a query and tells them once, when its rows are through.
+    The queries are the stated set; up to QUERIES of them, and QUERY_BYTES of their vectors, are broadcast and all rows are
+    scored against them in one pass, by matrix products. A task keeps a running best k a query and tells them once, when its rows are through.
     """
     spark = rows.sparkSession
     reachable(spark)
     known = queries.where("embedding IS NOT NULL").select("id", "embedding")
-    passes = max(1, -(-known.count() // QUERIES))
+    n, components = known.agg(F.count(F.lit(1)), F.sum(F.size("embedding"))).first()
+    passes = max(1, -(-n // QUERIES), -(-8 * (components or 0) // QUERY_BYTES))
     found = spark.createDataFrame([], "query_id long, id long, similarity double")
     for p in range(passes):
         block = known.where(F.pmod(F.xxhash64("id"), F.lit(passes)) == p).toArrow()

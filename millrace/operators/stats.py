@@ -35,8 +35,8 @@ def daily_trend(events: DataFrame, days: DataFrame) -> DataFrame:
 
 
 def permission_strings(operations: DataFrame, targets: DataFrame) -> DataFrame:
-    """TYPE:OPERATION:id for each operation of a target's type."""
-    return targets.join(F.broadcast(operations), "type").select(F.concat_ws(":", "type", "operation", F.col("id").cast("string")).alias("permission"))
+    """TYPE:OPERATION:id for each operation of a target's type. Spark broadcasts the operations where their size allows it."""
+    return targets.join(operations, "type").select(F.concat_ws(":", "type", "operation", F.col("id").cast("string")).alias("permission"))
 
 
 def existence(rows: DataFrame, others: DataFrame, on: list[str], name: str) -> DataFrame:

@@ -116,13 +116,14 @@ def named_sql_text(spark: SparkSession, d: str) -> DataFrame:
     return SqlTexts(_TEXTS).run(spark, "customers.of_nation", {"customer": table(spark, d, "customer")}, nation=4, least=100)
 
 
-@register("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey < 500")
+@register("SELECT o_orderkey, o_totalprice FROM orders")
 def jdbc_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Rows inserted into a database in batches and read back in parallel ranges of their key. The database is an embedded one, so this runs on one machine."""
     url = f"jdbc:derby:memory:millrace{uuid.uuid4().hex};create=true"
-    rows = table(spark, d, "orders").where("o_orderkey < 500").select("o_orderkey", "o_totalprice")
+    rows = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    low, high = rows.agg(F.min("o_orderkey"), F.max("o_orderkey")).first()
     rows.write.format("jdbc").options(url=url, dbtable="orders", driver=DERBY, batchsize=dml.BATCH).save()
-    return jdbc(spark, url, "orders", "O_ORDERKEY", 0, 500, 4, DERBY).select(F.col("o_orderkey").alias("o_orderkey"), F.col("o_totalprice").alias("o_totalprice"))
+    return jdbc(spark, url, "orders", "O_ORDERKEY", low or 0, (high or 0) + 1, 4, DERBY).select(F.col("o_orderkey").alias("o_orderkey"), F.col("o_totalprice").alias("o_totalprice"))
 
 
 @register("SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey = 1)")
