@@ -20,6 +20,7 @@ from millrace.operators import merge
 from millrace.session import reachable
 from millrace.streaming.chat import record_fields
 from millrace.streaming.feed import disk_state, run_once
+from millrace.streaming.fold import Chunks, joined
 
 TOLD = "message_id long, answer_text string, n_chunks long, began timestamp, ended timestamp, whole boolean"
 RECORD = "id long, answer_text string, answer_tokens int, run_time double, details string, status string, version long, part int"
@@ -32,52 +33,46 @@ class Answers(StatefulProcessor):
         self.idle_ms = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.parts = handle.getListState("parts", "seq long, delta string")
-        self.facts = handle.getValueState("facts", "n long, last long, began long, ended long, timer long")
+        self.handle, self.chunks = handle, Chunks(handle, "n long, last long, began long, ended long, timer long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        n, last, began, ended, timer = self.facts.get() if self.facts.exists() else (0, -1, None, None, None)
+        n, last, began, ended, timer = self.chunks.facts((0, -1, None, None, None))
         for f in rows:
-            at = f["at"].astype("int64") // (1 if str(f["at"].dtype).startswith("int") else {"ns": 1_000_000, "us": 1_000, "ms": 1, "s": 1}[f["at"].dt.unit])
+            at = f["at"].astype("datetime64[ms, UTC]" if f["at"].dt.tz is not None else "datetime64[ms]").astype("int64")
             began, ended = min(int(at.min()), began if began is not None else 1 << 62), max(int(at.max()), ended or 0)
             ends = f["seq"][f["is_end"]]
             last = int(ends.iloc[0]) if len(ends) else last
-            own = f[~f["is_end"]]
-            if len(own):
-                self.parts.appendList([(int(s), d) for s, d in zip(own["seq"], own["delta"])])
-                n += len(own)
-        if 0 <= last <= n and (held := self._held()) is not None and len(held) >= last:
-            self._forget(timer)
+            n += self.chunks.add(f)
+        if 0 <= last <= n and len(held := self.chunks.held()) >= last:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.chunks.forget()
             yield self._told(key, held, began, ended, True)
             return
-        if timer is not None:
-            self.handle.deleteTimer(timer)
-        timer = ended + self.idle_ms
-        self.handle.registerTimer(timer)
-        self.facts.update((n, last, began, ended, timer))
+        if timer is None:  # later chunks don't move it: when it rings, the message may have gone on
+            timer = ended + self.idle_ms
+            self.handle.registerTimer(timer)
+        self.chunks.value.update((n, last, began, ended, timer))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        _, _, began, ended, _ = self.facts.get()
-        held = self._held()
-        self._forget(None)
+        n, last, began, ended, timer = self.chunks.facts((0, -1, None, None, None))
+        if began is None:
+            return
+        if ended + self.idle_ms > timerValues.getCurrentWatermarkInMs():  # it went on
+            timer = ended + self.idle_ms
+            self.handle.registerTimer(timer)
+            self.chunks.value.update((n, last, began, ended, timer))
+            return
+        held = self.chunks.held()
+        self.chunks.forget()
         yield self._told(key, held, began, ended, False)
 
     def close(self) -> None:
         pass
 
-    def _held(self) -> dict[int, str]:
-        return dict(self.parts.get())  # a chunk that came twice counts once
-
-    def _forget(self, timer: int | None) -> None:
-        if timer is not None:
-            self.handle.deleteTimer(timer)
-        self.parts.clear()
-        self.facts.clear()
-
     def _told(self, key, held: dict, began: int, ended: int, whole: bool) -> pd.DataFrame:
         moments = pd.to_datetime([began, ended], unit="ms", utc=True)
-        return pd.DataFrame({"message_id": [key[0]], "answer_text": ["".join(held[s] for s in sorted(held))], "n_chunks": [len(held)], "began": moments[:1], "ended": moments[1:], "whole": [whole]})
+        return pd.DataFrame({"message_id": [key[0]], "answer_text": [joined(held)], "n_chunks": [len(held)], "began": moments[:1], "ended": moments[1:], "whole": [whole]})
 
 
 def finished(chunks: DataFrame, idle_ms: int, late: str) -> DataFrame:

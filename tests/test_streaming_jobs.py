@@ -23,21 +23,22 @@ def files(path):
 
 @pytest.fixture(scope="module")
 def answers(spark, tmp_path_factory):
-    """Message 1 ends over two steps with a chunk that comes twice; 2 ends before its last chunk is there; 3 never ends; 4 is one end mark; 9 moves the clock."""
+    """Message 1 ends over two steps with a chunk that comes twice; 2 ends before its last chunk is there; 3 never ends; 4 is one end mark; 5 goes on when its timer rings; 9 moves the clock."""
     root = f"{tmp_path_factory.mktemp('answers')}"
     at = lambda s: START + timedelta(seconds=s)
     rows = [(1, 0, "a", False, at(0), 0), (1, 1, "b", False, at(1), 0), (1, 1, "b", False, at(1), 1), (1, 2, "c", False, at(2), 1), (1, 3, "", True, at(4), 1)]
-    rows += [(2, 2, "", True, at(3), 0), (2, 0, "x", False, at(1), 0), (2, 1, "y", False, at(2), 2), (3, 0, "un", False, at(0), 0), (3, 1, "done", False, at(2), 1), (4, 0, "", True, at(5), 1), (9, 0, "tick", False, at(5000), 3)]
+    rows += [(5, 0, "goes", False, at(0), 0), (5, 1, " on", False, at(5), 1), (5, 2, " and on", False, at(1300), 3), (5, 3, "", True, at(1500), 4)]
+    rows += [(2, 2, "", True, at(3), 0), (2, 0, "x", False, at(1), 0), (2, 1, "y", False, at(2), 2), (3, 0, "un", False, at(0), 0), (3, 1, "done", False, at(2), 1), (4, 0, "", True, at(5), 1), (9, 0, "tick", False, at(5000), 4)]
     records, work = f"{root}/records", f"{root}/work"
     merge.create(spark.createDataFrame([(k, None, None, None, None, "open", 0, 0) for k in (1, 7)], finalise.RECORD).withColumn("part", merge.key_bucket("id", buckets=4)), records, "part")
-    queries = feed.in_steps(spark.createDataFrame(rows, CHUNK), "step", [0, 1, 2, 3], f"{work}/chunks", lambda s: finalise.run_finalise(s, records, work, idle_ms=600_000, late="10 minutes", buckets=4))
+    queries = feed.in_steps(spark.createDataFrame(rows, CHUNK), "step", [0, 1, 2, 3, 4], f"{work}/chunks", lambda s: finalise.run_finalise(s, records, work, idle_ms=600_000, late="10 minutes", buckets=4))
     return records, work, queries
 
 
 def test_records_are_finished_by_the_stream(spark, answers):
     records, _, _ = answers
     got = {r.id: r for r in spark.read.schema(finalise.RECORD).parquet(records).collect()}
-    assert {k: (r.answer_text, r.run_time, r.status) for k, r in got.items()} == {1: ("abc", 4.0, "done"), 2: ("xy", 2.0, "done"), 3: ("undone", 2.0, "cut"), 4: ("", 0.0, "done"), 7: (None, None, "open")}
+    assert {k: (r.answer_text, r.run_time, r.status) for k, r in got.items() if k != 9} == {1: ("abc", 4.0, "done"), 2: ("xy", 2.0, "done"), 3: ("undone", 2.0, "cut"), 4: ("", 0.0, "done"), 5: ("goes on and on", 1500.0, "done"), 7: (None, None, "open")}
     assert got[1].details == '{"chat_step":{"run_time":4.0,"answer_tokens":1,"step_type":"chat_step"}}'
 
 
@@ -116,3 +117,23 @@ def test_an_aborted_batch_leaves_nothing(tmp_path):
     assert [m.frames for m in done] == [2, 0] and os.listdir(f"{tmp_path}/data") == [done[0].file]
     writer.abort([*done, None], 0)
     assert os.listdir(f"{tmp_path}/data") == []
+
+
+def test_an_idle_message_is_told_as_it_is(spark, tmp_path):
+    """A running fold with timers of processing time: what never ends is told after the idle time, in a later batch."""
+    import time
+
+    src, out = f"{tmp_path}/src", f"{tmp_path}/out"
+    chunk = "message_id long, seq long, delta string, is_end boolean"
+    spark.createDataFrame([(1, 0, "a", False), (2, 0, "b", False), (2, 1, "", True)], chunk).write.parquet(src)
+    told = chat.fold_stream(spark.readStream.schema(chunk).parquet(src), 1500).writeStream.outputMode("append").foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{out}/batch={n}"))
+    q = told.option("checkpointLocation", f"{tmp_path}/ck").trigger(processingTime="1 second").start()
+    try:
+        for _ in range(90):
+            time.sleep(1)
+            done = spark.read.schema("message_id long, answer_text string, n_chunks long, whole boolean").parquet(out).collect() if os.path.isdir(out) and len(os.listdir(out)) > 0 else []
+            if len(done) == 2:
+                break
+    finally:
+        q.stop()
+    assert {(r.message_id, r.answer_text, r.whole) for r in done} == {(2, "b", True), (1, "a", False)}
