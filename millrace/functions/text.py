@@ -58,16 +58,25 @@ def decoded(c: Column) -> Column:
     known = references()
     values = F.map_from_arrays(F.array(*map(F.lit, known)), F.array(*map(F.lit, known.values())))
 
-    def tail(p: Column) -> Column:
-        name = F.regexp_extract(p, REFERENCE, 1)
-        code = F.when(F.lower(F.substring(name, 1, 2)) == "#x", F.conv(F.substring(name, 3, 6), 16, 10)).when(name.startswith("#"), F.substring(name, 2, 7)).try_cast("long")
+    # In steps, so that each is evaluated once: a piece with its reference's name, with its number, with its value.
+    def named(p: Column) -> Column:
+        return F.struct(p.alias("p"), F.regexp_extract(p, REFERENCE, 1).alias("name"))
+
+    def numbered(x: Column) -> Column:
+        name = x["name"]
+        code = F.when(~name.startswith("#"), F.lit(None).cast("long")).when(F.lower(F.substring(name, 2, 1)) == "x", F.conv(F.substring(name, 3, 6), 16, 10).cast("long")).otherwise(F.substring(name, 2, 7).try_cast("long"))
+        return F.struct(x["p"].alias("p"), name.alias("name"), code.alias("code"), F.when(name != "", F.try_element_at(values, name)).alias("known"))
+
+    def tail(x: Column) -> Column:
+        code = x["code"]
         none = (code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
         number = F.when(code.isNull(), F.lit(None).cast("string")).when(none, F.lit("\ufffd")).otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
-        value = F.when(name != "", F.coalesce(F.try_element_at(values, name), number))
-        return F.when(value.isNull(), F.concat(F.lit("&"), p)).otherwise(F.concat(value, F.substr(p, F.length(name) + 2)))
+        rest = F.substr(x["p"], F.length(x["name"]) + 2)
+        return F.when(x["known"].isNotNull(), F.concat(x["known"], rest)).when(code.isNotNull(), F.concat(number, rest)).otherwise(F.concat(F.lit("&"), x["p"]))
 
     parts = F.split(c, "&")
-    whole = F.concat(parts[0], F.array_join(F.transform(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), tail), ""))
+    pieces = F.transform(F.transform(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), named), numbered)
+    whole = F.concat(parts[0], F.array_join(F.transform(pieces, tail), ""))
     return F.when(F.contains(c, F.lit("&")), whole).otherwise(c)
 
 

@@ -51,7 +51,8 @@ def same_keys(a: str, b: str, keys: list[str]) -> Column:
 
 
 def create(df: DataFrame, path: str, partition: str) -> None:
-    df.write.partitionBy(partition).parquet(path)
+    """Writes a table in partitions, each in as few files as its size allows."""
+    df.hint("rebalance", partition).write.partitionBy(partition).parquet(path)
 
 
 def stored(spark: SparkSession, path: str, otherwise) -> DataFrame:
@@ -64,7 +65,7 @@ def stored(spark: SparkSession, path: str, otherwise) -> DataFrame:
 
 def _replace(df: DataFrame, path: str, partition: str) -> None:
     """One file or a few for each partition that df has, in one commit."""
-    df.repartition(partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    df.hint("rebalance", partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 
 
 def _touched(base: DataFrame, new: DataFrame, keys: list[str], partition: str, added: bool) -> list:

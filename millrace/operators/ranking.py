@@ -8,14 +8,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.cache import model_result
+from millrace.session import scratch
 
 #: How fast repeats of a word stop counting, and how much a text's length does.
 K1, B = 1.2, 0.75
 
 
 def words(text: Column) -> Column:
-    """A text's words: runs of letters and digits, in lower case."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    """A text's runs of letters and digits, in lower case; the first and the last may be empty."""
+    return F.split(F.lower(text), r"[^\p{L}\p{N}]+")
 
 
 def _is(word: str) -> Callable[[Column], Column]:
@@ -25,14 +26,20 @@ def _is(word: str) -> Callable[[Column], Column]:
 def bm25(texts: DataFrame, question: str, key: str = "id", text: str = "text", digits: int = 6) -> DataFrame:
     """key and score of the texts that share a word with the question.
 
-    One pass counts each text's question words in the JVM; the statistics (texts, mean length, texts with each word) are one
-    aggregate over all texts, a row that is broadcast. Nothing is exploded and nothing is shuffled but partial sums.
+    One pass counts each text's question words in the JVM and writes the counts; the statistics (texts, mean length, texts
+    with each word) are one aggregate over them, a row that is broadcast. Nothing is exploded, and nothing is shuffled but partial sums.
     """
     asked = sorted({w for w in _split(question)})
     if not asked:
         return texts.select(key, F.lit(0.0).alias("score")).limit(0)
     own = texts.select(key, words(F.coalesce(F.col(text), F.lit(""))).alias("_w"))
-    counted = own.select(key, F.size("_w").alias("_n"), *[F.size(F.filter("_w", _is(q))).alias(f"_f{i}") for i, q in enumerate(asked)])
+    first, last = F.element_at("_w", 1) == "", F.element_at("_w", -1) == ""
+    n = F.size("_w") - F.when(first, 1).otherwise(0) - F.when(last & (F.size("_w") > 1), 1).otherwise(0)
+    hits = own.select(key, n.alias("_n"), F.filter("_w", lambda w: w.isin(asked)).alias("_h"))  # one pass over the words; few are asked for
+    counted = hits.select(key, "_n", *[F.size(F.filter("_h", _is(q))).alias(f"_f{i}") for i, q in enumerate(asked)])
+    out = scratch(texts.sparkSession, "question-words")
+    counted.write.parquet(out)  # a few numbers a text, so that texts are read once
+    counted = texts.sparkSession.read.schema(counted.schema).parquet(out)
     totals = counted.agg(F.count(F.lit(1)).alias("_texts"), F.avg("_n").alias("_mean"), *[F.count(F.when(F.col(f"_f{i}") > 0, 1)).alias(f"_d{i}") for i in range(len(asked))])
     both = counted.where(F.greatest(F.lit(0), *[F.col(f"_f{i}") for i in range(len(asked))]) > 0).crossJoin(F.broadcast(totals))
     score = F.lit(0.0)
