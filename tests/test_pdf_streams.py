@@ -34,3 +34,7 @@ def test_a_wrong_length_is_no_end():
 
 def test_pdf_pages_over_more_items(spark):
     assert compare(registry.queries()["pdf_pages"](spark, "/root/testdata/sf0.1"), registry.oracle_sql()["pdf_pages"], "/root/testdata/sf0.1") == ""
+
+
+def test_pdf_markdown_over_more_items(spark):
+    assert compare(registry.queries()["pdf_markdown"](spark, "/root/testdata/sf0.1"), registry.oracle_sql()["pdf_markdown"], "/root/testdata/sf0.1") == ""
