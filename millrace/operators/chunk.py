@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.text import summary, words
-from millrace.functions.tokens import default_path, tokenizer
+from millrace.functions.tokens import default_path, in_slices, words_of
 from millrace.session import reachable
 
 COARSE, COARSE_OVERLAP, FINE, FINE_OVERLAP = 2000, 400, 150, 50
@@ -35,26 +35,29 @@ def spans(text: str, tokens: np.ndarray, size: int, overlap: int) -> list[tuple[
     `overlap` tokens. The chunks cover the text.
     """
 
-    def count(a: int, b: int) -> int:
-        return int(np.searchsorted(tokens, b) - np.searchsorted(tokens, a))
+    before = memoryview(np.cumsum(np.bincount(tokens + 1, minlength=len(text) + 1), dtype=np.int64))  # tokens that begin before each place
 
-    def parts(a: int, b: int, level: int) -> Iterator[tuple[int, int]]:
-        if count(a, b) <= size:
-            yield a, b
+    def parts(a: int, b: int, level: int) -> None:
+        if before[b] - before[a] <= size:
+            whole.append((a, b))
         elif level < len(_LEVELS):
-            at = [a, *(m.start() for m in _LEVELS[level].finditer(text, a + 1, b)), b]
-            for x, y in zip(at, at[1:]):
-                yield from parts(x, y, level + 1)
+            at = a
+            for m in _LEVELS[level].finditer(text, a + 1, b):
+                parts(at, m.start(), level + 1)
+                at = m.start()
+            parts(at, b, level + 1)
         else:
-            own = tokens[np.searchsorted(tokens, a) : np.searchsorted(tokens, b)]
+            own = tokens[before[a] : before[b]]
             at = [a, *np.unique(own[size::size]).tolist(), b]
-            yield from ((x, y) for x, y in zip(at, at[1:]) if y > x)
+            whole.extend((x, y) for x, y in zip(at, at[1:]) if y > x)
 
+    whole: list[tuple[int, int]] = []
+    parts(0, len(text), 0)
     out: list[tuple[int, int]] = []
     held: list[tuple[int, int, int]] = []
     total = 0
-    for a, b in parts(0, len(text), 0):
-        n = count(a, b)
+    for a, b in whole:
+        n = before[b] - before[a]
         if held and total + n > size:
             out.append((held[0][0], held[-1][1]))
             while held and (total > overlap or total + n > size):
@@ -75,16 +78,15 @@ def token_chunks(df: DataFrame, key: str, text: str, size: int, overlap: int, pa
     place = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = tokenizer(place)
+        known = words_of(place)
         for batch in batches:
-            own = batch.column(1).to_pylist()
-            for at in range(0, len(own), 64):
-                texts = [t or "" for t in own[at : at + 64]]
+            for at, texts in in_slices(batch.column(1)):
                 rows: list[tuple[int, int, str, int]] = []
-                for k, (t, e) in enumerate(zip(texts, known.encode_batch(texts, add_special_tokens=False))):
-                    starts = np.array([a for a, _ in e.offsets], np.int64)
-                    found = [(t[a:b].strip(), int(np.searchsorted(starts, b) - np.searchsorted(starts, a))) for a, b in spans(t, starts, size, overlap)]
-                    rows += [(at + k, n, c, m) for n, (c, m) in enumerate(x for x in found if x[0])]
+                for k, (t, starts) in enumerate(zip(texts, known.starts(texts))):
+                    found = spans(t, starts, size, overlap)
+                    ends = np.searchsorted(starts, np.array(found, np.int64).reshape(-1, 2))
+                    told = [(c, m) for (a, b), m in zip(found, (ends[:, 1] - ends[:, 0]).tolist()) if (c := t[a:b].strip())]
+                    rows += [(at + k, n, c, m) for n, (c, m) in enumerate(told)]
                 keys = batch.column(0).take(pa.array([r[0] for r in rows], pa.int64()))
                 yield pa.RecordBatch.from_arrays([keys, pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.string()), pa.array([r[3] for r in rows], pa.int32())], names=["key", "seq", "chunk", "tokens"])
 
