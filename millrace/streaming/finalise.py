@@ -1,7 +1,7 @@
 """Chat records that the answer stream itself completes.
 
 Chunks (message_id, seq from 0, delta, is_end, at) are held per message in a list that grows by appends, so a batch writes its own
-chunks and no others. A message is told once: when its end mark and all chunks before it are there, or, cut short, when
+chunks and no others; a message that comes whole in one batch is told without it. A message is told once: when its end mark and all chunks before it are there, or, cut short, when
 nothing came for `idle` and the watermark has passed. Then its state goes. Each batch of finished messages is merged into
 the table of records, which is in partitions; a mark for the batch is set after the merge, and a batch that has one is not
 merged again. Without the mark (the driver was lost half-way) the merge runs again and leaves the same rows.
@@ -11,16 +11,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from millrace.operators import merge
-from millrace.session import reachable
 from millrace.streaming.chat import record_fields
 from millrace.streaming.feed import disk_state, run_once
-from millrace.streaming.fold import Chunks, joined
+from millrace.streaming.fold import Chunks, joined, packed
 
 TOLD = "message_id long, answer_text string, n_chunks long, began timestamp, ended timestamp, whole boolean"
 RECORD = "id long, answer_text string, answer_tokens int, run_time double, details string, status string, version long, part int"
@@ -35,29 +33,32 @@ class Answers(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle, self.chunks = handle, Chunks(handle, "n long, last long, began long, ended long, timer long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        n, last, began, ended, timer = self.chunks.facts((0, -1, None, None, None))
-        for f in rows:
-            at = f["at"].astype("datetime64[ms, UTC]" if f["at"].dt.tz is not None else "datetime64[ms]").astype("int64")
-            began, ended = min(int(at.min()), began if began is not None else 1 << 62), max(int(at.max()), ended or 0)
-            ends = f["seq"][f["is_end"]]
-            last = int(ends.iloc[0]) if len(ends) else last
-            n += self.chunks.add(f)
-        if 0 <= last <= n and len(held := self.chunks.held()) >= last:
-            if timer is not None:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        facts = self.chunks.facts()
+        n, last, began, ended, timer = facts or (0, -1, 1 << 62, 0, None)
+        new: dict[int, str] = {}
+        for r in rows:
+            began, ended = min(began, r.began), max(ended, r.ended)
+            last = r.last if r.last >= 0 else last
+            new.update(zip(r.seqs or (), r.deltas or ()))
+        n += len(new)
+        if 0 <= last <= n and len(held := (self.chunks.held() | new if facts else new)) >= last:
+            if facts:  # a message that came whole in one batch never was in the state
                 self.handle.deleteTimer(timer)
-            self.chunks.forget()
+                self.chunks.forget()
             yield self._told(key, held, began, ended, True)
             return
+        self.chunks.add(new)
         if timer is None:  # later chunks don't move it: when it rings, the message may have gone on
             timer = ended + self.idle_ms
             self.handle.registerTimer(timer)
         self.chunks.value.update((n, last, began, ended, timer))
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        n, last, began, ended, timer = self.chunks.facts((0, -1, None, None, None))
-        if began is None:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        facts = self.chunks.facts()
+        if facts is None:
             return
+        n, last, began, ended, timer = facts
         if ended + self.idle_ms > timerValues.getCurrentWatermarkInMs():  # it went on
             timer = ended + self.idle_ms
             self.handle.registerTimer(timer)
@@ -70,15 +71,15 @@ class Answers(StatefulProcessor):
     def close(self) -> None:
         pass
 
-    def _told(self, key, held: dict, began: int, ended: int, whole: bool) -> pd.DataFrame:
-        moments = pd.to_datetime([began, ended], unit="ms", utc=True)
-        return pd.DataFrame({"message_id": [key[0]], "answer_text": [joined(held)], "n_chunks": [len(held)], "began": moments[:1], "ended": moments[1:], "whole": [whole]})
+    def _told(self, key, held: dict, began: int, ended: int, whole: bool) -> Row:
+        return Row(message_id=key[0], answer_text=joined(held), n_chunks=len(held), began=began, ended=ended, whole=whole)
 
 
 def finished(chunks: DataFrame, idle_ms: int, late: str) -> DataFrame:
-    """Messages that end, of a stream of chunks. late: how far behind the newest chunk one may be, an interval."""
-    reachable(chunks.sparkSession)
-    return chunks.withWatermark("at", late).groupBy("message_id").transformWithStateInPandas(Answers(idle_ms), TOLD, "append", "eventTime")
+    """Messages that end, of a stream of chunks. late: how far behind the newest chunk one may be, an interval; packed chunks are as late as their newest."""
+    rows = packed(chunks).withColumn("at", F.timestamp_millis("ended")).withWatermark("at", late)
+    told = rows.groupBy("message_id").transformWithState(Answers(idle_ms), "message_id long, answer_text string, n_chunks long, began long, ended long, whole boolean", "append", "eventTime")
+    return told.withColumn("began", F.timestamp_millis("began")).withColumn("ended", F.timestamp_millis("ended"))
 
 
 def save_batch(spark: SparkSession, records: str, marks: str, batch: DataFrame, number: int, buckets: int) -> bool:
