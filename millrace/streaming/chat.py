@@ -11,6 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from millrace.functions.text import token_estimate
 from millrace.operators import dml
+from millrace.streaming.fold import packed
 
 DONE = "[DONE]"
 
@@ -53,9 +54,10 @@ def _append(idle_ms: int | None):
             held = dict(zip(seqs, deltas))
         if not state.hasTimedOut:
             for f in frames:
-                held.update(zip(f["seq"][~f["is_end"]].tolist(), f["delta"][~f["is_end"]].tolist()))  # a chunk that comes twice counts once
-                ends = f["seq"][f["is_end"]]
-                last = int(ends.iloc[0]) if len(ends) else last
+                for seqs, deltas, end in zip(f["seqs"].tolist(), f["deltas"].tolist(), f["last"].tolist()):
+                    if seqs is not None:
+                        held.update(zip(map(int, seqs), deltas))  # a chunk that comes twice counts once
+                    last = int(end) if end >= 0 else last
         whole = 0 <= last <= len(held)
         if whole or state.hasTimedOut:
             state.remove()
@@ -74,7 +76,7 @@ def fold_stream(chunks: DataFrame, idle_ms: int | None = None) -> DataFrame:
     idle_ms: milliseconds after its last chunk when a message that has not ended is told as it is and forgotten; for streams that run on.
     """
     timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
-    return chunks.groupBy("message_id").applyInPandasWithState(_append(idle_ms), "message_id long, answer_text string, n_chunks long, whole boolean", "seqs array<long>, deltas array<string>, last long", "append", timeout)
+    return packed(chunks).groupBy("message_id").applyInPandasWithState(_append(idle_ms), "message_id long, answer_text string, n_chunks long, whole boolean", "seqs array<long>, deltas array<string>, last long", "append", timeout)
 
 
 def run_fold(spark: SparkSession, chunks_path: str, out: str, checkpoint: str) -> DataFrame:
