@@ -297,6 +297,50 @@ def test_large_lists_and_blocks_are_dealt_into_parts(spark, monkeypatch, spread)
         assert sum(told[d] == parent[d] for d in ids) >= 57
 
 
+@pytest.mark.parametrize("most", [1024, 7], ids=["short lists", "long lists"])
+def test_texts_near_by_carried_bits_alone_make_no_block(spark, monkeypatch, most):
+    """Chance brings together more pairs than there are texts; whole fingerprints tell them apart, and keep those that are near."""
+    monkeypatch.setattr(simhash_wide, "LIST", most)
+    rng = np.random.default_rng(3)
+    codes = rng.integers(0, 256, (200, simhash_wide.POSITIONS), np.uint8)
+    codes[:, : 8 * simhash_wide.CARRIED] = codes[0, : 8 * simhash_wide.CARRIED]
+    codes[7], codes[120] = codes[3], codes[60]
+    codes[7, 40] ^= 3
+    classes = spark.createDataFrame([(k, bytearray(c.tobytes())) for k, c in enumerate(codes)], "id long, code binary")
+    assert sorted(map(tuple, simhash_wide.candidate_blocks(classes, 0.8).collect())) == [(3, 3), (7, 3), (60, 60), (120, 60)]
+
+
+def test_sets_too_small_for_near_copies_are_not_listed():
+    """Of n shingles, another set has n of n + 1 in common at best."""
+    assert [n for n in range(9) if simhash_wide.alone(n, 0.8)] == [0, 1, 2, 3]
+    for n in range(1, 30):
+        for similarity in (0.5, 0.75, 0.8, 0.9):
+            nested = simhash_wide.similar(np.arange(n, dtype=np.uint64), np.arange(n + 1, dtype=np.uint64), similarity)
+            assert simhash_wide.alone(n, similarity) != nested
+
+
+@pytest.mark.parametrize("left", [300, 40, 0])
+def test_joined_against_brute_force(left):
+    rng = np.random.default_rng(left)
+    values = []
+    for g in range(6):
+        base = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
+        for _ in range(50):
+            own = base.copy()
+            own[rng.choice(60, rng.integers(0, 14), replace=False)] = rng.integers(0, 1 << 63, dtype=np.uint64)
+            values.append(np.unique(own))
+    order = rng.permutation(len(values))
+    values = [values[k] for k in order]
+    codes = simhash_wide.fingerprints(values).view(np.uint64)
+    label = list(range(len(values)))
+    for i in range(left):
+        for j in range(i + 1, len(values)):
+            if np.bitwise_count(codes[i] ^ codes[j]).sum() <= 86 and label[i] != label[j] and simhash_wide.similar(values[i], values[j], 0.8):
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    assert simhash_wide.joined(codes, values, left, 86, 0.8).tolist() == label
+
+
 def test_a_half_written_batch_is_written_again(spark, tmp_path):
     """A batch whose write died leaves no rows behind and keeps its number."""
     import os
